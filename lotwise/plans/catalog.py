@@ -475,3 +475,168 @@ SELECT seq, source, title, price, mileage, dealer, location, url, '{RUN_TS}' AS
 def q_sch_default(spark, d):
     t = derived_listings(spark, d).drop("first_seen")
     return shape.default_first_seen(t, RUN_TS).select("seq", *LISTING_COLS)
+
+
+# ---- 2.4 extraction (round trip: derived listings -> rendered pages -> extracted rows) -------
+
+from lotwise.operators import extract as X  # noqa: E402
+from lotwise.sources.render import render_pages  # noqa: E402
+
+
+def rendered_pages(spark, d) -> DataFrame:
+    return render_pages(derived_text(spark, d))
+
+
+def extracted(spark, d) -> DataFrame:
+    return X.extract(rendered_pages(spark, d))
+
+
+_EXP = S.with_(S.DERIVED_TEXT) + f""",
+pg AS (
+  SELECT *, CAST(l_orderkey // 1000 AS BIGINT) * 100000 + CAST(l_linenumber // 150 AS BIGINT) AS crawl_id,
+         CAST(l_orderkey % 1000 + 1 AS INTEGER) AS page_no,
+         CASE WHEN source = 'craigslist' THEN CASE WHEN (l_orderkey // 1000) % 2 = 0 THEN 'cto' ELSE 'cta' END
+              ELSE '' END AS category,
+         l_orderkey % 2 = 0 AS structured, l_partkey % 11 = 0 AS guard, l_partkey % 5 = 1 AS rel,
+         '/vehicledetail/' || CAST(l_partkey AS VARCHAR) AS path,
+         CAST(floor(l_extendedprice) AS BIGINT) AS price_n, CAST(floor(l_quantity * 4000) AS BIGINT) AS miles_n,
+         CASE WHEN l_orderkey % 107 = 13 THEN 503 ELSE 200 END AS status,
+         l_orderkey % 101 = 7 AS challenge
+  FROM derived_text),
+pgx AS (
+  SELECT *, min(first_seen) OVER (PARTITION BY source, l_orderkey, crawl_id) AS fetched_at FROM pg),
+exp0 AS (
+  SELECT source, category, crawl_id, page_no, l_orderkey, {S.ORDER.replace('first_seen', 'first_seen AS fs')},
+         fetched_at AS first_seen,
+         CASE WHEN source = 'cars.com' THEN 'cards' WHEN structured AND source = 'cargurus' THEN 'json'
+              WHEN structured THEN 'jsonld' ELSE 'cards' END AS extractor,
+         CASE WHEN guard THEN NULL
+              WHEN source = 'cars.com' AND l_partkey % 2 = 1 THEN substr(title, 1, 4) || substr(title, 6)
+              ELSE title END AS title,
+         CASE WHEN guard THEN NULL
+              WHEN source = 'cars.com' AND rel THEN 'https://www.cars.com' || path
+              WHEN source = 'cargurus' AND structured AND l_partkey % 4 = 2 THEN 'https://www.cargurus.com' || path
+              WHEN source = 'cargurus' AND NOT structured AND l_partkey % 3 = 2 THEN 'https://www.cargurus.com' || path
+              WHEN source = 'craigslist' AND rel THEN 'https://philadelphia.craigslist.org' || path
+              ELSE 'https://www.example.com' || path END AS url,
+         CASE WHEN source = 'cargurus' AND structured AND NOT guard AND l_partkey % 4 = 3 THEN price_n * 10 + 5
+              WHEN source = 'craigslist' AND structured AND l_partkey % 3 = 0 THEN price_n * 100
+              ELSE price_n END AS price,
+         CASE WHEN source = 'craigslist' THEN NULL ELSE miles_n END AS mileage,
+         CASE WHEN source = 'craigslist' THEN NULL ELSE dealer END AS dealer,
+         CASE WHEN source = 'cargurus' AND structured AND guard THEN NULL ELSE location END AS location
+  FROM pgx WHERE status = 200 AND NOT challenge),
+exp1 AS (
+  SELECT * FROM exp0 WHERE url IS NOT NULL OR title IS NOT NULL OR extractor = 'json'),
+expected AS (
+  SELECT * FROM exp1 WHERE source = 'cargurus' OR url IS NULL
+  UNION ALL
+  SELECT * FROM exp1 WHERE source <> 'cargurus' AND url IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source, l_orderkey, crawl_id, url
+                             ORDER BY {S.ORDER.replace('first_seen', 'fs')}) = 1),
+pages_exp AS (
+  SELECT p.source, p.crawl_id, p.page_no, p.status, p.structured, p.challenge, p.fetched_at,
+         COALESCE(e.n, 0) AS n_rows,
+         CASE WHEN p.status <> 200 THEN NULL WHEN COALESCE(e.n, 0) = 0 THEN 'cards'
+              WHEN p.source = 'cargurus' AND p.structured THEN 'json'
+              WHEN p.source = 'craigslist' AND p.structured THEN 'jsonld' ELSE 'cards' END AS extractor
+  FROM (SELECT DISTINCT source, l_orderkey, crawl_id, page_no, status, structured, challenge, fetched_at FROM pgx) p
+  LEFT JOIN (SELECT source, l_orderkey, crawl_id, count(*) AS n FROM expected GROUP BY ALL) e
+    ON p.source = e.source AND p.l_orderkey = e.l_orderkey AND p.crawl_id = e.crawl_id)
+"""
+_EX_COLS = ["source", "crawl_id", "page_no", "title", "price", "mileage", "dealer", "location", "url", "first_seen",
+            "extractor"]
+_EX_SQL_COLS = ", ".join(_EX_COLS)
+
+
+def _ex_rows(spark, d, cond):
+    return X.listings(extracted(spark, d)).filter(cond).select(*_EX_COLS)
+
+
+@query("ex_cards_a", _EXP + f"SELECT {_EX_SQL_COLS} FROM expected WHERE source = 'cars.com'")
+def q_ex_cards_a(spark, d):
+    return _ex_rows(spark, d, F.col("source") == "cars.com")
+
+
+@query("ex_json_b", _EXP + f"SELECT {_EX_SQL_COLS} FROM expected WHERE source = 'cargurus' AND extractor = 'json'")
+def q_ex_json_b(spark, d):
+    return _ex_rows(spark, d, (F.col("source") == "cargurus") & (F.col("extractor") == "json"))
+
+
+@query("ex_cards_b", _EXP + f"SELECT {_EX_SQL_COLS} FROM expected WHERE source = 'cargurus' AND extractor = 'cards'")
+def q_ex_cards_b(spark, d):
+    return _ex_rows(spark, d, (F.col("source") == "cargurus") & (F.col("extractor") == "cards"))
+
+
+@query("ex_jsonld_c", _EXP + f"SELECT {_EX_SQL_COLS} FROM expected WHERE source = 'craigslist' AND extractor = 'jsonld'")
+def q_ex_jsonld_c(spark, d):
+    return _ex_rows(spark, d, (F.col("source") == "craigslist") & (F.col("extractor") == "jsonld"))
+
+
+@query("ex_rows_c", _EXP + f"SELECT {_EX_SQL_COLS} FROM expected WHERE source = 'craigslist' AND extractor = 'cards'")
+def q_ex_rows_c(spark, d):
+    return _ex_rows(spark, d, (F.col("source") == "craigslist") & (F.col("extractor") == "cards"))
+
+
+@query("ex_json_find", _EXP + """
+SELECT crawl_id, page_no, extractor, n_rows FROM pages_exp WHERE source = 'cargurus'""")
+def q_ex_json_find(spark, d):
+    heads = X.page_heads(extracted(spark, d))
+    return heads.filter(F.col("source") == "cargurus").select("crawl_id", "page_no", "extractor", "n_rows")
+
+
+@query("ex_fallback", _EXP + """
+SELECT source, crawl_id, page_no, extractor, n_rows FROM pages_exp""")
+def q_ex_fallback(spark, d):
+    return X.page_heads(extracted(spark, d)).select("source", "crawl_id", "page_no", "extractor", "n_rows")
+
+
+@query("ex_guard", _EXP + """
+SELECT source, extractor, count(*) AS rows, count_if(url IS NULL AND title IS NULL) AS rows_without_url_or_title
+FROM expected GROUP BY ALL""")
+def q_ex_guard(spark, d):
+    rows = X.listings(extracted(spark, d))
+    return rows.groupBy("source", "extractor").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(fn.is_empty("url") & fn.is_empty("title")).alias("rows_without_url_or_title"))
+
+
+@query("ex_page_dedupe", _EXP + """
+SELECT source, crawl_id, page_no, count(*) AS rows, count(DISTINCT url) AS distinct_urls
+FROM expected GROUP BY ALL""")
+def q_ex_page_dedupe(spark, d):
+    rows = X.listings(extracted(spark, d))
+    return rows.groupBy("source", "crawl_id", "page_no").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("url").alias("distinct_urls"))
+
+
+@query("ex_stamp", _EXP + """
+SELECT source, crawl_id, page_no, min(first_seen) AS first_seen_min, max(first_seen) AS first_seen_max,
+       min(fetched_at) AS fetched_at
+FROM expected e JOIN (SELECT source AS s2, crawl_id AS c2, page_no AS p2, fetched_at FROM pages_exp) p
+  ON e.source = p.s2 AND e.crawl_id = p.c2 AND e.page_no = p.p2
+GROUP BY ALL""")
+def q_ex_stamp(spark, d):
+    pages = rendered_pages(spark, d).select("source", "crawl_id", "page_no", "fetched_at")
+    rows = X.listings(X.extract(rendered_pages(spark, d)))
+    per_page = rows.groupBy("source", "crawl_id", "page_no").agg(
+        F.min("first_seen").alias("first_seen_min"), F.max("first_seen").alias("first_seen_max"))
+    return per_page.join(pages, ["source", "crawl_id", "page_no"]).select(
+        "source", "crawl_id", "page_no", "first_seen_min", "first_seen_max", "fetched_at")
+
+
+@query("ex_map_b", S.with_(S.DERIVED_TEXT) + """
+SELECT seq,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE title END AS title,
+       CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 4 = 3 THEN CAST(floor(l_extendedprice) AS BIGINT) * 10 + 5
+            ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS price,
+       CAST(floor(l_quantity * 4000) AS BIGINT) AS mileage, dealer,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE location END AS location,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL
+            WHEN l_partkey % 4 = 2 THEN 'https://www.cargurus.com/vehicledetail/' || CAST(l_partkey AS VARCHAR)
+            ELSE 'https://www.example.com/vehicledetail/' || CAST(l_partkey AS VARCHAR) END AS url
+FROM derived_text WHERE source = 'cargurus'""")
+def q_ex_map_b(spark, d):
+    from lotwise.sources.render import item_b
+    items = derived_text(spark, d).filter(F.col("source") == "cargurus").select("seq", item_b().alias("item"))
+    return X.map_json_items(items, "item", ["seq"])
