@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "clean_number", "url_strip", "url_untrack", "url_join", "url_encode", "strip_parens",
+    "clean_number", "py_strip", "url_strip", "url_untrack", "url_join", "url_encode", "strip_parens",
     "title_year", "is_blank", "is_empty", "to_numeric", "fmt_int", "fmt_currency", "fmt_duration",
     "utc_stamp", "run_stamp", "PY_WHITESPACE",
 ]
@@ -37,6 +37,12 @@ def clean_number(text) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
+def py_strip(x, chars: str | None = None) -> Column:
+    """Strip Python whitespace (or the given characters) from both ends."""
+    cls_ = PY_WHITESPACE if chars is None else "".join("\\" + ch for ch in chars)
+    return F.regexp_replace(_c(x), f"^[{cls_}]+|[{cls_}]+$", "")
+
+
 def is_empty(x) -> Column:
     """NULL or '' (Python falsiness of a string)."""
     c = _c(x)

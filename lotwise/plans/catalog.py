@@ -640,3 +640,142 @@ def q_ex_map_b(spark, d):
     from lotwise.sources.render import item_b
     items = derived_text(spark, d).filter(F.col("source") == "cargurus").select("seq", item_b().alias("item"))
     return X.map_json_items(items, "item", ["seq"])
+
+
+# ---- 2.3 page-level operators ---------------------------------------------------------------
+
+from lotwise.operators import pages as PG  # noqa: E402
+
+
+def event_pages(spark, d) -> DataFrame:
+    """Events as crawl pages: a user is a crawl, (ts, event_id) the page
+    order, an error event a failed fetch (HTTP 500), floor(value) the number
+    of listings on the page (0 = no results)."""
+    e = read_table(spark, d, "events")
+    return e.select(
+        "user_id", "event_id", "ts", F.lit("events").alias("source"), F.lit(False).alias("partial"),
+        F.when(F.col("event_type") == "error", F.lit(500)).otherwise(F.lit(200)).alias("status"),
+        F.floor("value").cast("bigint").alias("n_rows"),
+    )
+
+
+_EV_ORDER = ["ts", "event_id"]
+
+_EV_SQL = """WITH ev AS (
+  SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+         CAST(floor(value) AS BIGINT) AS n_rows FROM events),
+st AS (
+  SELECT user_id, ts AS sts, event_id AS sid,
+         CASE WHEN status <> 200 THEN 'HTTP ' || CAST(status AS VARCHAR) ELSE 'no results' END AS stop_reason
+  FROM ev WHERE status <> 200 OR n_rows = 0
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1),
+kept AS (
+  SELECT ev.* FROM ev LEFT JOIN st USING (user_id)
+  WHERE sts IS NULL OR ev.ts < sts OR (ev.ts = sts AND ev.event_id < sid))
+"""
+
+
+def _event_prefix(spark, d):
+    ev = event_pages(spark, d)
+    stops = PG.first_stops(ev, ["user_id"], _EV_ORDER, PG.is_stop())
+    return PG.prefix(ev, stops, ["user_id"], _EV_ORDER)
+
+
+@query("pg_prefix", _EV_SQL + "SELECT user_id, event_id, n_rows FROM kept")
+def q_pg_prefix(spark, d):
+    return _event_prefix(spark, d).select("user_id", "event_id", "n_rows")
+
+
+@query("pg_stop_reason", _EV_SQL + "SELECT user_id, sid AS stop_event_id, stop_reason FROM st")
+def q_pg_stop_reason(spark, d):
+    ev = event_pages(spark, d)
+    stops = PG.first_stops(ev, ["user_id"], _EV_ORDER, PG.is_stop(), PG.stop_reason())
+    return stops.select("user_id", F.col("stop_at.event_id").alias("stop_event_id"), "stop_reason")
+
+
+@query("pg_progress", _EV_SQL + """
+SELECT user_id, event_id, n_rows,
+       sum(n_rows) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS cumulative
+FROM kept""")
+def q_pg_progress(spark, d):
+    kept = _event_prefix(spark, d)
+    out = PG.running_total(kept, ["user_id"], _EV_ORDER, "n_rows", "cumulative", chunk=F.to_date("ts"))
+    return out.select("user_id", "event_id", "n_rows", "cumulative")
+
+
+def web_pages(spark, d) -> DataFrame:
+    """The driver's ``pages`` table as ``PAGES`` rows of a source with no
+    rule table ('web'): crawl page_id div 50, page page_id % 50 + 1."""
+    p = read_table(spark, d, "pages")
+    return p.select(F.lit("web").alias("source"), F.lit("").alias("category"),
+                    (F.col("page_id") / 50).cast("bigint").alias("crawl_id"),
+                    (F.col("page_id") % 50 + 1).cast("int").alias("page_no"), "url",
+                    F.lit(200).alias("status"), F.lit(None).cast("string").alias("fetched_at"), "html")
+
+
+_WEB_SQL = """web AS (
+  SELECT 'web' AS source, CAST(page_id // 50 AS BIGINT) AS crawl_id, CAST(page_id % 50 + 1 AS INTEGER) AS page_no,
+         url, html FROM pages)"""
+
+
+@query("src_pages", "WITH " + _WEB_SQL + """
+SELECT source, crawl_id, page_no, url, length(html) AS html_chars FROM web""")
+def q_src_pages(spark, d):
+    from lotwise.sources.pages import read_pages
+    p = read_pages(web_pages(spark, d))
+    return p.select("source", "crawl_id", "page_no", "url", F.length("html").alias("html_chars"))
+
+
+@query("pg_ok", _EXP + "SELECT DISTINCT source, crawl_id, page_no FROM pgx WHERE status = 200")
+def q_pg_ok(spark, d):
+    return PG.ok(rendered_pages(spark, d)).select("source", "crawl_id", "page_no")
+
+
+def _phrase_sql(col: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), '{p}')" for p in phrases) + ")"
+
+
+@query("pg_bot_check", _EXP + ", " + _WEB_SQL + f"""
+SELECT DISTINCT source, crawl_id, page_no, status = 200 AND challenge AS bot_check FROM pgx
+UNION ALL
+SELECT source, crawl_id, page_no, COALESCE({_phrase_sql('html', X.BOT_PHRASES)}, FALSE) AS bot_check FROM web""")
+def q_pg_bot_check(spark, d):
+    p = rendered_pages(spark, d).unionByName(web_pages(spark, d))
+    return p.select("source", "crawl_id", "page_no", PG.bot_check("html").alias("bot_check"))
+
+
+@query("pg_partial", _EXP + ", " + _WEB_SQL + f"""
+SELECT DISTINCT source, crawl_id, page_no, status = 200 AND NOT challenge AND l_orderkey % 103 = 11 AS partial FROM pgx
+UNION ALL
+SELECT source, crawl_id, page_no,
+       COALESCE(contains(lower(html), '{X.BANNER_PHRASE_1}')
+                OR (contains(lower(html), '{X.BANNER_PHRASE_2}') AND contains(lower(html), '{X.BANNER_PHRASE_3}')),
+                FALSE) AS partial
+FROM web""")
+def q_pg_partial(spark, d):
+    p = rendered_pages(spark, d).unionByName(web_pages(spark, d))
+    return p.select("source", "crawl_id", "page_no", PG.partial_banner("html").alias("partial"))
+
+
+@query("pg_suspect", _EXP + "SELECT source, crawl_id, page_no FROM pages_exp WHERE status = 200 AND challenge")
+def q_pg_suspect(spark, d):
+    return PG.suspects(X.page_heads(extracted(spark, d))).select("source", "crawl_id", "page_no")
+
+
+@query("lim_pages", _EXP + "SELECT DISTINCT source, category, crawl_id, page_no FROM pgx WHERE page_no <= 8")
+def q_lim_pages(spark, d):
+    return shape.limit_pages(rendered_pages(spark, d), 8).select("source", "category", "crawl_id", "page_no")
+
+
+@query("err_isolate", _EXP + ", " + _WEB_SQL + """
+SELECT p.source, count(*) AS pages, COALESCE(sum(p.n_rows), 0) AS rows, 0 AS error_pages
+FROM pages_exp p GROUP BY p.source
+UNION ALL
+SELECT 'web' AS source, count(*) AS pages, 0 AS rows, count(*) AS error_pages FROM web""")
+def q_err_isolate(spark, d):
+    ext = X.extract(rendered_pages(spark, d).unionByName(web_pages(spark, d)))
+    heads = X.page_heads(ext)
+    return heads.groupBy("source").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("n_rows").alias("rows"),
+        F.count_if(F.col("error").isNotNull()).alias("error_pages"))
