@@ -535,12 +535,14 @@ expected AS (
   QUALIFY row_number() OVER (PARTITION BY source, l_orderkey, crawl_id, url
                              ORDER BY {S.ORDER.replace('first_seen', 'fs')}) = 1),
 pages_exp AS (
-  SELECT p.source, p.crawl_id, p.page_no, p.status, p.structured, p.challenge, p.fetched_at,
+  SELECT p.source, p.category, p.l_orderkey, p.crawl_id, p.page_no, p.status, p.structured, p.challenge,
+         p.fetched_at,
          COALESCE(e.n, 0) AS n_rows,
          CASE WHEN p.status <> 200 THEN NULL WHEN COALESCE(e.n, 0) = 0 THEN 'cards'
               WHEN p.source = 'cargurus' AND p.structured THEN 'json'
               WHEN p.source = 'craigslist' AND p.structured THEN 'jsonld' ELSE 'cards' END AS extractor
-  FROM (SELECT DISTINCT source, l_orderkey, crawl_id, page_no, status, structured, challenge, fetched_at FROM pgx) p
+  FROM (SELECT DISTINCT source, category, l_orderkey, crawl_id, page_no, status, structured, challenge, fetched_at
+        FROM pgx) p
   LEFT JOIN (SELECT source, l_orderkey, crawl_id, count(*) AS n FROM expected GROUP BY ALL) e
     ON p.source = e.source AND p.l_orderkey = e.l_orderkey AND p.crawl_id = e.crawl_id)
 """
@@ -779,3 +781,204 @@ def q_err_isolate(spark, d):
     return heads.groupBy("source").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("n_rows").alias("rows"),
         F.count_if(F.col("error").isNotNull()).alias("error_pages"))
+
+
+# ---- 2.1 sources and 2.2 sinks (write to a fresh folder under the shared dir, read back) -----
+
+from lotwise.plans import jobs as J  # noqa: E402
+from lotwise.session import scratch_path  # noqa: E402
+from lotwise.sinks import writers as W  # noqa: E402
+from lotwise.sources import files as FS  # noqa: E402
+from lotwise.sources.pages import frontier  # noqa: E402
+from lotwise.schema import FILE_STEM, LISTING  # noqa: E402
+
+
+def _read_csv(spark, path) -> DataFrame:
+    return (spark.read.schema(LISTING).option("header", True).option("multiLine", True).option("escape", '"')
+            .csv(path))
+
+
+_LISTING_SQL = S.with_(S.DERIVED) + f"SELECT {S.LISTING} FROM derived"
+
+
+@query("snk_csv", _LISTING_SQL)
+def q_snk_csv(spark, d):
+    path = scratch_path(spark, "csv")
+    W.write_csv(derived_listings(spark, d), path)
+    return _read_csv(spark, path)
+
+
+@query("snk_parquet", _LISTING_SQL)
+def q_snk_parquet(spark, d):
+    path = scratch_path(spark, "parquet")
+    W.write_parquet(derived_listings(spark, d), path)
+    return spark.read.parquet(path).select(*LISTING_COLS)
+
+
+@query("snk_per_source", _LISTING_SQL)
+def q_snk_per_source(spark, d):
+    path = scratch_path(spark, "per-source")
+    W.write_per_source(derived_listings(spark, d), path)
+    return spark.read.parquet(path).select(*LISTING_COLS)
+
+
+@query("snk_snapshot", S.with_(S.DERIVED) + f"SELECT {S.LISTING}, 'run=20240101-000000' AS run FROM derived")
+def q_snk_snapshot(spark, d):
+    base = scratch_path(spark, "snapshots")
+    path = W.write_snapshot(derived_listings(spark, d), base, RUN_TS)
+    return _read_csv(spark, f"{path}/csv").withColumn("run", F.lit(path.rsplit("/", 1)[1]))
+
+
+@query("snk_merged", _MERGE_SQL + f"SELECT {S.LISTING} FROM m WHERE win = 1")
+def q_snk_merged(spark, d):
+    t = derived_listings(spark, d).withColumn("file_rank", file_rank())
+    merged = dedupe.merge_first_seen(t, ["file_rank", *ORDER], keep=LISTING_COLS)
+    path = scratch_path(spark, "merged")
+    W.write_merged(merged, path)
+    return _read_csv(spark, path)
+
+
+_SKIP_LIMIT = 1000
+
+
+@query("snk_skip_empty", S.with_(S.DERIVED) + f"""
+SELECT s.source, count(d.seq) > 0 AS written, count(d.seq) AS rows
+FROM (VALUES ('cars.com'), ('cargurus'), ('craigslist')) s(source)
+LEFT JOIN derived d ON d.source = s.source AND d.price <= {_SKIP_LIMIT}
+GROUP BY s.source""")
+def q_snk_skip_empty(spark, d):
+    t = derived_listings(spark, d).filter(F.col("price") <= _SKIP_LIMIT)
+    base = scratch_path(spark, "skip-empty")
+    out = []
+    for src in ["cars.com", "cargurus", "craigslist"]:
+        path = f"{base}/{FILE_STEM[src]}.csv"
+        written = W.write_if_any(t.filter(F.col("source") == src), W.write_csv, path)
+        n = _read_csv(spark, path).count() if written else 0
+        out.append((src, written, n))
+    return spark.createDataFrame(out, "source string, written boolean, rows bigint")
+
+
+def _write_results_files(spark, d, base: str, layouts: dict | None = None) -> None:
+    """Derived listings as per-source result files, rows in reading order."""
+    t = derived_listings(spark, d)
+    for src, stem in FILE_STEM.items():
+        part = t.filter(F.col("source") == src).orderBy(*ORDER)
+        cols = (layouts or {}).get(src, LISTING_COLS)
+        sel = [F.col(c) if c in part.columns else F.lit("x").alias(c) for c in cols]
+        (part.select(*sel).write.mode("overwrite").option("header", True).option("escape", '"')
+         .csv(f"{base}/{stem}_results.csv"))
+
+
+@query("src_csv_glob", S.with_(S.DERIVED) + f"""
+SELECT source, title, price, mileage, CASE WHEN source = 'cargurus' THEN NULL ELSE dealer END AS dealer,
+       location, url, first_seen,
+       CASE source WHEN 'cars.com' THEN 'carscom_results.csv' WHEN 'cargurus' THEN 'cargurus_results.csv'
+            ELSE 'craigslist_results.csv' END AS results_file
+FROM derived""")
+def q_src_csv_glob(spark, d):
+    base = scratch_path(spark, "results")
+    layouts = {
+        "cargurus": ["vin", "source", "title", "price", "mileage", "location", "url", "first_seen"],
+        "craigslist": list(reversed(LISTING_COLS)),
+    }
+    _write_results_files(spark, d, base, layouts)
+    # an earlier merged output in the same folder must be left out
+    W.write_csv(derived_listings(spark, d).limit(5), f"{base}/combined_listings.csv")
+    rows = FS.typed(FS.read_listing_csv(spark, f"{base}/*.csv", exclude="combined_listings.csv"))
+    return rows.select(*LISTING_COLS,
+                       F.regexp_extract("file", "([^/]+_results\\.csv)/", 1).alias("results_file"))
+
+
+@query("src_rows", S.with_(S.DERIVED_TEXT) + f"""
+SELECT source, title, TRY_CAST(NULLIF(regexp_replace(price_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS price,
+       TRY_CAST(NULLIF(regexp_replace(mileage_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS mileage,
+       dealer, location, {S.untrack('raw_url')} AS url, '{RUN_TS}' AS first_seen
+FROM derived_text""")
+def q_src_rows(spark, d):
+    t = derived_text(spark, d)
+    rows = t.select("source", "title", fn.clean_number("price_text").cast("string").alias("price"),
+                    fn.clean_number("mileage_text").alias("mileage"), "dealer", "location",
+                    F.col("raw_url").alias("url"))
+    return FS.as_listings(rows, RUN_TS).select(*LISTING_COLS)
+
+
+_FRONTIER_SQL = S.with_(NATION_CRITERIA_SQL) + """,
+crawls(source, category) AS (VALUES ('cars.com', ''), ('cargurus', ''), ('craigslist', 'cto'), ('craigslist', 'cta')),
+pg AS (SELECT CAST(range AS INTEGER) AS page_no FROM range(1, 9))
+SELECT c.criteria_id, w.source, w.category, p.page_no,
+  CASE w.source
+    WHEN 'cars.com' THEN 'https://www.cars.com/shopping/results/?stock_type=used&maximum_distance=' || c.radius_miles
+      || '&zip=' || c.zip || '&list_price_max=' || c.price_max || '&mileage_max=' || c.mileage_max
+      || '&year_min=' || c.year_min || '&page=' || p.page_no || '&page_size=50'
+    WHEN 'cargurus' THEN 'https://www.cargurus.com/Cars/inventorylisting/viewDetailsFilterViewInventoryListing.action'
+      || '?zip=' || c.zip || '&radius=' || c.radius_miles || '&maxPrice=' || c.price_max
+      || '&maxMileage=' || c.mileage_max || '&minYear=' || c.year_min || '&inventorySearch=true&page=' || p.page_no
+    ELSE 'https://' || c.region || '.craigslist.org/search/' || w.category || '?postal=' || c.zip
+      || '&search_distance=' || c.radius_miles || '&max_price=' || c.price_max || '&auto_year_min=' || c.year_min
+      || '&auto_miles_max=' || c.mileage_max || '&s=' || ((p.page_no - 1) * 120) END AS url
+FROM crit c CROSS JOIN crawls w CROSS JOIN pg p"""
+
+
+@query("src_frontier", _FRONTIER_SQL)
+def q_src_frontier(spark, d):
+    return frontier(nation_criteria(spark, d), 8)
+
+
+_CATEGORY_SETTINGS = ["both", "all", "cta", "cto,cta", "xyz", " CTA , cto "]
+
+
+@query("src_categories", """
+WITH s AS (
+  SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'both' WHEN 1 THEN 'all' WHEN 2 THEN 'cta'
+                            WHEN 3 THEN 'cto,cta' WHEN 4 THEN 'xyz' ELSE ' CTA , cto ' END AS setting
+  FROM nation)
+SELECT n_nationkey, setting,
+       CASE n_nationkey % 6 WHEN 0 THEN 'cto,cta' WHEN 1 THEN 'cto,cta' WHEN 2 THEN 'cta' WHEN 3 THEN 'cto,cta'
+            WHEN 4 THEN 'cto' ELSE 'cta,cto' END AS categories
+FROM s""")
+def q_src_categories(spark, d):
+    n = read_table(spark, d, "nation")
+    setting = F.element_at(F.array(*[F.lit(x) for x in _CATEGORY_SETTINGS]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    s = n.select("n_nationkey", setting.alias("setting"))
+    return s.select("n_nationkey", "setting", F.array_join(PG.category_choice(F.col("setting")), ",").alias("categories"))
+
+
+# ---- 2.10 composite jobs ------------------------------------------------------------------
+
+@query("job_source", _EXP + f""",
+pst AS (
+  SELECT *, status <> 200 OR n_rows = 0 OR (source = 'cars.com' AND status = 200 AND NOT challenge
+                                            AND l_orderkey % 103 = 11) AS stop
+  FROM pages_exp WHERE source = 'cars.com'),
+fst AS (SELECT source, category, crawl_id, min(page_no) AS stop_page FROM pst WHERE stop GROUP BY ALL),
+pre AS (
+  SELECT e.* FROM expected e LEFT JOIN fst f USING (source, category, crawl_id)
+  WHERE e.source = 'cars.com' AND (f.stop_page IS NULL OR e.page_no < f.stop_page)),
+dd AS (
+  SELECT * FROM pre
+  QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY crawl_id, page_no,
+                                           {S.ORDER.replace('first_seen', 'fs')}) = 1)
+SELECT source, title, price, mileage, dealer, location, url, first_seen FROM dd
+WHERE {S.passes(_L['price_max'], _L['mileage_max'], _L['year_min'])}""")
+def q_job_source(spark, d):
+    out = scratch_path(spark, "job-source")
+    run = J.job_source(rendered_pages(spark, d), "cars.com", criteria=TEST_LIMITS, out_dir=out)
+    return _read_csv(spark, run.csv_path)
+
+
+@query("job_combined", _COMBINED_SQL + f"SELECT {S.LISTING} FROM comb")
+def q_job_combined(spark, d):
+    t = derived_listings(spark, d)
+    per_source = {s: t.filter(F.col("source") == s) for s in ["craigslist", "cars.com", "cargurus"]}
+    out = scratch_path(spark, "job-combined")
+    run = J.job_combined(per_source, ORDER, limits=TEST_LIMITS, out_dir=out, run_ts=RUN_TS)
+    return _read_csv(spark, f"{run.snapshot}/csv")
+
+
+@query("job_merge", _MERGE_SQL + f"SELECT {S.LISTING} FROM m WHERE win = 1")
+def q_job_merge(spark, d):
+    base = scratch_path(spark, "job-merge")
+    _write_results_files(spark, d, base)
+    output = f"{base}/combined_listings.csv"
+    J.job_merge(spark, f"{base}/*_results.csv", output)
+    return _read_csv(spark, output)
