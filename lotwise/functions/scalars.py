@@ -44,9 +44,9 @@ def py_strip(x, chars: str | None = None) -> Column:
 
 
 def is_empty(x) -> Column:
-    """NULL or '' (Python falsiness of a string)."""
-    c = _c(x)
-    return c.isNull() | (c == "")
+    """NULL or '' (Python falsiness of a string).  References ``x`` once, so
+    a computed column pushed into a filter is not expanded twice."""
+    return F.coalesce(_c(x), F.lit("")) == F.lit("")
 
 
 def is_blank(x) -> Column:
@@ -55,18 +55,39 @@ def is_blank(x) -> Column:
     return c.isNull() | c.rlike(f"^[{PY_WHITESPACE}]*$")
 
 
+def _let(x: Column, f) -> Column:
+    """Evaluate ``x`` once and apply ``f`` to it (a lambda binding), so an
+    expression used several times is neither recomputed nor copied into the
+    generated code once per use."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _clean_url_text(c: Column) -> Column:
-    # What urlsplit does before splitting: drop tab/CR/LF anywhere, strip
-    # leading C0 controls and blanks, lower-case the scheme.
-    u = F.regexp_replace(F.regexp_replace(c, "[\\t\\r\\n]", ""), "^[\\x00-\\x20]+", "")
-    scheme = F.regexp_extract(u, _SCHEME, 1)
-    rest = u.substr(F.length(scheme) + 1, F.lit(1 << 30))
-    return F.when(scheme != "", F.concat(F.lower(scheme), rest)).otherwise(u)
+    # What urlsplit does before splitting: strip leading C0 controls and
+    # blanks, drop tab/CR/LF anywhere, lower-case a valid scheme.
+    def lower_scheme(u):
+        scheme = F.substring_index(u, ":", 1)
+        fix = u.contains(":") & (scheme != F.lower(scheme)) & scheme.rlike("^[A-Za-z][A-Za-z0-9+.-]*$")
+        return F.when(fix, F.concat(F.lower(scheme), u.substr(F.length(scheme) + 1, F.lit(1 << 30)))).otherwise(u)
+
+    return _let(F.regexp_replace(c, "^[\\x00-\\x20]+|[\\t\\r\\n]", ""), lower_scheme)
+
+
+def _plain_url(c: Column) -> Column:
+    # The common case needs none of the clean-up: lower-case http(s) scheme,
+    # no tab / CR / LF anywhere.
+    return ((c.startswith("https://") | c.startswith("http://"))
+            & ~c.contains("\t") & ~c.contains("\n") & ~c.contains("\r"))
 
 
 def url_strip(url) -> Column:
-    """Canonical listing URL: scheme, host and path only (query and fragment dropped)."""
-    return F.regexp_replace(_clean_url_text(_c(url)), "(?s)[?#].*$", "")
+    """Canonical listing URL: scheme, host and path only (query and fragment dropped).
+
+    One regex on the common path; the rare clean-ups (which commute with
+    cutting at the first '?' or '#') only run for URLs that need them.
+    """
+    cut = F.regexp_replace(_c(url), "(?s)[?#].*$", "")
+    return F.when(_plain_url(cut), cut).otherwise(_clean_url_text(cut))
 
 
 def _form_encode(x: Column) -> Column:
@@ -88,7 +109,7 @@ def _form_decode(x: Column) -> Column:
 def url_untrack(url) -> Column:
     """Drop ``utm_*`` parameters (any case) and the fragment; keep the other
     parameters in order, re-encoded; a bare ``k`` becomes ``k=``."""
-    u = F.regexp_replace(_clean_url_text(_c(url)), "(?s)#.*$", "")
+    u = _clean_url_text(F.regexp_replace(_c(url), "(?s)#.*$", ""))
     base = F.regexp_replace(u, "(?s)\\?.*$", "")
     qpos = F.instr(u, "?")
     query = F.when(qpos > 0, u.substr(qpos + 1, F.lit(1 << 30))).otherwise(F.lit(""))

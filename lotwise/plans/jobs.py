@@ -90,32 +90,38 @@ def job_combined(per_source: dict[str, DataFrame], order: list[str], limits: dic
                  write_parquet: bool = True) -> CombinedRun:
     """All sources: per-source outputs, union, de-dupe (first by source rank
     then reading order), limits, sort by price and mileage, snapshot, counts.
-    De-dupe comes before the limits, as in the combined run."""
+    De-dupe comes before the limits, as in the combined run.
+
+    Per-source outputs are one write partitioned by source (an empty source
+    simply has no folder).  The sorted result is checkpointed once, so the
+    snapshot's CSV and Parquet copies and the counts reuse one sort.
+    """
     lim = dict(COMBINED_LIMITS, **(limits or {}))
-    chosen = {k: v for k, v in per_source.items() if sources is None or k in set(sources)}
+    chosen = [v for k, v in per_source.items() if sources is None or k in set(sources)]
+    union = shape.union_all(chosen)
     if out_dir:
-        for name, df in chosen.items():
-            stem = FILE_STEM.get(name, name)
-            W.write_if_any(df, W.write_csv, f"{out_dir}/{stem}.csv")
-            if write_parquet:
-                W.write_if_any(df, W.write_parquet, f"{out_dir}/{stem}.parquet")
-    union = shape.union_all(list(chosen.values())).withColumn("source_rank", _rank(COMBINED_RANK))
+        W.write_per_source(union, f"{out_dir}/by_source_csv", fmt="csv")
+        if write_parquet:
+            W.write_per_source(union, f"{out_dir}/by_source_parquet", fmt="parquet")
     keyed = ["source_rank", *order]
-    combined = filters.limits(dedupe.dedupe_collapse(union, keyed), lim["price_max"], lim["mileage_max"])
+    ranked = union.withColumn("source_rank", _rank(COMBINED_RANK))
+    combined = filters.limits(dedupe.dedupe_collapse(ranked, keyed), lim["price_max"], lim["mileage_max"])
     ordered = shape.sort_price_miles(combined, keyed)
     snap = None
-    if out_dir and run_ts and not combined.isEmpty():
-        snap = W.write_snapshot(combined, f"{out_dir}/combined", run_ts,
-                                order=[F.asc_nulls_last("price"), F.asc_nulls_last("mileage"), *keyed],
-                                parquet=write_parquet)
-    return CombinedRun(ordered, stats.by_source(combined), snap)
+    if out_dir and run_ts:
+        shared_dir(union.sparkSession)
+        ordered = ordered.checkpoint(eager=True)
+        if not ordered.isEmpty():
+            snap = W.write_snapshot(ordered, f"{out_dir}/combined", run_ts, parquet=write_parquet)
+    return CombinedRun(ordered, stats.by_source(ordered), snap)
 
 
 def job_merge(spark: SparkSession, input_glob: str, output: str | None = None) -> DataFrame | None:
     """Per-source CSV files -> one row per URL, earliest ``first_seen``,
     in order of first encounter.  No rows: nothing is written, None back."""
+    shared_dir(spark)
     files = read_listing_csv(spark, input_glob, exclude=output)
-    merged = dedupe.merge_first_seen(files, ["file", "row_no"], keep=LISTING_COLS)
+    merged = dedupe.merge_first_seen(files, ["file", "row_no"], keep=LISTING_COLS).checkpoint(eager=True)
     if merged.isEmpty():
         return None
     if output:

@@ -7,43 +7,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.scalars import to_numeric, url_untrack
-from lotwise.plans.sizing import broadcast_if_small
 from lotwise.schema import LISTING, LISTING_COLS
 
 # Widest header the reader binds by name (columns past it are ignored).
-MAX_CSV_COLS = 64
+MAX_CSV_COLS = 32
 _RAW = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(MAX_CSV_COLS)])
+_BOUND = T.StructType([T.StructField(n, T.StringType()) for n in LISTING_COLS]
+                      + [T.StructField("file", T.StringType()), T.StructField("row_no", T.LongType())])
 
 
-def read_listing_csv(spark: SparkSession, paths, exclude: str | None = None, max_broadcast_files: int = 200_000) -> DataFrame:
+def _bind_by_header(batches):
+    """Per partition: each file's first row is its header; later rows of the
+    file are bound to the 8 listing names by that header (a repeated name
+    binds to its last column, as a dict of the row would).  Vectorised per
+    run of rows from one file."""
+    import numpy as np
+    import pandas as pd
+
+    cur, pos, row_no = None, {}, 0
+    for pdf in batches:
+        files = pdf["_file"].to_numpy()
+        n = len(files)
+        if n == 0:
+            continue
+        cuts = np.flatnonzero(files[1:] != files[:-1]) + 1
+        parts = []
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, n]):
+            if files[s] != cur:  # a new file starts here: its first row is the header
+                cur, row_no = files[s], 0
+                header = pdf.iloc[s, :MAX_CSV_COLS].tolist()
+                pos = {}
+                for i, name in enumerate(header):
+                    if isinstance(name, str):
+                        pos[name] = i
+                s += 1
+            if s >= e:
+                continue
+            seg = pdf.iloc[s:e]
+            out = {c: (seg[f"_c{pos[c]}"].to_numpy() if c in pos else np.full(e - s, None, dtype=object))
+                   for c in LISTING_COLS}
+            out["file"] = files[s:e]
+            out["row_no"] = np.arange(row_no, row_no + (e - s), dtype="int64")
+            row_no += e - s
+            parts.append(pd.DataFrame(out))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
+def read_listing_csv(spark: SparkSession, paths, exclude: str | None = None) -> DataFrame:
     """Read listing CSV files and bind columns by *header name*, per file.
 
-    Every file is read with a wide all-text schema (no header), so files with
-    different column orders, extra or missing columns can share one scan.
-    Each file's first row is its header; it is picked by an aggregate per
-    file and joined back, so binding by name is data, not driver code.
-    ``multiLine`` keeps each file in one split, so row order within a file
-    is the scan order.  Adds ``file`` (its path; files are read in path
-    order) and ``row_no`` (increasing within a file).
+    Files are read with a wide all-text schema and no header, so files with
+    different column orders, extra or missing columns share one scan.
+    ``multiLine`` keeps every file whole in one split, so within a task the
+    rows of a file arrive together and in file order: its first row is its
+    header.  One pass, no driver-side reads, no join.  Adds ``file`` (files
+    are ordered by path) and ``row_no`` (0-based data row within the file).
     """
     raw = (spark.read.schema(_RAW).option("header", False).option("multiLine", True).option("escape", '"')
            .option("mode", "PERMISSIVE").csv(paths)
-           .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")))
+           .select("*", F.col("_metadata.file_path").alias("_file")))
     if exclude:
         raw = raw.filter(~F.col("_file").contains(exclude))
-    cells = F.array(*[F.col(f"_c{i}") for i in range(MAX_CSV_COLS)])
-    headers = raw.groupBy("_file").agg(F.min_by(cells, F.col("_row")).alias("_hdr"), F.min("_row").alias("_hdr_row"))
-    headers, _ = broadcast_if_small(headers, max_broadcast_files)
-    rows = raw.join(headers, "_file").filter(F.col("_row") != F.col("_hdr_row"))
-    # A repeated header name binds to its last column, as a dict of the row would.
-    rev = F.reverse(F.col("_hdr"))
-
-    def field(name: str):
-        pos = F.array_position(rev, name)
-        return F.when(pos > 0, F.element_at(F.reverse(cells), pos.cast("int")))
-
-    return rows.select(*[field(n).alias(n) for n in LISTING_COLS], F.col("_file").alias("file"),
-                       F.col("_row").alias("row_no"))
+    return raw.mapInPandas(_bind_by_header, _BOUND)
 
 
 def typed(df: DataFrame) -> DataFrame:
