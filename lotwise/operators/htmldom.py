@@ -27,22 +27,26 @@ BLOCKS_CLOSING_P = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "cls", "children", "elems", "parent")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag = tag
         self.attrs = attrs
-        self.children: list = []
+        c = attrs.get("class")
+        self.cls = frozenset(c.split()) if c else frozenset()
+        self.children: list = []   # elements and text, in order
+        self.elems: list = []      # elements only
         self.parent = parent
 
     # -- queries ---------------------------------------------------------------
     def iter(self):
         """Descendant elements in document order (pre-order), self excluded."""
-        stack = list(reversed([c for c in self.children if isinstance(c, Node)]))
+        stack = self.elems[::-1]
         while stack:
             n = stack.pop()
             yield n
-            stack.extend(reversed([c for c in n.children if isinstance(c, Node)]))
+            if n.elems:
+                stack.extend(n.elems[::-1])
 
     def select(self, rules):
         """All descendants matching any rule, in document order."""
@@ -50,23 +54,39 @@ class Node:
 
     def select_one(self, rules):
         for n in self.iter():
-            if any(r.match(n) for r in rules):
-                return n
+            for r in rules:
+                if r.match(n):
+                    return n
         return None
 
+    def first_of(self, table: dict) -> dict:
+        """For each name -> rules, the first descendant matching any of its
+        rules (document order), found in one walk of the subtree."""
+        found = dict.fromkeys(table)
+        todo = dict(table)
+        for n in self.iter():
+            for name, rules in list(todo.items()):
+                for r in rules:
+                    if r.match(n):
+                        found[name] = n
+                        del todo[name]
+                        break
+            if not todo:
+                break
+        return found
+
     def get(self, name: str):
         return self.attrs.get(name)
 
-    def classes(self) -> list[str]:
-        return (self.attrs.get("class") or "").split()
+    def classes(self) -> frozenset:
+        return self.cls
 
     def strings(self):
         for c in self.children:
-            if isinstance(c, Node):
-                if c.tag not in NO_TEXT:
-                    yield from c.strings()
-            else:
+            if c.__class__ is str:
                 yield c
+            elif c.tag not in NO_TEXT:
+                yield from c.strings()
 
     def text(self, sep: str = "") -> str:
         """Text pieces, each stripped, empty ones skipped, joined by ``sep``."""
@@ -74,7 +94,7 @@ class Node:
 
     def string(self):
         """The element's only text child, or None (like a script's body)."""
-        if len(self.children) == 1 and isinstance(self.children[0], str):
+        if len(self.children) == 1 and self.children[0].__class__ is str:
             return self.children[0]
         return None
 
@@ -90,7 +110,7 @@ class Rule:
     def match(self, n: Node) -> bool:
         if self.tag is not None and n.tag != self.tag:
             return False
-        if self.cls is not None and self.cls not in n.classes():
+        if self.cls is not None and self.cls not in n.cls:
             return False
         if self.attr is not None:
             v = n.attrs.get(self.attr)
@@ -144,6 +164,7 @@ class _Builder(HTMLParser):
             a.setdefault(k, v if v is not None else "")
         node = Node(t, a, self.cur)
         self.cur.children.append(node)
+        self.cur.elems.append(node)
         if t not in VOID:
             self.cur = node
 

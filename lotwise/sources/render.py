@@ -197,41 +197,43 @@ def render_pages(text: DataFrame) -> DataFrame:
                        F.struct(*[F.col(c) for c in ORDER], piece.alias("piece")).alias("p"))
     pages = rows.groupBy("source", "l_orderkey", "crawl_id", "page_no", "category", "structured").agg(
         F.array_sort(F.collect_list("p")).alias("ps"), F.min("first_seen").alias("fetched_at"))
+    # Stage 1: the joined pieces, once per page (later stages refer to them
+    # by name, so they are not rebuilt per use).
+    as_cards = (F.col("source") == SOURCE_A) | ~F.col("structured")
     pieces = F.transform("ps", lambda x: x["piece"])
-    cards = F.array_join(pieces, "")
-    items = F.array_join(pieces, ",")
+    joined = F.when(as_cards, F.array_join(pieces, "")).otherwise(F.array_join(pieces, ","))
+    staged = pages.select("source", "l_orderkey", "crawl_id", "page_no", "category", "structured", "fetched_at",
+                          joined.alias("joined"), F.size("ps").alias("n"))
     o = F.col("l_orderkey")
-    style = o % 4 == 0
+    src, structured, joined = F.col("source"), F.col("structured"), F.col("joined")
     listing_doc = _s('{"meta":{"page":', F.col("page_no").cast("string"), ',"tags":["used"]},"empty":[],',
-                     '"search":{"facets":[{"facet":"make","count":', F.size("ps").cast("string"), '}],',
-                     '"results":{"listings":[', items, "]}}}")
-    b_json = F.when(style, _s("<script>window.__DATA__ = ", listing_doc, ";</script>")) \
-        .otherwise(_s('<script type="application/json">', listing_doc, "</script>"))
+                     '"search":{"facets":[{"facet":"make","count":', F.col("n").cast("string"), '}],',
+                     '"results":{"listings":[', joined, "]}}}")
+    b_json = F.concat(F.when(o % 4 == 0, F.lit("<script>window.__DATA__ = ")).otherwise(
+        F.lit('<script type="application/json">')), listing_doc,
+        F.when(o % 4 == 0, F.lit(";</script>")).otherwise(F.lit("</script>")))
     c_jsonld = _s('<script type="application/ld+json" id="ld_searchpage_results">',
-                  '{"@context":"https://schema.org","@type":"ItemList","itemListElement":["ad",', items, "]}</script>")
-    head_extra = (F.when((F.col("source") == SOURCE_B) & F.col("structured"),
-                         _s("<script>var t = 1;</script><script>{bad json</script>", b_json))
-                  .when((F.col("source") == SOURCE_C) & F.col("structured"), c_jsonld).otherwise(F.lit("")))
-    body_cards = (F.when(F.col("source") == SOURCE_C, _s('<ul class="rows">', F.when(F.col("structured"), F.lit(""))
-                                                         .otherwise(cards), "</ul>"))
-                  .otherwise(F.when((F.col("source") == SOURCE_B) & F.col("structured"), F.lit(""))
-                             .otherwise(_s('<div class="results">', cards, "</div>"))))
+                  '{"@context":"https://schema.org","@type":"ItemList","itemListElement":["ad",', joined, "]}</script>")
+    head_extra = (F.when((src == SOURCE_B) & structured, _s("<script>var t = 1;</script><script>{bad json</script>", b_json))
+                  .when((src == SOURCE_C) & structured, c_jsonld).otherwise(F.lit("")))
+    cards = F.when((src != SOURCE_A) & structured, F.lit("")).otherwise(joined)
+    body = F.when(src == SOURCE_C, _s('<ul class="rows">', cards, "</ul>")).otherwise(
+        _s('<div class="results">', cards, "</div>"))
     banner = _opt(o % 103 == 11, F.lit('<div class="notice">We found partial matches outside your search area.</div>'))
     normal = _s("<!DOCTYPE html><html><head><title>Results</title>", head_extra, "</head><body><!-- results -->",
-                banner, body_cards, "</body></html>")
+                banner, body, "</body></html>")
     challenge = F.lit("<html><head><title>Just a moment...</title></head>"
                       "<body><p>Checking your browser before accessing the site.</p></body></html>")
     status = F.when(o % 107 == 13, F.lit(503)).otherwise(F.lit(200))
     html = F.when(status != 200, F.lit(None).cast("string")).when(o % 101 == 7, challenge).otherwise(normal)
-    url = (F.when(F.col("source") == SOURCE_A, _s("https://www.cars.com/shopping/results/?page=",
-                                                  F.col("page_no").cast("string")))
-           .when(F.col("source") == SOURCE_B, _s("https://www.cargurus.com/Cars/inventorylisting/"
-                                                 "viewDetailsFilterViewInventoryListing.action?page=",
-                                                 F.col("page_no").cast("string")))
+    url = (F.when(src == SOURCE_A, _s("https://www.cars.com/shopping/results/?page=", F.col("page_no").cast("string")))
+           .when(src == SOURCE_B, _s("https://www.cargurus.com/Cars/inventorylisting/"
+                                     "viewDetailsFilterViewInventoryListing.action?page=",
+                                     F.col("page_no").cast("string")))
            .otherwise(_s("https://philadelphia.craigslist.org/search/", F.col("category"), "?s=",
                          ((F.col("page_no") - 1) * 120).cast("string"))))
-    return pages.select("source", "category", "crawl_id", "page_no", url.alias("url"), status.cast("int").alias("status"),
-                        "fetched_at", html.alias("html"))
+    return staged.select("source", "category", "crawl_id", "page_no", url.alias("url"),
+                         status.cast("int").alias("status"), "fetched_at", html.alias("html"))
 
 
 __all__ = ["render_pages", "URL_BASE", "PATH"]
