@@ -32,15 +32,20 @@ def first_per_key(df: DataFrame, key: Column | str, order: Sequence[str | Column
     )
 
 
-def dedupe_keep_blank(df: DataFrame, order: Sequence[str | Column], url: str = "url") -> DataFrame:
-    """First row per URL; every row with a blank URL is kept.
-
-    Blank-URL rows are split off before the shuffle (they would all hash to
-    one key) and appended unchanged.
+def dedupe_keep_blank(df: DataFrame, order: Sequence[str | Column], url: str = "url",
+                      scope: Sequence[str] = (), keep_all: Column | None = None) -> DataFrame:
+    """First row per URL (within ``scope`` columns, e.g. per source); every
+    row with a blank URL is kept, and so is every row where ``keep_all`` is
+    true (a source that does not de-duplicate).
+
+    One pass, one shuffle: rows that must all be kept get a key of their own
+    (unique per row), so they spread evenly instead of piling onto one blank
+    key, while real URLs still combine map-side.
     """
-    blank = is_empty(url)
-    firsts = first_per_key(df.filter(~blank), url, order)
-    return firsts.unionByName(df.filter(blank))
+    solo = is_empty(url) if keep_all is None else (is_empty(url) | F.coalesce(keep_all, F.lit(False)))
+    key = F.struct(*[F.col(c) for c in scope], F.when(~solo, F.col(url)).alias("_u"),
+                   F.when(solo, F.monotonically_increasing_id()).alias("_id"))
+    return first_per_key(df, key, order)
 
 
 def dedupe_collapse(df: DataFrame, order: Sequence[str | Column], url: str = "url") -> DataFrame:

@@ -384,16 +384,7 @@ def q_agg_by_source(spark, d):
 def per_source_deduped(t: DataFrame) -> DataFrame:
     """Each source's own de-dupe: A and C keep the first row per URL (blank
     URLs all kept); B does not de-duplicate."""
-    b = t.filter(F.col("source") == "cargurus")
-    ac = t.filter(F.col("source") != "cargurus")
-    return _dedupe_by_source(ac).unionByName(b)
-
-
-def _dedupe_by_source(ac: DataFrame) -> DataFrame:
-    # First row per (source, URL); blank URLs kept.
-    blank = fn.is_empty("url")
-    firsts = dedupe.first_per_key(ac.filter(~blank), F.struct("source", "url"), ORDER)
-    return firsts.unionByName(ac.filter(blank))
+    return dedupe.dedupe_keep_blank(t, ORDER, scope=["source"], keep_all=F.col("source") == "cargurus")
 
 
 def source_passes():

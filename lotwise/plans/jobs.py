@@ -57,7 +57,7 @@ def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_
     c = dict(DEFAULT_CRITERIA, **(criteria or {}))
     p = pages.filter(F.col("source") == source)
     rows, stops, errs = source_rows(p)
-    deduped = rows if source == SOURCE_B else dedupe.dedupe_keep_blank(rows, ORDER)
+    deduped = rows if source == SOURCE_B else dedupe.dedupe_keep_blank(rows, ORDER)  # one source per run
     passes = filters.passes(c["price_max"], None if source == SOURCE_C else c["mileage_max"], c["year_min"])
     fields = ["title", "location"] if source == SOURCE_C else ["dealer", "location"]
     summary = stats.raw_vs_filtered(deduped, passes, by=["source"], fields=fields, approx=approx)
