@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.schema import LISTING, LISTING_COLS
+from lotwise.schema import LISTING
 
 
 def sort_price_miles(df: DataFrame, tie: Sequence[str | Column] = ()) -> DataFrame:
@@ -45,4 +45,4 @@ def default_first_seen(df: DataFrame, run_ts: str) -> DataFrame:
     return df.withColumn("first_seen", F.lit(run_ts))
 
 
-__all__ = ["sort_price_miles", "limit_pages", "union_all", "project_listing", "default_first_seen", "LISTING_COLS"]
+__all__ = ["sort_price_miles", "limit_pages", "union_all", "project_listing", "default_first_seen"]

@@ -129,4 +129,4 @@ def job_merge(spark: SparkSession, input_glob: str, output: str | None = None) -
     return merged
 
 
-__all__ = ["job_source", "job_combined", "job_merge", "SourceRun", "CombinedRun", "shared_dir", "SparkSession"]
+__all__ = ["job_source", "job_combined", "job_merge", "SourceRun", "CombinedRun"]

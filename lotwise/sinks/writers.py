@@ -9,9 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lotwise.functions.scalars import run_stamp
 from lotwise.operators.shape import project_listing
 
 
@@ -74,4 +72,4 @@ def write_if_any(df: DataFrame, writer, *args, **kwargs) -> bool:
 
 
 __all__ = ["write_csv", "write_parquet", "write_per_source", "write_snapshot", "write_merged", "write_if_any",
-           "snapshot_path", "run_stamp", "F"]
+           "snapshot_path"]
