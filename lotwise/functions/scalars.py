@@ -102,8 +102,10 @@ def url_encode(x) -> Column:
 
 
 def _form_decode(x: Column) -> Column:
-    # '+' is a space, %XX is a byte; malformed escapes stay as they are.
-    return F.coalesce(F.try_url_decode(x), x)
+    # '+' is a space, %XX is a byte; a '%' not followed by two hex digits
+    # stays as it is (escaped first so the decoder accepts the rest).
+    safe = F.regexp_replace(F.replace(x, F.lit("+"), F.lit(" ")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), x)
 
 
 def url_untrack(url) -> Column:
