@@ -200,10 +200,9 @@ SELECT user_id, day, seconds,
 FROM g""")
 def q_fn_fmt_duration(spark, d):
     e = read_table(spark, d, "events").select("user_id", "ts", F.to_date("ts").alias("day"))
-    per_user = e.groupBy("user_id").agg(F.lit(None).cast("date").alias("day"), F.min("ts").alias("t0"),
-                                        F.max("ts").alias("t1"))
-    per_day = e.groupBy("user_id", "day").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    g = per_user.unionByName(per_day)
+    # per user and per (user, day) in one scan: grouping sets
+    g = e.groupingSets([["user_id"], ["user_id", "day"]], "user_id", "day").agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     micros = F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
     secs = F.floor(micros / 1_000_000).cast("bigint")
     return g.select("user_id", "day", secs.alias("seconds"), fn.fmt_duration(secs).alias("elapsed"))

@@ -14,6 +14,7 @@ def checked_broadcast_chunks(small: DataFrame, key_col: str, max_rows: int) -> l
     of ``key_col`` (with 25% headroom) so each broadcast stays bounded and
     the big side is joined once per piece.  No global sort or window.
     """
+    small = small.persist()  # counted once, reused by the joins (recomputable from lineage)
     n = small.count()
     if n <= max_rows:
         return [F.broadcast(small)]
@@ -24,6 +25,8 @@ def checked_broadcast_chunks(small: DataFrame, key_col: str, max_rows: int) -> l
 
 def broadcast_if_small(small: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """(``small`` hinted for broadcast, True) if it has at most ``max_rows``
-    rows, else (``small``, False) so the caller shuffles instead."""
+    rows, else (``small``, False) so the caller shuffles instead.  The
+    counted side is persisted, so the count and the join compute it once."""
+    small = small.persist()  # counted once, reused by the join (recomputable from lineage)
     n = small.count()
     return (F.broadcast(small), True) if n <= max_rows else (small, False)
