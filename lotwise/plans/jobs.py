@@ -28,6 +28,7 @@ class SourceRun:
     summary: DataFrame     # counts and stats before / after the filter
     crawls: DataFrame      # per crawl: first stop and its reason
     errors: DataFrame      # quarantined pages
+    progress: DataFrame    # per parsed page: rows on it and the running total for the source
     csv_path: str | None
 
 
@@ -35,8 +36,9 @@ def category_rank():
     return F.when(F.col("category") == "cta", F.lit(1)).otherwise(F.lit(0))
 
 
-def source_rows(pages: DataFrame, checkpoint: bool = True):
-    """Pages -> (extracted rows up to each crawl's first stop, stops, errors)."""
+def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False):
+    """Pages -> (extracted rows up to each crawl's first stop, stops, errors
+    [, per-page progress])."""
     ext = X.extract(pages)
     if checkpoint:
         shared_dir(pages.sparkSession)
@@ -45,7 +47,16 @@ def source_rows(pages: DataFrame, checkpoint: bool = True):
     stops = PG.first_stops(heads, CRAWL, ["page_no"], PG.is_stop(), PG.stop_reason())
     rows = PG.prefix(X.listings(ext), stops, CRAWL, ["page_no"])
     rows = rows.withColumn("category_rank", category_rank())
-    return rows, stops, X.errors(ext)
+    if not with_progress:
+        return rows, stops, X.errors(ext)
+    # Parsed pages (before each stop) with their row counts; the running total
+    # runs on across the categories and crawls of a source, in reading order.
+    parsed = PG.prefix(heads.filter(F.col("n_rows") > 0), stops, CRAWL, ["page_no"]).withColumn(
+        "category_rank", category_rank())
+    progress = PG.running_total(parsed.select("source", "category", "category_rank", "crawl_id", "page_no", "n_rows"),
+                                ["source"], ["category_rank", "crawl_id", "page_no"], "n_rows", "cumulative",
+                                chunk=F.col("category_rank") * F.lit(1 << 40) + F.col("crawl_id"))
+    return rows, stops, X.errors(ext), progress
 
 
 ORDER = ["category_rank", "crawl_id", "page_no", "pos"]
@@ -56,7 +67,7 @@ def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_
     """One source: pages -> rows -> de-dupe -> stats -> filter -> stats -> CSV."""
     c = dict(DEFAULT_CRITERIA, **(criteria or {}))
     p = pages.filter(F.col("source") == source)
-    rows, stops, errs = source_rows(p)
+    rows, stops, errs, progress = source_rows(p, with_progress=True)
     deduped = rows if source == SOURCE_B else dedupe.dedupe_keep_blank(rows, ORDER)  # one source per run
     passes = filters.passes(c["price_max"], None if source == SOURCE_C else c["mileage_max"], c["year_min"])
     fields = ["title", "location"] if source == SOURCE_C else ["dealer", "location"]
@@ -68,7 +79,7 @@ def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_
     if out_dir:
         path = f"{out_dir.rstrip('/')}/{FILE_STEM[source]}_results.csv"
         W.write_csv(kept, path, order=ORDER)
-    return SourceRun(kept, summary, stops, errs, path)
+    return SourceRun(kept, summary, stops, errs, progress, path)
 
 
 def _rank(mapping: dict) -> F.Column:

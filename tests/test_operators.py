@@ -189,3 +189,25 @@ def test_frontier_and_categories(spark):
     s = spark.createDataFrame([("both",), (" CTA , cto ",), ("xyz",), ("cta",)], "s string")
     got = [r[0] for r in s.select(PG.category_choice(F.col("s"))).collect()]
     assert got == [["cto", "cta"], ["cta", "cto"], ["cto"], ["cta"]]
+
+
+def test_source_runs_b_and_c(spark):
+    pages = spark.createDataFrame([
+        ("cargurus", "", 1, 1, "u", 200, "t", P.B_ASSIGNED_JSON),
+        ("cargurus", "", 1, 2, "u", 200, "t", P.B_TWO),
+        ("cargurus", "", 1, 3, "u", 200, "t", P.B_TWO),       # repeats page 2: B does not de-duplicate
+        ("cargurus", "", 1, 4, "u", 503, "t", None),
+        ("craigslist", "cto", 1, 1, "https://philadelphia.craigslist.org/search/cto", 200, "t", P.C_JSONLD),
+        ("craigslist", "cta", 1, 1, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_TWO),
+        ("craigslist", "cta", 1, 2, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_TWO)], PAGES)
+    b = J.job_source(pages, "cargurus", criteria=dict(price_max=10**9, mileage_max=10**9, year_min=0))
+    assert b.rows.count() == 5
+    assert [(r.stop_at.page_no, r.stop_reason) for r in b.crawls.collect()] == [(4, "HTTP 503")]
+    assert [(r.page_no, r.cumulative) for r in b.progress.orderBy("page_no").collect()] == [(1, 1), (2, 3), (3, 5)]
+    c = J.job_source(pages, "craigslist", criteria=dict(price_max=4000, year_min=2004))
+    assert sorted(r.title for r in c.rows.collect()) == ["2009 Toyota Camry"]
+    s = c.summary.first()
+    assert (s.total_rows, s.unique_rows, s.raw_rows, s.kept_rows) == (5, 3, 3, 1)
+    # the running total continues from category cto into cta
+    assert [(r.category, r.page_no, r.cumulative) for r in c.progress.orderBy("category_rank", "page_no").collect()] \
+        == [("cto", 1, 1), ("cta", 1, 3), ("cta", 2, 5)]
