@@ -333,8 +333,8 @@ def q_mrg_order(spark, d):
 
 @query("ded_counts", S.with_(S.DERIVED) + """
 SELECT source, count(*) AS total_rows,
-       count(DISTINCT NULLIF(url, '')) + count_if(url IS NULL OR url = '') AS unique_rows,
-       count(*) - (count(DISTINCT NULLIF(url, '')) + count_if(url IS NULL OR url = '')) AS dropped_rows
+       count(DISTINCT NULLIF(url, '')) + CAST(count_if(url IS NULL OR url = '') AS BIGINT) AS unique_rows,
+       count(*) - (count(DISTINCT NULLIF(url, '')) + CAST(count_if(url IS NULL OR url = '') AS BIGINT)) AS dropped_rows
 FROM derived GROUP BY source""")
 def q_ded_counts(spark, d):
     return dedupe.dedupe_counts(derived_listings(spark, d), by=["source"])
@@ -352,8 +352,8 @@ def q_agg_numeric_stats(spark, d):
 
 
 @query("agg_missing", S.with_(S.DERIVED) + f"""
-SELECT source, count_if({S.blank('title')}) AS missing_title, count_if({S.blank('dealer')}) AS missing_dealer,
-       count_if({S.blank('location')}) AS missing_location
+SELECT source, CAST(count_if({S.blank('title')}) AS BIGINT) AS missing_title, CAST(count_if({S.blank('dealer')}) AS BIGINT) AS missing_dealer,
+       CAST(count_if({S.blank('location')}) AS BIGINT) AS missing_location
 FROM derived GROUP BY source""")
 def q_agg_missing(spark, d):
     t = derived_listings(spark, d)
@@ -410,13 +410,13 @@ psf AS (
 
 
 @query("agg_raw_vs_filtered", _PER_SOURCE_SQL + f"""
-SELECT source, count(*) AS raw_rows, count_if(passes) AS kept_rows,
+SELECT source, count(*) AS raw_rows, CAST(count_if(passes) AS BIGINT) AS kept_rows,
        {S.stats('price', 'raw_price')}, {S.stats('mileage', 'raw_mileage')},
        {S.stats('CASE WHEN passes THEN price END', 'kept_price')},
        {S.stats('CASE WHEN passes THEN mileage END', 'kept_mileage')},
-       count_if({S.blank('title')}) AS missing_title, count_if({S.blank('dealer')}) AS missing_dealer,
-       count_if({S.blank('location')}) AS missing_location,
-       count(*) - count_if(passes) AS dropped_rows
+       CAST(count_if({S.blank('title')}) AS BIGINT) AS missing_title, CAST(count_if({S.blank('dealer')}) AS BIGINT) AS missing_dealer,
+       CAST(count_if({S.blank('location')}) AS BIGINT) AS missing_location,
+       count(*) - CAST(count_if(passes) AS BIGINT) AS dropped_rows
 FROM psf GROUP BY source""")
 def q_agg_raw_vs_filtered(spark, d):
     t = per_source_deduped(derived_listings(spark, d))
@@ -454,7 +454,7 @@ def q_set_union(spark, d):
 
 
 @query("sch_project", S.with_(S.DERIVED) + """
-SELECT source, title, price, mileage, NULL AS dealer, location, url, first_seen FROM derived""")
+SELECT source, title, price, mileage, CAST(NULL AS VARCHAR) AS dealer, location, url, first_seen FROM derived""")
 def q_sch_project(spark, d):
     t = derived_listings(spark, d).drop("dealer")  # extra columns present, one missing
     return shape.project_listing(t)
@@ -527,7 +527,7 @@ expected AS (
 pages_exp AS (
   SELECT p.source, p.category, p.l_orderkey, p.crawl_id, p.page_no, p.status, p.structured, p.challenge,
          p.fetched_at,
-         COALESCE(e.n, 0) AS n_rows,
+         CAST(COALESCE(e.n, 0) AS INTEGER) AS n_rows,
          CASE WHEN p.status <> 200 THEN NULL WHEN COALESCE(e.n, 0) = 0 THEN 'cards'
               WHEN p.source = 'cargurus' AND p.structured THEN 'json'
               WHEN p.source = 'craigslist' AND p.structured THEN 'jsonld' ELSE 'cards' END AS extractor
@@ -587,7 +587,7 @@ def q_ex_fallback(spark, d):
 
 
 @query("ex_guard", _EXP + """
-SELECT source, extractor, count(*) AS rows, count_if(url IS NULL AND title IS NULL) AS rows_without_url_or_title
+SELECT source, extractor, count(*) AS rows, CAST(count_if(url IS NULL AND title IS NULL) AS BIGINT) AS rows_without_url_or_title
 FROM expected GROUP BY ALL""")
 def q_ex_guard(spark, d):
     rows = X.listings(extracted(spark, d))
@@ -690,8 +690,8 @@ def q_pg_stop_reason(spark, d):
 
 @query("pg_progress", _EV_SQL + """
 SELECT user_id, event_id, n_rows,
-       sum(n_rows) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-         AS cumulative
+       CAST(sum(n_rows) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative
 FROM kept""")
 def q_pg_progress(spark, d):
     kept = _event_prefix(spark, d)
@@ -715,7 +715,7 @@ _WEB_SQL = """web AS (
 
 
 @query("src_pages", "WITH " + _WEB_SQL + """
-SELECT source, crawl_id, page_no, url, length(html) AS html_chars FROM web""")
+SELECT source, crawl_id, page_no, url, CAST(length(html) AS INTEGER) AS html_chars FROM web""")
 def q_src_pages(spark, d):
     from lotwise.sources.pages import read_pages
     p = read_pages(web_pages(spark, d))
@@ -764,10 +764,11 @@ def q_lim_pages(spark, d):
 
 
 @query("err_isolate", _EXP + ", " + _WEB_SQL + """
-SELECT p.source, count(*) AS pages, COALESCE(sum(p.n_rows), 0) AS rows, 0 AS error_pages
+SELECT p.source, count(*) AS pages, CAST(COALESCE(sum(p.n_rows), 0) AS BIGINT) AS rows,
+       CAST(0 AS BIGINT) AS error_pages
 FROM pages_exp p GROUP BY p.source
 UNION ALL
-SELECT 'web' AS source, count(*) AS pages, 0 AS rows, count(*) AS error_pages FROM web""")
+SELECT 'web' AS source, count(*) AS pages, CAST(0 AS BIGINT) AS rows, count(*) AS error_pages FROM web""")
 def q_err_isolate(spark, d):
     ext = X.extract(rendered_pages(spark, d).unionByName(web_pages(spark, d)))
     heads = X.page_heads(ext)
