@@ -211,3 +211,20 @@ def test_source_runs_b_and_c(spark):
     # the running total continues from category cto into cta
     assert [(r.category, r.page_no, r.cumulative) for r in c.progress.orderBy("category_rank", "page_no").collect()] \
         == [("cto", 1, 1), ("cta", 1, 3), ("cta", 2, 5)]
+
+
+def test_prefix_and_running_total_past_broadcast_bound(spark):
+    rows = [(u, i, i // 4, 0 if (u, i) in {(0, 5), (2, 9)} else 1 + (i * 3) % 5) for u in range(4) for i in range(20)]
+    df = spark.createDataFrame(rows, "crawl int, pos int, day int, n_rows int") \
+        .withColumn("source", F.lit("x")).withColumn("status", F.lit(200)).withColumn("partial", F.lit(False))
+    stops = PG.first_stops(df, ["crawl"], ["pos"], PG.is_stop())
+    small = PG.prefix(df, stops, ["crawl"], ["pos"])
+    big = PG.prefix(df, stops, ["crawl"], ["pos"], max_broadcast=0)  # shuffle join instead
+    key = lambda d: sorted(tuple(r) for r in d.select("crawl", "pos").collect())
+    assert key(small) == key(big)
+    assert [p for c, p in key(small) if c == 0] == [0, 1, 2, 3, 4]
+    a = PG.running_total(small, ["crawl"], ["pos"], "n_rows", "cum", chunk=F.col("day"))
+    b = PG.running_total(small, ["crawl"], ["pos"], "n_rows", "cum", chunk=F.col("day"), max_broadcast=0)
+    c = PG.running_total(small, ["crawl"], ["pos"], "n_rows", "cum")
+    k2 = lambda d: sorted(tuple(r) for r in d.select("crawl", "pos", "cum").collect())
+    assert k2(a) == k2(b) == k2(c)
