@@ -57,6 +57,15 @@ def first_stops(heads: DataFrame, crawl: Sequence[str], order: Sequence[str], st
     return heads.filter(stop).groupBy(*crawl).agg(*aggs)
 
 
+def gap_pages(heads: DataFrame, crawl: Sequence[str], page: str = "page_no") -> DataFrame:
+    """Pages whose predecessor is missing from the table (a first page above
+    1 included): the crawl must have ended before them.  An anti-join on
+    (crawl, page) keys, which are unique per page, so no key is hot."""
+    have = heads.select(*crawl, F.col(page).alias("_p"))
+    succ = have.select(*crawl, (F.col("_p") + 1).alias("_p"))
+    return have.filter(F.col("_p") > 1).join(succ, [*crawl, "_p"], "left_anti").withColumnRenamed("_p", page)
+
+
 def prefix(rows: DataFrame, stops: DataFrame, crawl: Sequence[str], order: Sequence[str],
            max_broadcast: int = MAX_BROADCAST_CRAWLS) -> DataFrame:
     """Rows that come before their crawl's first stop (the stopping page

@@ -36,15 +36,22 @@ def category_rank():
     return F.when(F.col("category") == "cta", F.lit(1)).otherwise(F.lit(0))
 
 
-def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False):
+def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False, gap_is_stop: bool = False):
     """Pages -> (extracted rows up to each crawl's first stop, stops, errors
-    [, per-page progress])."""
+    [, per-page progress]).  With ``gap_is_stop`` a missing page number also
+    ends its crawl (reason 'missing page')."""
     ext = X.extract(pages)
     if checkpoint:
         shared_dir(pages.sparkSession)
         ext = ext.checkpoint(eager=True)
     heads = X.page_heads(ext)
-    stops = PG.first_stops(heads, CRAWL, ["page_no"], PG.is_stop(), PG.stop_reason())
+    stop, reason = PG.is_stop(), PG.stop_reason()
+    if gap_is_stop:
+        gaps = PG.gap_pages(heads, CRAWL).withColumn("_gap", F.lit(True))
+        heads = heads.join(gaps, [*CRAWL, "page_no"], "left")
+        gap = F.coalesce(F.col("_gap"), F.lit(False))
+        stop, reason = stop | gap, F.when(gap, F.lit("missing page")).otherwise(reason)
+    stops = PG.first_stops(heads, CRAWL, ["page_no"], stop, reason)
     rows = PG.prefix(X.listings(ext), stops, CRAWL, ["page_no"])
     rows = rows.withColumn("category_rank", category_rank())
     if not with_progress:
@@ -63,11 +70,11 @@ ORDER = ["category_rank", "crawl_id", "page_no", "pos"]
 
 
 def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_dir: str | None = None,
-               approx: bool = False) -> SourceRun:
+               approx: bool = False, gap_is_stop: bool = False) -> SourceRun:
     """One source: pages -> rows -> de-dupe -> stats -> filter -> stats -> CSV."""
     c = dict(DEFAULT_CRITERIA, **(criteria or {}))
     p = pages.filter(F.col("source") == source)
-    rows, stops, errs, progress = source_rows(p, with_progress=True)
+    rows, stops, errs, progress = source_rows(p, with_progress=True, gap_is_stop=gap_is_stop)
     deduped = rows if source == SOURCE_B else dedupe.dedupe_keep_blank(rows, ORDER)  # one source per run
     passes = filters.passes(c["price_max"], None if source == SOURCE_C else c["mileage_max"], c["year_min"])
     fields = ["title", "location"] if source == SOURCE_C else ["dealer", "location"]

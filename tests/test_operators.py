@@ -228,3 +228,17 @@ def test_prefix_and_running_total_past_broadcast_bound(spark):
     c = PG.running_total(small, ["crawl"], ["pos"], "n_rows", "cum")
     k2 = lambda d: sorted(tuple(r) for r in d.select("crawl", "pos", "cum").collect())
     assert k2(a) == k2(b) == k2(c)
+
+
+def test_gap_in_page_numbers_stops_when_asked(spark):
+    pages = spark.createDataFrame([
+        ("cars.com", "", 1, 1, "u", 200, "t", P.A_ONE),
+        ("cars.com", "", 1, 2, "u", 200, "t", P.A_ONE.replace("testcar", "two")),
+        ("cars.com", "", 1, 4, "u", 200, "t", P.A_ONE.replace("testcar", "four")),
+        ("cars.com", "", 2, 2, "u", 200, "t", P.A_ONE.replace("testcar", "late"))], PAGES)
+    rows, stops, _ = J.source_rows(pages, gap_is_stop=True)
+    assert sorted(r.url.rsplit("/", 1)[1] for r in rows.collect()) == ["testcar", "two"]
+    assert sorted((r.crawl_id, r.stop_at.page_no, r.stop_reason) for r in stops.collect()) == [
+        (1, 4, "missing page"), (2, 2, "missing page")]
+    rows, _, _ = J.source_rows(pages)
+    assert rows.count() == 4
