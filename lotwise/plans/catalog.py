@@ -877,7 +877,9 @@ def q_src_csv_glob(spark, d):
     }
     _write_results_files(spark, d, base, layouts)
     # an earlier merged output in the same folder must be left out
-    W.write_csv(derived_listings(spark, d).limit(5), f"{base}/combined_listings.csv")
+    earlier = dedupe.merge_first_seen(derived_listings(spark, d).withColumn("file_rank", file_rank()),
+                                      ["file_rank", *ORDER], keep=LISTING_COLS)
+    W.write_merged(earlier, f"{base}/combined_listings.csv")
     rows = FS.typed(FS.read_listing_csv(spark, f"{base}/*.csv", exclude="combined_listings.csv"))
     return rows.select(*LISTING_COLS,
                        F.regexp_extract("file", "([^/]+_results\\.csv)/", 1).alias("results_file"))
