@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import scalars as fn
 from lotwise.operators import dedupe, filters, shape, stats
+from lotwise.operators import extract as X
+from lotwise.operators import pages as PG
+from lotwise.plans import jobs as J
 from lotwise.plans import sqlparts as S
-from lotwise.schema import COMBINED_RANK, FILE_RANK, LISTING_COLS
+from lotwise.schema import COMBINED_RANK, FILE_RANK, FILE_STEM, LISTING, LISTING_COLS
+from lotwise.session import scratch_path
+from lotwise.sinks import writers as W
+from lotwise.sources import files as FS
 from lotwise.sources.derived import ORDER, derived_listings, derived_text, read_table
+from lotwise.sources.pages import frontier
+from lotwise.sources.render import render_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -469,9 +477,6 @@ def q_sch_default(spark, d):
 
 # ---- 2.4 extraction (round trip: derived listings -> rendered pages -> extracted rows) -------
 
-from lotwise.operators import extract as X  # noqa: E402
-from lotwise.sources.render import render_pages  # noqa: E402
-
 
 def rendered_pages(spark, d) -> DataFrame:
     return render_pages(derived_text(spark, d))
@@ -639,8 +644,6 @@ def q_ex_map_b(spark, d):
 
 # ---- 2.3 page-level operators ---------------------------------------------------------------
 
-from lotwise.operators import pages as PG  # noqa: E402
-
 
 def event_pages(spark, d) -> DataFrame:
     """Events as crawl pages: a user is a crawl, (ts, event_id) the page
@@ -779,13 +782,6 @@ def q_err_isolate(spark, d):
 
 # ---- 2.1 sources and 2.2 sinks (write to a fresh folder under the shared dir, read back) -----
 
-from lotwise.plans import jobs as J  # noqa: E402
-from lotwise.session import scratch_path  # noqa: E402
-from lotwise.sinks import writers as W  # noqa: E402
-from lotwise.sources import files as FS  # noqa: E402
-from lotwise.sources.pages import frontier  # noqa: E402
-from lotwise.schema import FILE_STEM, LISTING  # noqa: E402
-
 
 def _read_csv(spark, path) -> DataFrame:
     return (spark.read.schema(LISTING).option("header", True).option("multiLine", True).option("escape", '"')
