@@ -970,7 +970,8 @@ def q_job_combined(spark, d):
 @query("job_merge", _MERGE_SQL + f"SELECT {S.LISTING} FROM m WHERE win = 1")
 def q_job_merge(spark, d):
     base = scratch_path(spark, "job-merge")
-    _write_results_files(spark, d, base)
+    W.write_results_files(derived_listings(spark, d), f"{base}/results", ORDER,
+                          {src: f"{stem}_results.csv" for src, stem in FILE_STEM.items()})
     output = f"{base}/combined_listings.csv"
-    J.job_merge(spark, f"{base}/*_results.csv", output)
+    J.job_merge(spark, f"{base}/results/file=*_results.csv", output)
     return _read_csv(spark, output)

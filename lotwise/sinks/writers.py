@@ -39,6 +39,27 @@ def write_per_source(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     (_csv(w).csv(path) if fmt == "csv" else w.parquet(path))
 
 
+def write_results_files(df: DataFrame, base: str, order: Sequence, names: dict) -> None:
+    """Every source's result CSV in one write: rows range-sorted by (source,
+    reading order), one folder per source named ``file=<name>`` from
+    ``names`` (source -> file name), so folder order is file-name order and
+    part files follow reading order.  Needs ``spark.checkpoint.dir``."""
+    from pyspark.sql import functions as F
+
+    fname = None
+    for src, name in names.items():
+        c = F.when(F.col("source") == src, F.lit(name))
+        fname = c if fname is None else fname.when(F.col("source") == src, F.lit(name))
+    from lotwise.schema import LISTING_COLS
+
+    extra = [o for o in order if o not in LISTING_COLS]
+    # The range sort samples its input in a job of its own: checkpoint first so
+    # the (possibly costly) input is computed once, not once per pass.
+    keyed = project_listing(df, extra=extra).withColumn("file", fname).checkpoint(eager=True)
+    ordered = keyed.repartitionByRange("file", *order).sortWithinPartitions("file", *order)
+    _csv(ordered.drop(*extra).write.mode("overwrite").partitionBy("file")).csv(base)
+
+
 def snapshot_path(base: str, run_ts: str) -> str:
     """``<base>/run=YYYYMMDD-HHMMSS`` for a run stamp in ISO form."""
     from datetime import datetime
@@ -71,5 +92,5 @@ def write_if_any(df: DataFrame, writer, *args, **kwargs) -> bool:
     return True
 
 
-__all__ = ["write_csv", "write_parquet", "write_per_source", "write_snapshot", "write_merged", "write_if_any",
-           "snapshot_path"]
+__all__ = ["write_csv", "write_parquet", "write_per_source", "write_results_files", "write_snapshot",
+           "write_merged", "write_if_any", "snapshot_path"]
