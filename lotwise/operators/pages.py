@@ -81,19 +81,30 @@ def prefix(rows: DataFrame, stops: DataFrame, crawl: Sequence[str], order: Seque
 
 
 def running_total(df: DataFrame, crawl: Sequence[str], order: Sequence[str], value: str, out: str,
-                  chunk: Column | None = None, max_broadcast: int = MAX_BROADCAST_CRAWLS) -> DataFrame:
+                  chunk: Column | str | None = None, max_broadcast: int = MAX_BROADCAST_CRAWLS,
+                  range_parts: int | None = None) -> DataFrame:
     """Running sum of ``value`` along each crawl.
 
     With ``chunk`` (a column that never decreases along ``order``, e.g. the
     day of a timestamp) the sum is built in two levels so no crawl is sorted
     whole in one task: a window inside each (crawl, chunk), plus the totals of
     earlier chunks, which come from a small per-chunk aggregate.
+
+    ``chunk="range"`` makes the chunks from the data: rows are range-
+    partitioned on (crawl, order) and the partition number is the chunk, so
+    even one crawl holding a third of all rows -- or one busy day of it -- is
+    cut into bounded pieces.
     """
     o = [F.col(c) for c in order]
     if chunk is None:
         w = Window.partitionBy(*crawl).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(w))
-    d = df.withColumn("_chunk", chunk)
+    if isinstance(chunk, str) and chunk == "range":
+        n = range_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # partition numbers grow along (crawl, order); AQE only merges neighbours
+        d = df.repartitionByRange(n, *crawl, *order).withColumn("_chunk", F.spark_partition_id())
+    else:
+        d = df.withColumn("_chunk", chunk)
     w_in = Window.partitionBy(*crawl, "_chunk").orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = d.groupBy(*crawl, "_chunk").agg(F.sum(value).alias("_t"))
     w_prev = Window.partitionBy(*crawl).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

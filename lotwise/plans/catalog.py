@@ -698,7 +698,7 @@ SELECT user_id, event_id, n_rows,
 FROM kept""")
 def q_pg_progress(spark, d):
     kept = _event_prefix(spark, d)
-    out = PG.running_total(kept, ["user_id"], _EV_ORDER, "n_rows", "cumulative", chunk=F.to_date("ts"))
+    out = PG.running_total(kept, ["user_id"], _EV_ORDER, "n_rows", "cumulative", chunk="range")
     return out.select("user_id", "event_id", "n_rows", "cumulative")
 
 

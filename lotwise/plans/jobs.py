@@ -62,7 +62,7 @@ def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool =
         "category_rank", category_rank())
     progress = PG.running_total(parsed.select("source", "category", "category_rank", "crawl_id", "page_no", "n_rows"),
                                 ["source"], ["category_rank", "crawl_id", "page_no"], "n_rows", "cumulative",
-                                chunk=F.col("category_rank") * F.lit(1 << 40) + F.col("crawl_id"))
+                                chunk="range")
     return rows, stops, X.errors(ext), progress
 
 

@@ -158,8 +158,10 @@ def test_running_total_chunked_equals_plain(spark):
     df = spark.createDataFrame(rows, "crawl int, pos int, day int, n int")
     a = PG.running_total(df, ["crawl"], ["pos"], "n", "cum")
     b = PG.running_total(df, ["crawl"], ["pos"], "n", "cum", chunk=F.col("day"))
+    # one hot crawl cut into range chunks gives the same totals
+    c = PG.running_total(df, ["crawl"], ["pos"], "n", "cum", chunk="range", range_parts=7)
     key = lambda d: sorted(tuple(r) for r in d.select("crawl", "pos", "cum").collect())
-    assert key(a) == key(b)
+    assert key(a) == key(b) == key(c)
 
 
 def test_shape_ops(spark):
