@@ -130,29 +130,50 @@ def url_untrack(url) -> Column:
     )
 
 
+def _resolve_path(hpath: Column, base_parts: list[str]) -> Column:
+    """Merge a link's path with the base directory and remove dot segments
+    (as ``urljoin`` does): a stack fold over the '/'-separated segments."""
+    empty = F.array().cast("array<string>")
+    rel = F.concat(F.array(*[F.lit(p) for p in base_parts]) if base_parts else empty, F.split(hpath, "/"))
+    n = F.size(rel)
+    rel = F.filter(rel, lambda x, i: (i == 0) | (i == n - 1) | (x != ""))
+    segs = F.when(hpath.startswith("/"), F.split(hpath, "/")).otherwise(rel)
+    stack = F.aggregate(segs, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                        .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    stack = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+    joined = F.array_join(stack, "/")
+    joined = F.when(joined == "", F.lit("/")).otherwise(joined)
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def url_join(href, base: str) -> Column:
     """Resolve a link against a fixed site base, as a browser would.
 
-    Shapes covered: absolute (has a scheme), scheme-relative ``//host``,
-    host-relative ``/path``, query-only ``?q``, fragment-only ``#f``, empty,
-    and path-relative.  Dot segments are not collapsed.
+    Absolute links (with a scheme) and scheme-relative ``//host`` links are
+    kept; host-relative and path-relative links are merged with the base
+    path and their ``.`` / ``..`` segments removed; query-only, fragment-only
+    and empty links keep the base path.
     """
-    h = _c(href)
+    h0 = _c(href)
+    # '//' with an empty host is not scheme-relative: what follows is the link
+    h = F.when(h0.startswith("//") & ~h0.rlike("^//[^/?#]"), h0.substr(F.lit(3), F.lit(1 << 30))).otherwise(h0)
     parts = urlsplit(base)
     origin = f"{parts.scheme}://{parts.netloc}"
-    path = parts.path or "/"
-    base_dir = origin + path[: path.rfind("/") + 1]
+    base_parts = parts.path.split("/")
+    if base_parts[-1] != "":
+        del base_parts[-1]
     base_noq = origin + parts.path
     base_nofrag = base.split("#", 1)[0]
+    hpath = F.regexp_extract(h, "^([^?#]*)", 1)
+    rest = h.substr(F.length(hpath) + 1, F.lit(1 << 30))
     return (
         F.when(h.isNull(), F.lit(None))
         .when(h.rlike(_SCHEME), h)
-        .when(h.startswith("//"), F.concat(F.lit(parts.scheme + ":"), h))
-        .when(h.startswith("/"), F.concat(F.lit(origin), h))
+        .when(h.rlike("^//[^/?#]"), F.concat(F.lit(parts.scheme + ":"), h))
         .when(h == "", F.lit(base))
         .when(h.startswith("?"), F.concat(F.lit(base_noq), h))
         .when(h.startswith("#"), F.concat(F.lit(base_nofrag), h))
-        .otherwise(F.concat(F.lit(base_dir), h))
+        .otherwise(F.concat(F.lit(origin), _resolve_path(hpath, base_parts), rest))
     )
 
 

@@ -98,3 +98,17 @@ def test_merge_and_dedupe_match_sequential_rules(spark, data):
             seen.add(u)
             want.append(i)
     assert kept == want
+
+
+seg = st.sampled_from(["a", "b", "c.html", ".", "..", ""])
+hrefs = st.builds(lambda lead, segs, tail: lead + "/".join(segs) + tail,
+                  st.sampled_from(["", "/", "./", "../"]), st.lists(seg, min_size=1, max_size=5),
+                  st.sampled_from(["", "?q=1", "#top", "?a=b#c"]))
+
+
+@settings(**SETTINGS)
+@given(st.lists(hrefs, min_size=1, max_size=60), st.sampled_from(["https://www.cars.com", "https://x.org/a/b",
+                                                                  "https://x.org/a/b/"]))
+def test_url_join_matches_urljoin(spark, values, base):
+    from urllib.parse import urljoin
+    assert run(spark, values, lambda c: fn.url_join(c, base)) == [urljoin(base, v) for v in values]
