@@ -50,3 +50,20 @@ def test_matches_oracle(spark, name):
     srows = df.select(*cols).collect()
     orows = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({E.oracle_sql()[name]})").fetchall()
     assert _norm(srows) == _norm(orows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+@pytest.mark.parametrize("name", ["mrg_order", "ded_url_collapse", "pg_progress", "job_source", "ex_page_dedupe"])
+def test_partition_count_does_not_change_results(spark, name):
+    def rows():
+        df = E.queries()[name](spark, SF)
+        return _norm(df.select(*sorted(df.columns)).collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = rows()
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        many = rows()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == many and len(one) > 0
