@@ -244,3 +244,11 @@ def test_gap_in_page_numbers_stops_when_asked(spark):
         (1, 4, "missing page"), (2, 2, "missing page")]
     rows, _, _ = J.source_rows(pages)
     assert rows.count() == 4
+
+
+def test_stats_approx_option(spark):
+    rows = [(i, "a", "t", p, None, "d", "l", f"u{i}", "s") for i, p in enumerate([5, 1, 9, 3, 7, 11])]
+    exact = stats.summary(listing_df(spark, rows)).first()
+    approx = stats.summary(listing_df(spark, rows), approx=True).first()
+    assert (exact.price_min, exact.price_median, exact.price_avg) == (1, 6, 6)
+    assert approx.price_min == 1 and approx.price_median in (5, 7) and approx.price_avg == 6
