@@ -61,9 +61,6 @@ def _guard():
 def _rel():
     return _k() % 5 == 1
 
-def _path():
-    return F.concat(F.lit("/vehicledetail/"), _k().cast("string"))
-
 def _href_abs():
     return F.col("raw_url")
 
