@@ -7,12 +7,14 @@ library imports this subpackage.
 
 from __future__ import annotations
 
-from lotwise.llm import exact_dedup, mixing, pii
+from lotwise.llm import bpe_codec, exact_dedup, mixing, pii, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op3_content_sort": exact_dedup.op3_content_sort,
+    "op6_forced_bpe": bpe_codec.op6_forced_bpe,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE = {
