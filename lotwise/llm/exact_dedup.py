@@ -6,7 +6,9 @@ full (the window operator finds a group's end by comparing whole keys).
 
 A text that holds a large share of the rows is found beforehand by counting
 64-bit hashes; its rows get a salt after the text in the sort key, so that the
-splitters can cut inside the group.  The few winners of its salted pieces are
+splitters can cut inside the group.  Splitters hold the text's first ``PREFIX``
+letters and the hash that orders texts with the same beginning, not whole texts,
+so the sample that the driver gets stays small.  The few winners of its salted pieces are
 merged afterwards.  The number of such texts is at most ``4 * partitions``,
 since each holds more than ``1 / (4 * partitions)`` of all rows.
 
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import ascii_lower, stored, table, text_of
 
+PREFIX = 32
+
 
 def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """A row per document: its group's piece (``text_sha256``, ``salt``), the
@@ -41,16 +45,18 @@ def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str]
         kept.join(F.broadcast(hot), "_hash", "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_pieces")), F.lit(-1).cast("bigint")))
         .withColumn("_norm", ascii_lower(F.col("_text")))
-        .drop("_hash", "_pieces", "_text")
+        .withColumn("_prefix", F.substring("_norm", 1, PREFIX))
+        .drop("_pieces", "_text")
     )
-    group = Window.partitionBy("_norm", "_salt")
+    # Partitioned by range on a part of the window's keys: no further exchange.
+    group = Window.partitionBy("_prefix", "_hash", "_salt", "_norm")
     return (
-        keyed.repartitionByRange("_norm", "_salt")
+        keyed.repartitionByRange("_prefix", "_hash", "_salt")
         .withColumn("_rank", F.row_number().over(group.orderBy(F.col("_id").desc_nulls_last())))
         .withColumn("_max", F.max("_id").over(group))
         .withColumn("_size", F.count(F.lit(1)).over(group))
         .withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256))
-        .drop("_norm")
+        .drop("_norm", "_prefix", "_hash")
     )
 
 
