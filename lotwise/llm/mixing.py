@@ -125,11 +125,13 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     g = F.col("ramp")
     t = 2.0 * x / ((1.0 + g) + F.sqrt((1.0 + g) * (1.0 + g) - 4.0 * g * x))
     at = F.col("all_words") * F.col("_t") + F.col("all_bent") * (F.col("_t") - F.col("_t") * F.col("_t"))
+    # Documents that take nothing have no position: the id spreads them.
+    by_position = [F.col("position").asc_nulls_last(), F.xxhash64(id_col).asc()]
     return (
         rows.withColumn("_t", F.when((F.col("taken") > 0), t))
         .select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "first_cut",
                 F.round(at, 3).alias("position"))
-        .repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())
+        .repartitionByRange(*by_position).sortWithinPartitions(*by_position)
     )
 
 
