@@ -17,8 +17,8 @@ normaliser and splitter, part by part.  The merging itself never does.
 Decoding joins the tokens' strings by one blank, as the library does for a
 vocabulary without a decoder: it returns the normalised words with ``</w>`` ends.
 
-Memory: one slice of text, caches of at most ``CACHE_CHUNKS`` short chunks and
-fragments.  The vocabulary file is read on the executors from ``path``.
+Memory: one slice of text and at most two generations of
+``CACHE_FRAGMENTS`` short fragments.  The vocabulary file is read on the executors from ``path``.
 
 Defined results: null counts as empty and has no ids; ids may repeat or be null;
 an empty table gives an empty result; further columns are ignored unless carried.
@@ -31,9 +31,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,10 +39,11 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import map_slices, table, text_of
 
-CACHE_CHUNKS = 300_000
+CACHE_FRAGMENTS = 250_000
+WORD_END = 0xFF
 CACHED_LENGTH = 64
-SHORT = 12
-_NO_MERGE = (1 << 40, -1)
+SHORT = 48
+_LAST = 1 << 40
 #: Where NFC starts to matter; all characters below are stable.
 SAFE = 0x300
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,6 +67,25 @@ def _category(first: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(SAFE) if unicodedata.category(chr(c))[0] == first)
 
 
+class _Fragments(dict):
+    """The ids of fragments met lately: when one generation is full, the next
+    begins, and what is met again moves over."""
+
+    def __init__(self, codec: ForcedBoundaryCodec):
+        self.codec, self.older = codec, {}
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = self.older.get(fragment)
+        if ids is None:
+            ids = self.codec.fragment_ids(fragment)
+        if len(fragment) <= CACHED_LENGTH:
+            if len(self) >= CACHE_FRAGMENTS:
+                self.older = dict(self)
+                self.clear()
+            self[fragment] = ids
+        return ids
+
+
 class ForcedBoundaryCodec:
     """Encoder and decoder of one word-end BPE vocabulary."""
 
@@ -97,14 +115,13 @@ class ForcedBoundaryCodec:
         for token in vocab:
             s = self._symbols_of(token)
             self.joined[s[:-1], s[1:]] = True
-        self._joined = self.joined.tobytes()
-        self.merge = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self._joined = self.joined.ravel()
+        pairs = [(vocab[a], vocab[b]) for a, b in model["merges"]]
+        self.rank_of = {pair: rank for rank, pair in reversed(list(enumerate(pairs)))}
+        self.merged_id = [vocab[a + b] for a, b in model["merges"]]
         self._words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_category('L')}]+|[{_category('N')}]"
                                  f"|[^{_WHITE}{_category('L')}{_category('N')}]+")
-        self._chunks: dict[str, bytes] = {}
-        self._fragments: dict[bytes, list[int]] = {}
+        self._ids = _Fragments(self)
 
     def _symbols_of(self, token: str) -> list[int]:
         ends = token.endswith("</w>") and len(token) > 4
@@ -113,95 +130,89 @@ class ForcedBoundaryCodec:
             s[-1] += 256
         return s
 
-    def fragments(self, symbols: list[int]) -> Iterator[list[int]]:
-        """The row of symbols cut at every certain boundary."""
-        start, joined = 0, self._joined
-        for at in range(1, len(symbols)):
-            if not joined[symbols[at - 1] << 9 | symbols[at]]:
-                yield symbols[start:at]
-                start = at
-        yield symbols[start:]
+    def fragments(self, words: list[str]) -> list[bytes]:
+        """The bytes of all words, cut at every certain boundary; ``WORD_END``
+        (a byte that UTF-8 never uses) follows the last byte of a word."""
+        data = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
+        ends = data == 10
+        symbols = data.astype(np.int32)
+        symbols[:-1][ends[1:]] += 256
+        cut = ~self._joined[symbols[:-1] << 9 | (symbols[1:] & 511)]
+        cut &= ~(ends[:-1] | ends[1:])
+        # Inside a word the cut follows its byte; at its end the mark comes first.
+        at = np.flatnonzero(cut) + 1
+        stops = np.flatnonzero(ends)
+        spread = np.insert(data, np.r_[at, stops], np.r_[np.full(len(at), 10, np.uint8),
+                                                         np.full(len(stops), WORD_END, np.uint8)])
+        return spread.tobytes().split(b"\n")[:-1]
+
+    def symbols(self, fragment: bytes) -> list[int]:
+        if fragment[-1] == WORD_END:
+            return [*fragment[:-2], fragment[-2] + 256]
+        return list(fragment)
 
     def _merged(self, ids: list[int]) -> list[int]:
         """Merge the lowest-ranked pair, the leftmost among equals, until none is
         left: by looking at all pairs in short rows, by a heap in long ones."""
-        n, merge = len(ids), self.merge
+        n, rank_of = len(ids), self.rank_of
         if n <= SHORT:
-            while len(ids) > 1:
-                best, at = min(zip(map(merge.get, zip(ids, ids[1:]), repeat(_NO_MERGE)), range(n)))
-                if best is _NO_MERGE:
-                    break
-                ids[at:at + 2] = [best[1]]
+            ranks = [rank_of.get(pair, _LAST) for pair in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) < _LAST:
+                i = ranks.index(best)
+                ids[i:i + 2] = [whole := self.merged_id[best]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank_of.get((whole, ids[i + 1]), _LAST)
+                if i:
+                    ranks[i - 1] = rank_of.get((ids[i - 1], whole), _LAST)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
+        heap = []
+
+        def push(i: int, j: int) -> None:
+            if i >= 0 and j < n and (rank := rank_of.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
+
+        for i in range(n - 1):
+            push(i, i + 1)
         while heap:
-            _, i, a, b, whole = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = whole, -1
+            ids[i], ids[j] = self.merged_id[rank], -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merge.get((whole, ids[k])):
-                    heapq.heappush(heap, (m[0], i, whole, ids[k], m[1]))
-            h = before[i]
-            if h >= 0 and (m := merge.get((ids[h], whole))):
-                heapq.heappush(heap, (m[0], h, ids[h], whole, m[1]))
+            push(i, k)
+            push(before[i], i)
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: bytes) -> list[int]:
-        symbols = list(word)
-        symbols[-1] += 256
+    def fragment_ids(self, fragment: bytes) -> bytes:
+        """The ids of one fragment."""
+        return np.array(self._merged([self.symbol_id[s] for s in self.symbols(fragment)]), "<u4").tobytes()
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if not _BEYOND.search(text):
+            return self._words.findall(text.lower())
         out = []
-        for part in self.fragments(symbols):
-            if len(part) == 1:
-                out.append(self.symbol_id[part[0]])
+        for chunk in _CHUNKS.findall(text):
+            if not _BEYOND.search(chunk):
+                out += self._words.findall(chunk.lower())
                 continue
-            key = bytes(b & 255 for b in part) + (b"\x01" if part[-1] > 255 else b"\x00")
-            ids = self._fragments.get(key)
-            if ids is None:
-                ids = self._merged([self.symbol_id[s] for s in part])
-                if len(key) <= CACHED_LENGTH:
-                    if len(self._fragments) >= CACHE_CHUNKS:
-                        self._fragments.clear()
-                    self._fragments[key] = ids
-            out += ids
+            for word, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk)):
+                out.append(bytes(map(self._byte.__getitem__, word)).decode())
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk without white space."""
-        ids: list[int] = []
-        for part in self._specials.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif _BEYOND.search(part):
-                for word, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part)):
-                    ids += self._word(bytes(map(self._byte.__getitem__, word)))
-            else:
-                for word in self._words.findall(part.lower()):
-                    ids += self._word(word.encode())
-        return np.array(ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        chunks, known = _CHUNKS.findall(text), self._chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
         out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                if len(c) <= CACHED_LENGTH:
-                    if len(known) >= CACHE_CHUNKS:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
+        for part in self._specials.split(text) if "<|" in text else (text,):
+            if part in self.special:
+                out.append(np.array([self.special[part]], "<u4").tobytes())
+            elif words := self.words(part):
+                out += map(self._ids.__getitem__, self.fragments(words))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -15,8 +15,8 @@ symbol cannot start a pair of the same or a better rank (``_alone`` marks the
 pieces where it can: then only the leftmost place is merged).  Long sequences of
 such pieces, say a run of blanks, go through a heap instead.
 
-Memory: one slice of text, a cache of at most ``CACHE_WORDS`` short pre-tokens,
-and the merge table.  The vocabulary file is read on the executors from ``path``.
+Memory: one slice of text, two generations of about ``CACHE_WORDS``
+short pre-tokens, and the merge table.  The vocabulary file is read on the executors from ``path``.
 
 Defined results: null counts as empty and has 0 tokens; ids may repeat or be
 null; an empty table gives an empty result; further columns are ignored.
@@ -86,6 +86,7 @@ class PieceCounter:
                 if name in known:
                     self.char_cost[ord(name)] = 1
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged symbol of each pair, or -1."""
@@ -194,18 +195,17 @@ class PieceCounter:
         """Tokens of each whole text."""
         split = [self._SPACED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         wanted = set().union(*split)
-        if len(self.cache) + len(wanted) > CACHE_WORDS:
-            self.cache.clear()
-        fresh = list(wanted.difference(self.cache))
-        found = dict(zip(fresh, self.count(fresh).tolist()))
-        self.cache.update(found)
-        counts = [sum(map(self.cache.__getitem__, words)) for words in split]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        else:
-            for w in fresh:
-                if len(w) > CACHED_LENGTH:
-                    del self.cache[w]
+        known, older = self.cache, self.older
+        for w in wanted & older.keys():
+            known.setdefault(w, older[w])
+        fresh = list(wanted.difference(known))
+        known.update(zip(fresh, self.count(fresh).tolist()))
+        counts = [sum(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        if len(known) > CACHE_WORDS:
+            self.cache, self.older = {}, known
         return counts
 
 

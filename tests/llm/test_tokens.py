@@ -48,12 +48,18 @@ def test_word_bpe_ids_and_text(texts):
 
 def test_cuts_are_certain():
     own = bpe_codec.ForcedBoundaryCodec(WORD)
-    word = list(b"zxqjthevvvking")
-    word[-1] += 256
-    parts = list(own.fragments(word))
-    assert sum(parts, []) == word and len(parts) > 1
-    whole = own._merged([own.symbol_id[s] for s in word])
-    assert sum((own._merged([own.symbol_id[s] for s in p]) for p in parts), []) == whole
+    word = "zxqjthevvvking"
+    parts = own.fragments([word])
+    assert b"".join(parts) == word.encode() + b"\xff" and len(parts) > 1
+    whole = own._merged([own.symbol_id[s] for s in own.symbols(word.encode() + b"\xff")])
+    assert b"".join(map(own.fragment_ids, parts)) == np.array(whole, "<u4").tobytes()
+
+
+def test_word_bpe_with_a_tiny_cache(texts, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CACHE_FRAGMENTS", 3)
+    own, lib = bpe_codec.ForcedBoundaryCodec(WORD), Tokenizer.from_file(WORD)
+    for t in texts[:500]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_rows(spark):
