@@ -7,7 +7,7 @@ library imports this subpackage.
 
 from __future__ import annotations
 
-from lotwise.llm import bpe_codec, exact_dedup, html_sst, mixing, pii, token_counts, toxicity, warc
+from lotwise.llm import bpe_codec, exact_dedup, html_sst, mixing, ngram_join, pii, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op6_forced_bpe": bpe_codec.op6_forced_bpe,
     "op7_subword_toxicity": toxicity.op7_subword_toxicity,
     "op8_warc_zstd": warc.op8_warc_zstd,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
