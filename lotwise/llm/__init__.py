@@ -7,13 +7,14 @@ library imports this subpackage.
 
 from __future__ import annotations
 
-from lotwise.llm import bpe_codec, exact_dedup, html_sst, mixing, ngram_join, pii, token_counts, toxicity, warc
+from lotwise.llm import bpe_codec, embed_dedup, exact_dedup, html_sst, mixing, ngram_join, pii, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op3_content_sort": exact_dedup.op3_content_sort,
     "op4_style_tree": html_sst.op4_style_tree,
+    "op5_pca_tiles": embed_dedup.op5_pca_tiles,
     "op6_forced_bpe": bpe_codec.op6_forced_bpe,
     "op7_subword_toxicity": toxicity.op7_subword_toxicity,
     "op8_warc_zstd": warc.op8_warc_zstd,

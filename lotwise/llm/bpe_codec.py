@@ -230,16 +230,23 @@ def _digests(text: str, path: str) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec(path).decode(ids).encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ids (array of int) and decoded (string)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                     decoded: bool = True) -> DataFrame:
+    """One row per document: id, n_tokens, ids (array of int), the digests of the
+    ids and of the decoded text, and that text if ``decoded``."""
     def per_slice(ids, texts):
         c = codec(path)
         rows = [c.encode(t) for t in texts]
-        return ids, [np.frombuffer(r, "<u4") for r in rows], [c.decode(r) for r in rows]
+        out = [ids, [len(r) // 4 for r in rows], [np.frombuffer(r, "<i4") for r in rows],
+               [hashlib.sha256(r).hexdigest() for r in rows]]
+        back = [c.decode(r) for r in rows]
+        out.append([hashlib.sha256(d.encode()).hexdigest() for d in back])
+        return [*out, back] if decoded else out
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return map_slices(docs.select(F.col(id_col), text_of(F.col(text_col)).alias("text")), per_slice,
-                      f"`{id_col}` {id_type}, ids array<int>, decoded string")
+                      f"`{id_col}` {id_type}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+                      + ", decoded string" * decoded)
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

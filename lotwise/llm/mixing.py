@@ -88,19 +88,22 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, ramps=RAMPS, cap: int = CA
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               weights=WEIGHTS, ramps=RAMPS, cap: int = CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               weights=WEIGHTS, ramps=RAMPS, cap: int = CAP, bucket_rows: int = BUCKET_ROWS,
+               row_key: Column | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words
     taken, repeats counted), first_cut (words taken of the last, partial pass)
     and position (training position of the first taken words in words, null if
-    none are taken), range-sorted by position."""
+    none are taken), range-sorted by position.  ``row_key`` orders rows of the
+    same id and size, and is returned as ``row_key``."""
+    key = F.lit(0).cast("bigint") if row_key is None else row_key
     sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
-                               word_count(text_of(F.col(text_col))).alias("size")), "mix-sizes")
+                               word_count(text_of(F.col(text_col))).alias("size"), key.alias("row_key")), "mix-sizes")
     targets = stored(source_targets(sized, weights, ramps, cap), "mix-targets")
     digits = min(8, max(1, math.ceil(math.log(max(2, sized.count() / bucket_rows), 16))))
     rows = sized.withColumn("_hash", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
     inner = Window.partitionBy("source", "_bucket").orderBy(
-        "_hash", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+        "_hash", F.col("_id").asc_nulls_first(), "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
@@ -130,7 +133,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         rows.withColumn("_t", F.when((F.col("taken") > 0), t))
         .select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "first_cut",
-                F.round(at, 3).alias("position"))
+                F.round(at, 3).alias("position"), *([] if row_key is None else ["row_key"]))
         .repartitionByRange(*by_position).sortWithinPartitions(*by_position)
     )
 
@@ -138,15 +141,23 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The mixed table with the columns of ``docs``: a document is repeated once
     per whole pass taken, and once more if at least half of it is in the last,
-    partial pass.  Documents without words stay once per whole pass, at least
-    once; ids must be unique and not null."""
-    plan = curriculum(docs, id_col, **kw)
+    partial pass.  Documents without words stay once.  Rows are found again by
+    id and a hash of all their columns; equal rows share their copies evenly."""
+    plan = curriculum(docs, id_col, row_key=F.xxhash64(*docs.columns), **kw)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1))
-    plan = plan.select(F.col(id_col).alias("_mix_id"), copies.cast("int").alias("_copies")).where("_copies > 0")
+    plan = (
+        plan.groupBy(F.col(id_col).alias("_mix_id"), F.col("row_key").alias("_mix_key"))
+        .agg(F.sum(copies).alias("_all"), F.count(F.lit(1)).alias("_equal")).where("_all > 0")
+    )
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                        F.xxhash64(*docs.columns).alias("_key"))
+    rows = keyed.join(plan, F.col("_id").eqNullSafe(F.col("_mix_id")) & (F.col("_key") == F.col("_mix_key")))
+    among = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    share = F.floor(F.col("_all") / F.col("_equal")) + (
+        F.row_number().over(among) <= F.col("_all") % F.col("_equal")).cast("int")
     return (
-        docs.join(plan, docs[id_col] == F.col("_mix_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
+        rows.withColumn("_copies", share.cast("int")).where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
     )
 
 
