@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "clean_number", "py_strip", "url_strip", "url_untrack", "url_join", "url_encode", "strip_parens",
     "title_year", "is_blank", "is_empty", "to_numeric", "fmt_int", "fmt_currency", "fmt_duration",
-    "utc_stamp", "run_stamp", "PY_WHITESPACE",
+    "utc_stamp", "run_stamp", "let", "LONG_MAX", "PY_WHITESPACE",
 ]
 
 # ---- fixed values -----------------------------------------------------------
@@ -19,6 +19,7 @@ __all__ = [
 PY_WHITESPACE = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # A URL scheme: letter, then letters, digits, '+', '.', '-', then ':'.
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
+LONG_MAX = (1 << 63) - 1
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 RUN_STAMP = "yyyyMMdd-HHmmss"
 
@@ -31,10 +32,13 @@ def clean_number(text) -> Column:
     """Keep the ASCII digits of the text; none (or NULL text) gives NULL.
 
     Fractions and ranges fuse on purpose: ``$8,999.50`` -> 899950.
-    Past 19 digits the value does not fit a long and becomes NULL.
+    A value past a long becomes the largest long, which no limit accepts
+    (NULL would pass every limit).
     """
-    digits = F.regexp_replace(_c(text), "[^0-9]", "")
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    def number(digits):
+        return F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(LONG_MAX)))
+
+    return let(F.regexp_replace(_c(text), "[^0-9]", ""), number)
 
 
 def py_strip(x, chars: str | None = None) -> Column:
@@ -55,7 +59,7 @@ def is_blank(x) -> Column:
     return c.isNull() | c.rlike(f"^[{PY_WHITESPACE}]*$")
 
 
-def _let(x: Column, f) -> Column:
+def let(x: Column, f) -> Column:
     """Evaluate ``x`` once and apply ``f`` to it (a lambda binding), so an
     expression used several times is neither recomputed nor copied into the
     generated code once per use."""
@@ -70,7 +74,7 @@ def _clean_url_text(c: Column) -> Column:
         fix = u.contains(":") & (scheme != F.lower(scheme)) & scheme.rlike("^[A-Za-z][A-Za-z0-9+.-]*$")
         return F.when(fix, F.concat(F.lower(scheme), u.substr(F.length(scheme) + 1, F.lit(1 << 30)))).otherwise(u)
 
-    return _let(F.regexp_replace(c, "^[\\x00-\\x20]+|[\\t\\r\\n]", ""), lower_scheme)
+    return let(F.regexp_replace(c, "^[\\x00-\\x20]+|[\\t\\r\\n]", ""), lower_scheme)
 
 
 def _plain_url(c: Column) -> Column:

@@ -82,11 +82,13 @@ class Node:
         return self.cls
 
     def strings(self):
-        for c in self.children:
+        ahead = list(reversed(self.children))
+        while ahead:
+            c = ahead.pop()
             if c.__class__ is str:
                 yield c
             elif c.tag not in NO_TEXT:
-                yield from c.strings()
+                ahead += reversed(c.children)
 
     def text(self, sep: str = "") -> str:
         """Text pieces, each stripped, empty ones skipped, joined by ``sep``."""
