@@ -10,15 +10,15 @@ Runs on the active (cluster) session; on a laptop it starts a local one.
 from __future__ import annotations
 
 import argparse
+from functools import partial
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lotwise.operators import dedupe
 from lotwise.plans import jobs
-from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, SOURCE_B, SOURCES
-from lotwise.session import apply_conf
+from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, FILE_STEM, SOURCE_B, SOURCES
+from lotwise.session import apply_conf, ship_package
 from lotwise.sources.pages import read_pages
 
 
@@ -29,6 +29,18 @@ def _limits(ap: argparse.ArgumentParser, price_default: int, with_year: bool = T
         ap.add_argument("--year-min", type=int, default=DEFAULT_CRITERIA["year_min"])
 
 
+# Names a user may give for a source: its own, and its result files' stem.
+SITE_NAMES = {**{s: s for s in SOURCES}, **{stem: s for s, stem in FILE_STEM.items()}}
+
+
+def site_list(text: str) -> list[str]:
+    """Sources by name; an unknown name is refused."""
+    names = [x.strip().lower() for x in text.split(",") if x.strip()]
+    if unknown := [n for n in names if n not in SITE_NAMES]:
+        raise argparse.ArgumentTypeError(f"unknown site {', '.join(unknown)}; known: {', '.join(SITE_NAMES)}")
+    return list(dict.fromkeys(SITE_NAMES[n] for n in names))
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="lotwise")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -41,7 +53,7 @@ def main(argv=None) -> None:
     c = sub.add_parser("combined", help="all sources: union, de-dupe, limits, sort, snapshot, counts")
     c.add_argument("--pages", required=True)
     c.add_argument("--out", required=True)
-    c.add_argument("--sites", default=",".join(SOURCES))
+    c.add_argument("--sites", type=site_list, default=SOURCES, help="comma-separated: " + ", ".join(SITE_NAMES))
     c.add_argument("--max-pages", type=int, default=8)
     c.add_argument("--no-parquet", action="store_true")
     c.add_argument("--run-ts", help="run stamp (ISO, UTC); default now")
@@ -54,6 +66,7 @@ def main(argv=None) -> None:
     # No web UI (no extra port); an existing (cluster) session is reused as is.
     spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
     apply_conf(spark)
+    ship_package(spark)
     if a.cmd == "source":
         pages = read_pages(a.pages, spark, sources=[a.source], max_page=a.max_pages)
         run = jobs.job_source(pages, a.source, dict(price_max=a.price_max, mileage_max=a.miles_max,
@@ -62,18 +75,20 @@ def main(argv=None) -> None:
         run.crawls.show(truncate=False)
         print(f"wrote {run.csv_path}; quarantined pages: {run.errors.count()}")
     elif a.cmd == "combined":
-        sites = [x.strip() for x in a.sites.split(",") if x.strip()]
-        pages = read_pages(a.pages, spark, sources=sites, max_page=a.max_pages)
-        rows, _, _ = jobs.source_rows(pages)
-        per_source = {}
-        for src in sites:
-            r = rows.filter(F.col("source") == src)
-            per_source[src] = r if src == SOURCE_B else dedupe.dedupe_keep_blank(r, jobs.ORDER)
         run_ts = a.run_ts or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+        quarantined = {}
+
+        def rows_of(src: str):
+            pages = read_pages(a.pages, spark, sources=[src], max_page=a.max_pages)
+            rows, _, errors = jobs.source_rows(pages, run_ts=run_ts)
+            quarantined[src] = errors.count()
+            return rows if src == SOURCE_B else dedupe.dedupe_keep_blank(rows, jobs.ORDER)
+
+        per_source = {src: partial(rows_of, src) for src in a.sites}
         run = jobs.job_combined(per_source, jobs.ORDER, dict(price_max=a.price_max, mileage_max=a.miles_max),
                                 out_dir=a.out, run_ts=run_ts, write_parquet=not a.no_parquet)
         run.counts.show()
-        print(f"snapshot: {run.snapshot}")
+        print(f"snapshot: {run.snapshot}; quarantined pages: {quarantined}; failed sources: {run.failed}")
     else:
         merged = jobs.job_merge(spark, a.input, a.output)
         print("No rows found to merge." if merged is None else f"merged {merged.count()} rows into {a.output}")

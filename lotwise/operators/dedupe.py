@@ -38,14 +38,12 @@ def dedupe_keep_blank(df: DataFrame, order: Sequence[str | Column], url: str = "
     row with a blank URL is kept, and so is every row where ``keep_all`` is
     true (a source that does not de-duplicate).
 
-    One pass, one shuffle: rows that must all be kept get a key of their own
-    (unique per row), so they spread evenly instead of piling onto one blank
-    key, while real URLs still combine map-side.
+    Only rows with a real URL are shuffled, and combined map-side; rows that
+    must all be kept are unioned to them where they are.
     """
     solo = is_empty(url) if keep_all is None else (is_empty(url) | F.coalesce(keep_all, F.lit(False)))
-    key = F.struct(*[F.col(c) for c in scope], F.when(~solo, F.col(url)).alias("_u"),
-                   F.when(solo, F.monotonically_increasing_id()).alias("_id"))
-    return first_per_key(df, key, order)
+    key = F.struct(*[F.col(c) for c in scope], F.col(url).alias("_u"))
+    return df.filter(solo).unionByName(first_per_key(df.filter(~solo), key, order))
 
 
 def dedupe_collapse(df: DataFrame, order: Sequence[str | Column], url: str = "url") -> DataFrame:

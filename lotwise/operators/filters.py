@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalars import title_year
-from lotwise.plans.sizing import checked_broadcast_chunks
 
 
 def _v(x) -> Column:
@@ -52,14 +51,13 @@ def sources(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.filter(F.col("source").isin(list(names)))
 
 
-def many_criteria(df: DataFrame, criteria: DataFrame, use_year: bool = True, use_miles: bool = True,
-                  max_broadcast_rows: int = 100_000) -> DataFrame:
-    """One listing table against many saved searches: (criteria_id, row) for
-    every row a search accepts.
+def many_criteria(df: DataFrame, criteria: DataFrame, use_year: bool = True, use_miles: bool = True) -> DataFrame:
+    """Listings of many saved searches: each row is held against the limits of
+    the search it was crawled for (``criteria_id``, unique in ``criteria``).
 
-    The predicate is a theta condition (no equality key), so the criteria
-    side is broadcast -- in chunks of at most ``max_broadcast_rows`` rows,
-    counted before any broadcast, so the broadcast never grows with the data.
+    An equality join: the planner broadcasts the searches while they are small
+    and shuffles both sides on the search beyond that (AQE splits a search that
+    holds a large share of the rows).  Rows without a known search are left out.
     """
     c = criteria.select(
         "criteria_id",
@@ -68,8 +66,4 @@ def many_criteria(df: DataFrame, criteria: DataFrame, use_year: bool = True, use
         F.col("year_min").alias("_ymin"),
     )
     cond = passes(F.col("_pmax"), F.col("_mmax") if use_miles else None, F.col("_ymin") if use_year else None)
-    parts = [df.join(chunk, cond, "inner") for chunk in checked_broadcast_chunks(c, "criteria_id", max_broadcast_rows)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_pmax", "_mmax", "_ymin")
+    return df.join(c, "criteria_id").filter(cond).drop("_pmax", "_mmax", "_ymin")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.scalars import py_strip
 from lotwise.operators.extract import bot_check, partial_banner  # noqa: F401  (re-exported)
-from lotwise.plans.sizing import broadcast_if_small
+from lotwise.plans.sizing import broadcast_if_small, materialised
 from lotwise.schema import SOURCE_A
 
 # Crawls per broadcast of the first-stop table (one small row per crawl).
@@ -28,11 +28,15 @@ def ok(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status") == 200)
 
 
-def is_stop(source="source", status="status", n_rows="n_rows", partial="partial") -> Column:
+def is_stop(source="source", status="status", n_rows="n_rows", partial="partial", error: str | None = None) -> Column:
     """A page that ends its crawl: fetch failed or not 200, no listings, or
-    (source A only) the out-of-area banner."""
+    (source A only) the out-of-area banner.  A page whose parsing failed
+    (``error`` set) is quarantined and ends nothing: what it holds is unknown."""
     st = F.col(status)
-    return (st.isNull() | (st != 200) | (F.coalesce(F.col(n_rows), F.lit(0)) == 0)
+    none = F.coalesce(F.col(n_rows), F.lit(0)) == 0
+    if error is not None:
+        none = none & F.col(error).isNull()
+    return (st.isNull() | (st != 200) | none
             | ((F.col(source) == SOURCE_A) & F.coalesce(F.col(partial), F.lit(False))))
 
 
@@ -102,7 +106,9 @@ def running_total(df: DataFrame, crawl: Sequence[str], order: Sequence[str], val
     if isinstance(chunk, str) and chunk == "range":
         n = range_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # partition numbers grow along (crawl, order); AQE only merges neighbours
-        d = df.repartitionByRange(n, *crawl, *order).withColumn("_chunk", F.spark_partition_id())
+        # Materialised: each range exchange samples bounds of its own, so the
+        # chunk numbers must come from one and the same run.
+        d = materialised(df.repartitionByRange(n, *crawl, *order).withColumn("_chunk", F.spark_partition_id()))
     else:
         d = df.withColumn("_chunk", chunk)
     w_in = Window.partitionBy(*crawl, "_chunk").orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)

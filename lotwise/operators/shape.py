@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.plans.sizing import materialised
 from lotwise.schema import LISTING
 
 
@@ -17,6 +18,17 @@ def sort_price_miles(df: DataFrame, tie: Sequence[str | Column] = ()) -> DataFra
     return df.orderBy(F.asc_nulls_last("price"), F.asc_nulls_last("mileage"), *tie)
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a sorted table from 1 in its order: the place within
+    the sort's partition plus the sizes of the partitions before it."""
+    rows = materialised(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset") + 1
+    return rows.join(offsets, "_part").withColumn(name, place).drop("_part", "_at", "_offset")
+
+
 def limit_pages(pages: DataFrame, max_pages: int) -> DataFrame:
     """At most ``max_pages`` pages per crawl (page numbers start at 1).
     A plain predicate on ``page_no``: it reaches the Parquet scan."""
@@ -24,7 +36,10 @@ def limit_pages(pages: DataFrame, max_pages: int) -> DataFrame:
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
-    """Stack tables by column name; a column one table lacks is NULL there."""
+    """Stack tables by column name; a column one table lacks is NULL there.  At
+    least one table is needed (an empty choice has no columns)."""
+    if not dfs:
+        raise ValueError("no table to stack")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
@@ -45,4 +60,4 @@ def default_first_seen(df: DataFrame, run_ts: str) -> DataFrame:
     return df.withColumn("first_seen", F.lit(run_ts))
 
 
-__all__ = ["sort_price_miles", "limit_pages", "union_all", "project_listing", "default_first_seen"]
+__all__ = ["sort_price_miles", "with_position", "limit_pages", "union_all", "project_listing", "default_first_seen"]

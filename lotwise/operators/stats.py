@@ -1,9 +1,10 @@
 """Summaries: min / median / mean, missing fields, per-source counts.
 
-All are single-pass aggregates.  ``median`` is exact: Spark keeps a map of
-distinct value -> count per group (combined map-side), so its state grows
-with the number of distinct prices/mileages, not with rows.  ``approx=True``
-switches to ``percentile_approx`` for unbounded value domains.
+Counts, minima and means are one aggregate.  The exact median counts each
+distinct value per group (combined map-side), takes a running total of those
+counts along the values (cut into range chunks, so no group is sorted whole in
+one task) and picks the values in the middle.  ``approx=True`` uses
+``percentile_approx`` instead, within the same single aggregate.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalars import is_blank
+from lotwise.operators.pages import running_total
+from lotwise.plans.sizing import materialised
 
 
 def _c(x) -> Column:
@@ -21,22 +24,44 @@ def _c(x) -> Column:
 
 
 def numeric_stats(x, prefix: str, approx: bool = False) -> list[Column]:
-    """``<prefix>_min``, ``<prefix>_median``, ``<prefix>_avg`` ignoring NULL;
-    median and mean cut to whole numbers (toward zero)."""
+    """``<prefix>_min`` and ``<prefix>_avg`` ignoring NULL, and with ``approx``
+    ``<prefix>_median``; cut to whole numbers toward zero."""
     c = _c(x)
-    med = F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
     n = F.count(c)
-    # mean = sum div count.  Summed as decimal(38,0) so it cannot overflow;
-    # the decimal quotient is rounded to 6 places, so correct its floor by one
-    # where rounding crossed an integer.
-    s = F.sum(c.cast("decimal(38,0)"))
-    q = F.floor(s / n)
-    mean = F.when(n > 0, F.when(q * n > s, q - 1).otherwise(q))
-    return [
-        F.min(c).alias(f"{prefix}_min"),
-        med.cast("bigint").alias(f"{prefix}_median"),
-        mean.cast("bigint").alias(f"{prefix}_avg"),
-    ]
+    # Summed as decimal(38,0), so it cannot overflow; ``div`` cuts toward zero.
+    mean = F.when(n > 0, F.call_function("div", F.sum(c.cast("decimal(38,0)")), n.cast("decimal(20,0)")))
+    out = [F.min(c).alias(f"{prefix}_min"), mean.cast("bigint").alias(f"{prefix}_avg")]
+    if approx:
+        out.append(F.percentile_approx(c, 0.5, 10000).cast("bigint").alias(f"{prefix}_median"))
+    return out
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """The exact median per group of each of ``columns``, as ``<name>_median``
+    cut toward zero; NULL values are ignored, groups without values are absent."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), _c(v).cast("bigint").alias("v")) for k, v in columns.items()]))
+    counts = materialised(
+        df.select(*by, each.alias("_x")).select(*by, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        .where("_v is not null").groupBy(*by, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    # A struct key groups NULLs of ``by`` like any other value.
+    keyed = counts.select("*", F.to_json(F.struct(*by, "_m")).alias("_g"))
+    totals = keyed.groupBy("_g").agg(F.sum("_n").alias("_all"))
+    run = running_total(keyed, ["_g"], ["_v"], "_n", "_upto", chunk="range").join(totals, "_g")
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = run.groupBy(*by, "_m").agg(F.min(F.when(F.col("_upto") >= low, F.col("_v"))).alias("_lo"),
+                                        F.min(F.when(F.col("_upto") >= high, F.col("_v"))).alias("_hi"))
+    both = (F.col("_lo").cast("decimal(20,0)") + F.col("_hi").cast("decimal(20,0)")) / 2
+    return middle.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_m") == k, both.cast("bigint"))).alias(f"{k}_median") for k in columns])
+
+
+def with_medians(summary_df: DataFrame, med: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join medians to a summary on its groups (NULL groups match)."""
+    m = med.select(*[F.col(b).alias(f"_{b}") for b in by], *[c for c in med.columns if c not in by])
+    cond = F.lit(True)
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return summary_df.join(m, cond, "left").drop(*[f"_{b}" for b in by])
 
 
 def missing_counts(fields: Sequence[str]) -> list[Column]:
@@ -44,33 +69,32 @@ def missing_counts(fields: Sequence[str]) -> list[Column]:
     return [F.count_if(is_blank(f)).alias(f"missing_{f}") for f in fields]
 
 
+def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str], others: Sequence[Column] = (),
+                    approx: bool = False) -> DataFrame:
+    """min / median / avg of each of ``columns`` per group, plus ``others``."""
+    one = df.groupBy(*by).agg(*others, *[c for k, v in columns.items() for c in numeric_stats(v, k, approx)])
+    return one if approx else with_medians(one, medians(df, by, columns), by)
+
+
 def summary(df: DataFrame, by: Sequence[str] = ("source",), fields: Sequence[str] = ("dealer", "location"),
             approx: bool = False) -> DataFrame:
     """Numeric stats of price and mileage plus missing-field counts per group."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *numeric_stats("price", "price", approx),
-        *numeric_stats("mileage", "mileage", approx),
-        *missing_counts(fields),
-    )
+    return numeric_summary(df, {"price": F.col("price"), "mileage": F.col("mileage")}, by,
+                           [F.count(F.lit(1)).alias("rows"), *missing_counts(fields)], approx)
 
 
 def raw_vs_filtered(df: DataFrame, passes: Column, by: Sequence[str] = ("source",),
                     fields: Sequence[str] = ("title", "dealer", "location"), approx: bool = False) -> DataFrame:
-    """Stats before and after a row filter, in one pass over the rows.
+    """Stats before and after a row filter.
 
     ``passes`` is the filter predicate; rows it rejects count as dropped.
     """
     p = F.coalesce(passes, F.lit(False))
-    raw = [*numeric_stats("price", "raw_price", approx), *numeric_stats("mileage", "raw_mileage", approx)]
-    kept = [*numeric_stats(F.when(p, F.col("price")), "kept_price", approx),
-            *numeric_stats(F.when(p, F.col("mileage")), "kept_mileage", approx)]
-    return (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(p).alias("kept_rows"), *raw, *kept,
-             *missing_counts(fields))
-        .withColumn("dropped_rows", F.col("raw_rows") - F.col("kept_rows"))
-    )
+    columns = {"raw_price": F.col("price"), "raw_mileage": F.col("mileage"),
+               "kept_price": F.when(p, F.col("price")), "kept_mileage": F.when(p, F.col("mileage"))}
+    counts = [F.count(F.lit(1)).alias("raw_rows"), F.count_if(p).alias("kept_rows"), *missing_counts(fields)]
+    return numeric_summary(df, columns, by, counts, approx).withColumn(
+        "dropped_rows", F.col("raw_rows") - F.col("kept_rows"))
 
 
 def by_source(df: DataFrame, url: str = "url") -> DataFrame:
@@ -82,5 +106,6 @@ def by_source(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def total(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"))
+def total(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of rows; with ``by``, per group and in all (the group is NULL)."""
+    return (df.rollup(*by) if by else df).agg(F.count(F.lit(1)).alias("rows"))

@@ -44,19 +44,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def _rank(mapping: dict[str, int]):
-    expr = None
-    for k, v in mapping.items():
-        expr = (F.when(F.col("source") == k, F.lit(v)) if expr is None else expr.when(F.col("source") == k, F.lit(v)))
-    return expr.otherwise(F.lit(len(mapping)))
-
-
 def combined_rank():
-    return _rank(COMBINED_RANK)
+    return J.source_rank(COMBINED_RANK)
 
 
 def file_rank():
-    return _rank(FILE_RANK)
+    return J.source_rank(FILE_RANK)
 
 
 # ---- 2.5 scalar functions -------------------------------------------------------------------
@@ -66,7 +59,8 @@ SELECT seq, price_text, mileage_text, title,
        TRY_CAST(NULLIF(regexp_replace(price_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS price,
        TRY_CAST(NULLIF(regexp_replace(mileage_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS mileage,
        TRY_CAST(NULLIF(regexp_replace(title, '[^0-9]', '', 'g'), '') AS BIGINT) AS title_digits,
-       TRY_CAST(NULLIF(regexp_replace(dealer || location, '[^0-9]', '', 'g'), '') AS BIGINT) AS dealer_loc_digits
+       TRY_CAST(NULLIF(regexp_replace(dealer || location, '[^0-9]', '', 'g'), '') AS BIGINT) AS dealer_loc_digits,
+       COALESCE(TRY_CAST(regexp_replace(repeat(price_text, 4), '[^0-9]', '', 'g') AS BIGINT), 9223372036854775807) AS past_long
 FROM derived_text""")
 def q_fn_clean_number(spark, d):
     t = derived_text(spark, d)
@@ -74,7 +68,8 @@ def q_fn_clean_number(spark, d):
                     fn.clean_number("price_text").alias("price"),
                     fn.clean_number("mileage_text").alias("mileage"),
                     fn.clean_number("title").alias("title_digits"),
-                    fn.clean_number(F.concat("dealer", "location")).alias("dealer_loc_digits"))
+                    fn.clean_number(F.concat("dealer", "location")).alias("dealer_loc_digits"),
+                    fn.clean_number(F.repeat("price_text", 4)).alias("past_long"))
 
 
 @query("fn_url_strip", """
@@ -285,10 +280,11 @@ NATION_CRITERIA_SQL = """crit AS (
 @query("flt_many_criteria", S.with_(S.DERIVED, NATION_CRITERIA_SQL) + f"""
 SELECT c.criteria_id, d.seq, d.url, d.price, d.mileage
 FROM derived d JOIN crit c
-  ON COALESCE(d.price <= c.price_max, TRUE) AND COALESCE(d.mileage <= c.mileage_max, TRUE)
+  ON d.l_suppkey % 25 = c.criteria_id AND COALESCE(d.price <= c.price_max, TRUE) AND COALESCE(d.mileage <= c.mileage_max, TRUE)
  AND COALESCE({S.year_of('d.title')} >= c.year_min, TRUE)""")
 def q_flt_many_criteria(spark, d):
-    t = derived_listings(spark, d).select("seq", "url", "price", "mileage", "title")
+    t = derived_listings(spark, d).select("seq", "url", "price", "mileage", "title",
+                                          (F.col("l_suppkey") % 25).cast("bigint").alias("criteria_id"))
     out = filters.many_criteria(t, nation_criteria(spark, d))
     return out.select("criteria_id", "seq", "url", "price", "mileage")
 
@@ -320,8 +316,9 @@ m AS (
                             CASE WHEN first_seen IS NULL OR first_seen = '' THEN '' ELSE first_seen END,
                             {S.FILE_RANK}, {S.ORDER}) AS win,
          first_value({S.FILE_RANK}) OVER (PARTITION BY url ORDER BY {S.FILE_RANK}, {S.ORDER}) AS first_file_rank,
-         first_value(seq) OVER (PARTITION BY url ORDER BY {S.FILE_RANK}, {S.ORDER}) AS first_seq
-  FROM derived WHERE url <> '')
+         first_value(seq) OVER (PARTITION BY url ORDER BY {S.FILE_RANK}, {S.ORDER}) AS first_seq,
+         min(met) OVER (PARTITION BY url) AS first_met
+  FROM (SELECT *, row_number() OVER (ORDER BY {S.FILE_RANK}, {S.ORDER}) AS met FROM derived WHERE url <> ''))
 """
 
 
@@ -331,12 +328,14 @@ def q_mrg_first_seen(spark, d):
     return dedupe.merge_first_seen(t, ["file_rank", *ORDER], keep=LISTING_COLS).select(*LISTING_COLS)
 
 
-@query("mrg_order", _MERGE_SQL + f"SELECT {S.LISTING}, first_file_rank, first_seq FROM m WHERE win = 1")
+@query("mrg_order", _MERGE_SQL + f"""
+SELECT {S.LISTING}, first_file_rank, first_seq, row_number() OVER (ORDER BY first_met) AS position FROM m WHERE win = 1""")
 def q_mrg_order(spark, d):
     t = derived_listings(spark, d).withColumn("file_rank", file_rank())
     m = dedupe.merge_first_seen(t, ["file_rank", *ORDER], keep=LISTING_COLS)
-    return dedupe.merge_order(m).select(*LISTING_COLS, F.col("first_pos.file_rank").alias("first_file_rank"),
-                                        F.col("first_pos.seq").alias("first_seq"))
+    return shape.with_position(dedupe.merge_order(m)).select(
+        *LISTING_COLS, F.col("first_pos.file_rank").alias("first_file_rank"),
+        F.col("first_pos.seq").alias("first_seq"), "position")
 
 
 @query("ded_counts", S.with_(S.DERIVED) + """
@@ -355,8 +354,8 @@ SELECT source, count(*) AS rows, {S.stats('price', 'price')}, {S.stats('mileage'
 FROM derived GROUP BY source""")
 def q_agg_numeric_stats(spark, d):
     t = derived_listings(spark, d)
-    return t.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *stats.numeric_stats("price", "price"),
-                                   *stats.numeric_stats("mileage", "mileage"))
+    return stats.numeric_summary(t, {"price": F.col("price"), "mileage": F.col("mileage")}, ["source"],
+                                 [F.count(F.lit(1)).alias("rows")])
 
 
 @query("agg_missing", S.with_(S.DERIVED) + f"""
@@ -434,16 +433,18 @@ def q_agg_raw_vs_filtered(spark, d):
 @query("agg_total", S.with_(S.DERIVED) + """
 SELECT source, count(*) AS rows FROM derived GROUP BY ROLLUP (source)""")
 def q_agg_total(spark, d):
-    return derived_listings(spark, d).rollup("source").agg(F.count(F.lit(1)).alias("rows"))
+    return stats.total(derived_listings(spark, d), by=["source"])
 
 
 # ---- 2.9 sort, limit, set, schema -----------------------------------------------------------
 
 @query("srt_price_miles", _COMBINED_SQL + f"""
-SELECT seq, {S.LISTING} FROM comb ORDER BY price ASC NULLS LAST, mileage ASC NULLS LAST, source_rank, {S.ORDER}""")
+SELECT seq, {S.LISTING}, row_number() OVER (
+  ORDER BY price ASC NULLS LAST, mileage ASC NULLS LAST, source_rank, {S.ORDER}) AS position FROM comb""")
 def q_srt_price_miles(spark, d):
     c = _combined(spark, d)
-    return shape.sort_price_miles(c, ["source_rank", *ORDER]).select("seq", *LISTING_COLS)
+    ordered = shape.sort_price_miles(c, ["source_rank", *ORDER])
+    return shape.with_position(ordered).select("seq", *LISTING_COLS, "position")
 
 
 @query("set_union", S.with_(S.DERIVED) + f"""
@@ -488,7 +489,8 @@ def extracted(spark, d) -> DataFrame:
 
 _EXP = S.with_(S.DERIVED_TEXT) + f""",
 pg AS (
-  SELECT *, CAST(l_orderkey // 1000 AS BIGINT) * 100000 + CAST(l_linenumber // 150 AS BIGINT) AS crawl_id,
+  SELECT *, CAST(l_orderkey // 1000 AS BIGINT) * 100000
+           + CAST((row_number() OVER (PARTITION BY source, l_orderkey ORDER BY {S.ORDER}) - 1) // 150 AS BIGINT) AS crawl_id,
          CAST(l_orderkey % 1000 + 1 AS INTEGER) AS page_no,
          CASE WHEN source = 'craigslist' THEN CASE WHEN (l_orderkey // 1000) % 2 = 0 THEN 'cto' ELSE 'cta' END
               ELSE '' END AS category,
@@ -496,10 +498,13 @@ pg AS (
          '/vehicledetail/' || CAST(l_partkey AS VARCHAR) AS path,
          CAST(floor(l_extendedprice) AS BIGINT) AS price_n, CAST(floor(l_quantity * 4000) AS BIGINT) AS miles_n,
          CASE WHEN l_orderkey % 107 = 13 THEN 503 ELSE 200 END AS status,
-         l_orderkey % 101 = 7 AS challenge
+         l_orderkey % 101 = 7 AS challenge,
+         l_orderkey % 109 = 17 AND l_orderkey % 107 <> 13 AND l_orderkey % 101 <> 7
+           AND (source = 'cars.com' OR l_orderkey % 2 = 1) AS broken
   FROM derived_text),
 pgx AS (
-  SELECT *, min(first_seen) OVER (PARTITION BY source, l_orderkey, crawl_id) AS fetched_at FROM pg),
+  SELECT *, CASE WHEN l_orderkey % 7 <> 3 THEN min(first_seen) OVER (PARTITION BY source, l_orderkey, crawl_id) END
+              AS fetched_at FROM pg),
 exp0 AS (
   SELECT source, category, crawl_id, page_no, l_orderkey, {S.ORDER.replace('first_seen', 'first_seen AS fs')},
          fetched_at AS first_seen,
@@ -520,7 +525,7 @@ exp0 AS (
          CASE WHEN source = 'craigslist' THEN NULL ELSE miles_n END AS mileage,
          CASE WHEN source = 'craigslist' THEN NULL ELSE dealer END AS dealer,
          CASE WHEN source = 'cargurus' AND structured AND guard THEN NULL ELSE location END AS location
-  FROM pgx WHERE status = 200 AND NOT challenge),
+  FROM pgx WHERE status = 200 AND NOT challenge AND NOT broken),
 exp1 AS (
   SELECT * FROM exp0 WHERE url IS NOT NULL OR title IS NOT NULL OR extractor = 'json'),
 expected AS (
@@ -530,13 +535,13 @@ expected AS (
   QUALIFY row_number() OVER (PARTITION BY source, l_orderkey, crawl_id, url
                              ORDER BY {S.ORDER.replace('first_seen', 'fs')}) = 1),
 pages_exp AS (
-  SELECT p.source, p.category, p.l_orderkey, p.crawl_id, p.page_no, p.status, p.structured, p.challenge,
+  SELECT p.source, p.category, p.l_orderkey, p.crawl_id, p.page_no, p.status, p.structured, p.challenge, p.broken,
          p.fetched_at,
          CAST(COALESCE(e.n, 0) AS INTEGER) AS n_rows,
-         CASE WHEN p.status <> 200 THEN NULL WHEN COALESCE(e.n, 0) = 0 THEN 'cards'
+         CASE WHEN p.status <> 200 OR p.broken THEN NULL WHEN COALESCE(e.n, 0) = 0 THEN 'cards'
               WHEN p.source = 'cargurus' AND p.structured THEN 'json'
               WHEN p.source = 'craigslist' AND p.structured THEN 'jsonld' ELSE 'cards' END AS extractor
-  FROM (SELECT DISTINCT source, category, l_orderkey, crawl_id, page_no, status, structured, challenge, fetched_at
+  FROM (SELECT DISTINCT source, category, l_orderkey, crawl_id, page_no, status, structured, challenge, broken, fetched_at
         FROM pgx) p
   LEFT JOIN (SELECT source, l_orderkey, crawl_id, count(*) AS n FROM expected GROUP BY ALL) e
     ON p.source = e.source AND p.l_orderkey = e.l_orderkey AND p.crawl_id = e.crawl_id)
@@ -610,19 +615,17 @@ def q_ex_page_dedupe(spark, d):
         F.count(F.lit(1)).alias("rows"), F.count_distinct("url").alias("distinct_urls"))
 
 
-@query("ex_stamp", _EXP + """
-SELECT source, crawl_id, page_no, min(first_seen) AS first_seen_min, max(first_seen) AS first_seen_max,
-       min(fetched_at) AS fetched_at
+@query("ex_stamp", _EXP + f"""
+SELECT source, crawl_id, page_no, min(COALESCE(first_seen, '{RUN_TS}')) AS first_seen_min,
+       max(COALESCE(first_seen, '{RUN_TS}')) AS first_seen_max, min(p.fetched_at) AS fetched_at
 FROM expected e JOIN (SELECT source AS s2, crawl_id AS c2, page_no AS p2, fetched_at FROM pages_exp) p
   ON e.source = p.s2 AND e.crawl_id = p.c2 AND e.page_no = p.p2
 GROUP BY ALL""")
 def q_ex_stamp(spark, d):
-    pages = rendered_pages(spark, d).select("source", "crawl_id", "page_no", "fetched_at")
-    rows = X.listings(X.extract(rendered_pages(spark, d)))
-    per_page = rows.groupBy("source", "crawl_id", "page_no").agg(
-        F.min("first_seen").alias("first_seen_min"), F.max("first_seen").alias("first_seen_max"))
-    return per_page.join(pages, ["source", "crawl_id", "page_no"]).select(
-        "source", "crawl_id", "page_no", "first_seen_min", "first_seen_max", "fetched_at")
+    rows = X.listings(X.extract(rendered_pages(spark, d), RUN_TS))
+    return rows.groupBy("source", "crawl_id", "page_no").agg(
+        F.min("first_seen").alias("first_seen_min"), F.max("first_seen").alias("first_seen_max"),
+        F.min("fetched_at").alias("fetched_at"))
 
 
 @query("ex_map_b", S.with_(S.DERIVED_TEXT) + """
@@ -768,7 +771,7 @@ def q_lim_pages(spark, d):
 
 @query("err_isolate", _EXP + ", " + _WEB_SQL + """
 SELECT p.source, count(*) AS pages, CAST(COALESCE(sum(p.n_rows), 0) AS BIGINT) AS rows,
-       CAST(0 AS BIGINT) AS error_pages
+       CAST(count_if(p.broken) AS BIGINT) AS error_pages
 FROM pages_exp p GROUP BY p.source
 UNION ALL
 SELECT 'web' AS source, count(*) AS pages, CAST(0 AS BIGINT) AS rows, count(*) AS error_pages FROM web""")
@@ -789,9 +792,10 @@ def _read_csv(spark, path) -> DataFrame:
 
 
 _LISTING_SQL = S.with_(S.DERIVED) + f"SELECT {S.LISTING} FROM derived"
+_CSV_SQL = S.with_(S.DERIVED) + f"SELECT {S.LISTING_CSV} FROM derived"
 
 
-@query("snk_csv", _LISTING_SQL)
+@query("snk_csv", _CSV_SQL)
 def q_snk_csv(spark, d):
     path = scratch_path(spark, "csv")
     W.write_csv(derived_listings(spark, d), path)
@@ -812,71 +816,75 @@ def q_snk_per_source(spark, d):
     return spark.read.parquet(path).select(*LISTING_COLS)
 
 
-@query("snk_snapshot", S.with_(S.DERIVED) + f"SELECT {S.LISTING}, 'run=20240101-000000' AS run FROM derived")
+@query("snk_snapshot", S.with_(S.DERIVED) + f"SELECT {S.LISTING_CSV}, 'run=20240101-000000' AS run FROM derived")
 def q_snk_snapshot(spark, d):
     base = scratch_path(spark, "snapshots")
     path = W.write_snapshot(derived_listings(spark, d), base, RUN_TS)
     return _read_csv(spark, f"{path}/csv").withColumn("run", F.lit(path.rsplit("/", 1)[1]))
 
 
-@query("snk_merged", _MERGE_SQL + f"SELECT {S.LISTING} FROM m WHERE win = 1")
+@query("snk_merged", _MERGE_SQL + f"""
+SELECT {S.LISTING_CSV}, row_number() OVER (ORDER BY first_met) AS position FROM m WHERE win = 1""")
 def q_snk_merged(spark, d):
     t = derived_listings(spark, d).withColumn("file_rank", file_rank())
     merged = dedupe.merge_first_seen(t, ["file_rank", *ORDER], keep=LISTING_COLS)
     path = scratch_path(spark, "merged")
     W.write_merged(merged, path)
-    return _read_csv(spark, path)
+    back = _read_csv(spark, path).select("*", F.col("_metadata.file_name").alias("_file"),
+                                         F.monotonically_increasing_id().alias("_row"))
+    return shape.with_position(back.orderBy("_file", "_row")).drop("_file", "_row")
 
 
-_SKIP_LIMIT = 1000
-
-
-@query("snk_skip_empty", S.with_(S.DERIVED) + f"""
+@query("snk_skip_empty", S.with_(S.DERIVED) + """
 SELECT s.source, count(d.seq) > 0 AS written, count(d.seq) AS rows
 FROM (VALUES ('cars.com'), ('cargurus'), ('craigslist')) s(source)
-LEFT JOIN derived d ON d.source = s.source AND d.price <= {_SKIP_LIMIT}
+LEFT JOIN derived d ON d.source = s.source AND d.source <> 'cargurus'
 GROUP BY s.source""")
 def q_snk_skip_empty(spark, d):
-    t = derived_listings(spark, d).filter(F.col("price") <= _SKIP_LIMIT)
+    t = derived_listings(spark, d).filter(F.col("source") != "cargurus")
     base = scratch_path(spark, "skip-empty")
-    out = []
-    for src in ["cars.com", "cargurus", "craigslist"]:
-        path = f"{base}/{FILE_STEM[src]}.csv"
-        written = W.write_if_any(t.filter(F.col("source") == src), W.write_csv, path)
-        n = _read_csv(spark, path).count() if written else 0
-        out.append((src, written, n))
-    return spark.createDataFrame(out, "source string, written boolean, rows bigint")
+    W.write_if_any(t, W.write_per_source, base, fmt="csv")  # one write; an empty source has no folder
+    found = (spark.read.schema(LISTING).option("header", True).option("multiLine", True).option("escape", '"').csv(base)
+             .groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    names = spark.createDataFrame([(s,) for s in FILE_STEM], "source string")
+    return names.join(found, "source", "left").select(
+        "source", F.col("n").isNotNull().alias("written"), F.coalesce("n", F.lit(0)).alias("rows"))
 
 
-def _write_results_files(spark, d, base: str, layouts: dict | None = None) -> None:
+def _write_results_files(spark, d, base: str, layouts: dict | None = None, stems: dict | None = None) -> None:
     """Derived listings as per-source result files, rows in reading order."""
     t = derived_listings(spark, d)
-    for src, stem in FILE_STEM.items():
+    for src, stem in (stems or FILE_STEM).items():
         part = t.filter(F.col("source") == src).orderBy(*ORDER)
         cols = (layouts or {}).get(src, LISTING_COLS)
         sel = [F.col(c) if c in part.columns else F.lit("x").alias(c) for c in cols]
         (part.select(*sel).write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(f"{base}/{stem}_results.csv"))
 
 
-@query("src_csv_glob", S.with_(S.DERIVED) + f"""
-SELECT source, title, price, mileage, CASE WHEN source = 'cargurus' THEN NULL ELSE dealer END AS dealer,
-       location, url, first_seen,
+@query("src_csv_glob", S.with_(S.DERIVED) + """
+SELECT source, NULLIF(title, '') AS title, price, mileage,
+       CASE WHEN source = 'cargurus' THEN NULL ELSE NULLIF(dealer, '') END AS dealer,
+       location, NULLIF(url, '') AS url, NULLIF(first_seen, '') AS first_seen,
        CASE source WHEN 'cars.com' THEN 'carscom_results.csv' WHEN 'cargurus' THEN 'cargurus_results.csv'
-            ELSE 'craigslist_results.csv' END AS results_file
+            ELSE 'combined_listings.csv.craigslist_results.csv' END AS results_file
 FROM derived""")
 def q_src_csv_glob(spark, d):
     base = scratch_path(spark, "results")
     layouts = {
+        "cars.com": [*(f"extra_{i}" for i in range(40)), *LISTING_COLS],  # a wide file
         "cargurus": ["vin", "source", "title", "price", "mileage", "location", "url", "first_seen"],
         "craigslist": list(reversed(LISTING_COLS)),
     }
-    _write_results_files(spark, d, base, layouts)
-    # an earlier merged output in the same folder must be left out
+    # an earlier merged output in the same folder must be left out, a file with
+    # a similar name must not
+    stems = {**FILE_STEM, "craigslist": "combined_listings.csv.craigslist"}
+    _write_results_files(spark, d, base, layouts, stems)
     earlier = dedupe.merge_first_seen(derived_listings(spark, d).withColumn("file_rank", file_rank()),
                                       ["file_rank", *ORDER], keep=LISTING_COLS)
     W.write_merged(earlier, f"{base}/combined_listings.csv")
-    rows = FS.typed(FS.read_listing_csv(spark, f"{base}/*.csv", exclude="combined_listings.csv"))
+    rows = FS.typed(FS.read_listing_csv(spark, f"{base}/*.csv", exclude=f"{base}/combined_listings.csv"))
     return rows.select(*LISTING_COLS,
                        F.regexp_extract("file", "([^/]+_results\\.csv)/", 1).alias("results_file"))
 
@@ -939,8 +947,8 @@ def q_src_categories(spark, d):
 
 @query("job_source", _EXP + f""",
 pst AS (
-  SELECT *, status <> 200 OR n_rows = 0 OR (source = 'cars.com' AND status = 200 AND NOT challenge
-                                            AND l_orderkey % 103 = 11) AS stop
+  SELECT *, status <> 200 OR (n_rows = 0 AND NOT broken)
+            OR (source = 'cars.com' AND status = 200 AND NOT challenge AND l_orderkey % 103 = 11) AS stop
   FROM pages_exp WHERE source = 'cars.com'),
 fst AS (SELECT source, category, crawl_id, min(page_no) AS stop_page FROM pst WHERE stop GROUP BY ALL),
 pre AS (
@@ -950,24 +958,36 @@ dd AS (
   SELECT * FROM pre
   QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY crawl_id, page_no,
                                            {S.ORDER.replace('first_seen', 'fs')}) = 1)
-SELECT source, title, price, mileage, dealer, location, url, first_seen FROM dd
-WHERE {S.passes(_L['price_max'], _L['mileage_max'], _L['year_min'])}""")
+SELECT 'listing' AS kind, source, title, price, mileage, dealer, location, url, first_seen,
+       CAST(NULL AS BIGINT) AS crawl_id, CAST(NULL AS INTEGER) AS page_no, CAST(NULL AS BIGINT) AS n_rows,
+       CAST(NULL AS BIGINT) AS cumulative
+FROM dd WHERE {S.passes(_L['price_max'], _L['mileage_max'], _L['year_min'])}
+UNION ALL
+SELECT 'progress', source, NULL, NULL, NULL, NULL, NULL, NULL, NULL, crawl_id, page_no, n_rows,
+       CAST(sum(n_rows) OVER (ORDER BY crawl_id, page_no) AS BIGINT)
+FROM pst LEFT JOIN fst f USING (source, category, crawl_id)
+WHERE n_rows > 0 AND (f.stop_page IS NULL OR page_no < f.stop_page)""")
 def q_job_source(spark, d):
     out = scratch_path(spark, "job-source")
     run = J.job_source(rendered_pages(spark, d), "cars.com", criteria=TEST_LIMITS, out_dir=out)
-    return _read_csv(spark, run.csv_path)
+    progress = run.progress.select(F.lit("progress").alias("kind"), "source", "crawl_id", "page_no",
+                                   F.col("n_rows").cast("bigint").alias("n_rows"), "cumulative")
+    return _read_csv(spark, run.csv_path).withColumn("kind", F.lit("listing")).unionByName(
+        progress, allowMissingColumns=True)
 
 
-@query("job_combined", _COMBINED_SQL + f"SELECT {S.LISTING} FROM comb")
+@query("job_combined", _COMBINED_SQL + f"SELECT {S.LISTING_CSV} FROM comb")
 def q_job_combined(spark, d):
     t = derived_listings(spark, d)
+    tracked = F.when(~fn.is_empty("url"), F.concat("url", F.lit("?utm_source="), "source", F.lit("#top"))).otherwise(F.col("url"))
+    t = t.withColumn("url", tracked)  # one listing under several tracked URLs
     per_source = {s: t.filter(F.col("source") == s) for s in ["craigslist", "cars.com", "cargurus"]}
     out = scratch_path(spark, "job-combined")
     run = J.job_combined(per_source, ORDER, limits=TEST_LIMITS, out_dir=out, run_ts=RUN_TS)
     return _read_csv(spark, f"{run.snapshot}/csv")
 
 
-@query("job_merge", _MERGE_SQL + f"SELECT {S.LISTING} FROM m WHERE win = 1")
+@query("job_merge", _MERGE_SQL + f"SELECT {S.LISTING_CSV} FROM m WHERE win = 1")
 def q_job_merge(spark, d):
     base = scratch_path(spark, "job-merge")
     W.write_results_files(derived_listings(spark, d), f"{base}/results", ORDER,

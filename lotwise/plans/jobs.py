@@ -7,17 +7,19 @@ stats and rows all read it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import dedupe, extract as X, filters, pages as PG, shape, stats
-from lotwise.schema import (COMBINED_LIMITS, COMBINED_RANK, DEFAULT_CRITERIA, FILE_STEM, LISTING_COLS, SOURCE_B,
+from lotwise.plans.sizing import materialised
+from lotwise.schema import (COMBINED_LIMITS, COMBINED_RANK, DEFAULT_CRITERIA, FILE_STEM, LISTING, LISTING_COLS, SOURCE_B,
                             SOURCE_C)
-from lotwise.session import shared_dir
 from lotwise.sinks import writers as W
-from lotwise.sources.files import read_listing_csv
+from lotwise.sources.files import FILE_ORDER, as_listings, read_listing_csv
 
 CRAWL = ["source", "category", "crawl_id"]
 
@@ -36,16 +38,16 @@ def category_rank():
     return F.when(F.col("category") == "cta", F.lit(1)).otherwise(F.lit(0))
 
 
-def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False, gap_is_stop: bool = False):
+def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False, gap_is_stop: bool = False,
+                run_ts: str | None = None):
     """Pages -> (extracted rows up to each crawl's first stop, stops, errors
     [, per-page progress]).  With ``gap_is_stop`` a missing page number also
     ends its crawl (reason 'missing page')."""
-    ext = X.extract(pages)
+    ext = X.extract(pages, run_ts)
     if checkpoint:
-        shared_dir(pages.sparkSession)
-        ext = ext.checkpoint(eager=True)
+        ext = materialised(ext)
     heads = X.page_heads(ext)
-    stop, reason = PG.is_stop(), PG.stop_reason()
+    stop, reason = PG.is_stop(error="error"), PG.stop_reason()
     if gap_is_stop:
         gaps = PG.gap_pages(heads, CRAWL).withColumn("_gap", F.lit(True))
         heads = heads.join(gaps, [*CRAWL, "page_no"], "left")
@@ -70,12 +72,12 @@ ORDER = ["category_rank", "crawl_id", "page_no", "pos"]
 
 
 def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_dir: str | None = None,
-               approx: bool = False, gap_is_stop: bool = False) -> SourceRun:
+               approx: bool = False, gap_is_stop: bool = False, run_ts: str | None = None) -> SourceRun:
     """One source: pages -> rows -> de-dupe -> stats -> filter -> stats -> CSV."""
     c = dict(DEFAULT_CRITERIA, **(criteria or {}))
     p = pages.filter(F.col("source") == source)
-    rows, stops, errs, progress = source_rows(p, with_progress=True, gap_is_stop=gap_is_stop)
-    deduped = rows if source == SOURCE_B else dedupe.dedupe_keep_blank(rows, ORDER)  # one source per run
+    rows, stops, errs, progress = source_rows(p, with_progress=True, gap_is_stop=gap_is_stop, run_ts=run_ts)
+    deduped = rows if source == SOURCE_B else materialised(dedupe.dedupe_keep_blank(rows, ORDER))  # one source per run
     passes = filters.passes(c["price_max"], None if source == SOURCE_C else c["mileage_max"], c["year_min"])
     fields = ["title", "location"] if source == SOURCE_C else ["dealer", "location"]
     summary = stats.raw_vs_filtered(deduped, passes, by=["source"], fields=fields, approx=approx)
@@ -89,7 +91,8 @@ def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_
     return SourceRun(kept, summary, stops, errs, progress, path)
 
 
-def _rank(mapping: dict) -> F.Column:
+def source_rank(mapping: dict) -> F.Column:
+    """The rank of a row's source; unknown sources come last."""
     e = None
     for k, v in mapping.items():
         e = F.when(F.col("source") == k, F.lit(v)) if e is None else e.when(F.col("source") == k, F.lit(v))
@@ -101,45 +104,58 @@ class CombinedRun:
     rows: DataFrame
     counts: DataFrame
     snapshot: str | None
+    failed: dict[str, str]  # sources whose rows could not be computed, and why
 
 
-def job_combined(per_source: dict[str, DataFrame], order: list[str], limits: dict | None = None,
-                 out_dir: str | None = None, run_ts: str | None = None, sources=None,
+def job_combined(per_source: dict[str, DataFrame | Callable[[], DataFrame]], order: list[str],
+                 limits: dict | None = None, out_dir: str | None = None, run_ts: str | None = None, sources=None,
                  write_parquet: bool = True) -> CombinedRun:
     """All sources: per-source outputs, union, de-dupe (first by source rank
     then reading order), limits, sort by price and mileage, snapshot, counts.
     De-dupe comes before the limits, as in the combined run.
 
-    Per-source outputs are one write partitioned by source (an empty source
-    simply has no folder).  The sorted result is checkpointed once, so the
-    snapshot's CSV and Parquet copies and the counts reuse one sort.
+    Each source's rows are typed (URLs without tracking parameters, numbers,
+    a first_seen) and materialised once; a source that fails counts as empty, is
+    named in ``failed``, and the others go on.  Without any row nothing is
+    written.  Per-source outputs are one write partitioned by source; the sorted
+    result is materialised too, so the snapshot's CSV and Parquet copies and the
+    counts reuse one sort.
     """
     lim = dict(COMBINED_LIMITS, **(limits or {}))
-    chosen = [v for k, v in per_source.items() if sources is None or k in set(sources)]
-    union = shape.union_all(chosen)
-    if out_dir:
+    stamp = run_ts or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    tables, failed = [], {}
+    spark = SparkSession.active()
+    for name, rows in per_source.items():
+        if sources is not None and name not in set(sources):
+            continue
+        try:
+            tables.append(materialised(as_listings(rows() if callable(rows) else rows, stamp)))
+        except Exception as ex:  # noqa: BLE001 -- one source's failure is reported, the others go on
+            failed[name] = f"{type(ex).__name__}: {ex}"
+    tables.append(spark.createDataFrame([], LISTING))
+    union = shape.union_all(tables)
+    some = not union.isEmpty()
+    if out_dir and some:
         W.write_per_source(union, f"{out_dir}/by_source_csv", fmt="csv")
         if write_parquet:
             W.write_per_source(union, f"{out_dir}/by_source_parquet", fmt="parquet")
-    keyed = ["source_rank", *order]
-    ranked = union.withColumn("source_rank", _rank(COMBINED_RANK))
+    keyed = ["source_rank", *[c for c in order if c in union.columns]]
+    ranked = union.withColumn("source_rank", source_rank(COMBINED_RANK))
     combined = filters.limits(dedupe.dedupe_collapse(ranked, keyed), lim["price_max"], lim["mileage_max"])
     ordered = shape.sort_price_miles(combined, keyed)
     snap = None
     if out_dir and run_ts:
-        shared_dir(union.sparkSession)
-        ordered = ordered.checkpoint(eager=True)
+        ordered = materialised(ordered)
         if not ordered.isEmpty():
             snap = W.write_snapshot(ordered, f"{out_dir}/combined", run_ts, parquet=write_parquet)
-    return CombinedRun(ordered, stats.by_source(ordered), snap)
+    return CombinedRun(ordered, stats.by_source(ordered), snap, failed)
 
 
 def job_merge(spark: SparkSession, input_glob: str, output: str | None = None) -> DataFrame | None:
     """Per-source CSV files -> one row per URL, earliest ``first_seen``,
-    in order of first encounter.  No rows: nothing is written, None back."""
-    shared_dir(spark)
+    in order of first encounter.  No files or no rows: nothing is written, None back."""
     files = read_listing_csv(spark, input_glob, exclude=output)
-    merged = dedupe.merge_first_seen(files, ["file", "row_no"], keep=LISTING_COLS).checkpoint(eager=True)
+    merged = materialised(dedupe.merge_first_seen(files, FILE_ORDER, keep=LISTING_COLS))
     if merged.isEmpty():
         return None
     if output:

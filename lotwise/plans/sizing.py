@@ -1,32 +1,30 @@
-"""Size guards: broadcast only what has been counted."""
+"""Size guards: broadcast only what has been counted and weighed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.session import shared_dir
 
-def checked_broadcast_chunks(small: DataFrame, key_col: str, max_rows: int) -> list[DataFrame]:
-    """Split ``small`` into broadcastable pieces of about ``max_rows`` rows.
+# A side is broadcast up to this many bytes of row text.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    The row count is taken first (one cheap aggregate).  Within the bound the
-    whole side is broadcast once; past it, rows are spread over hash buckets
-    of ``key_col`` (with 25% headroom) so each broadcast stays bounded and
-    the big side is joined once per piece.  No global sort or window.
-    """
-    small = small.persist()  # counted once, reused by the joins (recomputable from lineage)
-    n = small.count()
-    if n <= max_rows:
-        return [F.broadcast(small)]
-    pieces = -(-(n * 5) // (max_rows * 4))
-    bucket = F.pmod(F.xxhash64(F.col(key_col)), F.lit(pieces))
-    return [F.broadcast(small.filter(bucket == i)) for i in range(pieces)]
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder (a reliable
+    checkpoint), so several readers share it and a lost executor costs
+    nothing of it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def broadcast_if_small(small: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+
+def broadcast_if_small(small: DataFrame, max_rows: int,
+                       max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """(``small`` hinted for broadcast, True) if it has at most ``max_rows``
-    rows, else (``small``, False) so the caller shuffles instead.  The
-    counted side is persisted, so the count and the join compute it once."""
-    small = small.persist()  # counted once, reused by the join (recomputable from lineage)
-    n = small.count()
-    return (F.broadcast(small), True) if n <= max_rows else (small, False)
+    rows and ``max_bytes`` bytes, else (``small``, False) so the caller
+    shuffles instead.  The side is materialised first: the count and the join
+    compute it once."""
+    small = materialised(small)
+    n, size = small.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return (F.broadcast(small), True) if n <= max_rows and (size or 0) <= max_bytes else (small, False)

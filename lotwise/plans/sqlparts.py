@@ -22,17 +22,26 @@ DERIVED_TEXT = """derived_text AS (
 
 DERIVED = DERIVED_TEXT + """,
 derived AS (
-  SELECT seq, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
-         source, title, dealer, location, first_seen,
-         TRY_CAST(NULLIF(regexp_replace(price_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS price,
-         TRY_CAST(NULLIF(regexp_replace(mileage_text, '[^0-9]', '', 'g'), '') AS BIGINT) AS mileage,
-         regexp_replace(raw_url, '(?s)[?#].*$', '') AS url
+  SELECT seq, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, source,
+         CASE l_suppkey % 19 WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN substr(title, 6) ELSE title END AS title,
+         CASE l_suppkey % 17 WHEN 5 THEN NULL WHEN 6 THEN '  ' ELSE dealer END AS dealer, location,
+         CASE (l_partkey + l_suppkey) % 29 WHEN 6 THEN NULL WHEN 7 THEN '' ELSE first_seen END AS first_seen,
+         CASE WHEN l_suppkey % 13 <> 1
+              THEN TRY_CAST(NULLIF(regexp_replace(price_text, '[^0-9]', '', 'g'), '') AS BIGINT) END AS price,
+         CASE WHEN l_suppkey % 11 <> 7
+              THEN TRY_CAST(NULLIF(regexp_replace(mileage_text, '[^0-9]', '', 'g'), '') AS BIGINT) END AS mileage,
+         CASE WHEN l_partkey % 23 = 4 THEN NULL WHEN l_partkey % 23 = 5 THEN ''
+              ELSE regexp_replace(raw_url, '(?s)[?#].*$', '')
+                || CASE WHEN l_partkey % 4 = 1 THEN '' ELSE '/' || CAST(l_linenumber % 3 AS VARCHAR) END END AS url
   FROM derived_text
 )"""
 
 # Reading order of derived rows, as an ORDER BY list.
 ORDER = "seq, l_partkey, l_suppkey, first_seen, l_extendedprice, l_quantity"
 LISTING = "source, title, price, mileage, dealer, location, url, first_seen"
+# The listing columns as a CSV file gives them back: empty text is NULL.
+LISTING_CSV = ("source, NULLIF(title, '') AS title, price, mileage, NULLIF(dealer, '') AS dealer, "
+               "NULLIF(location, '') AS location, NULLIF(url, '') AS url, NULLIF(first_seen, '') AS first_seen")
 
 COMBINED_RANK = "CASE source WHEN 'craigslist' THEN 0 WHEN 'cars.com' THEN 1 ELSE 2 END"
 FILE_RANK = "CASE source WHEN 'cargurus' THEN 0 WHEN 'cars.com' THEN 1 ELSE 2 END"

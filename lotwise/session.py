@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,17 +52,34 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    cluster; only when it is unset (local tests) do we create our own.
+    cluster, and it must be set there: executors cannot share a folder that
+    the driver makes for itself.  Only a session in one process (``local``
+    masters, as in tests) gets a folder of its own.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lotwise-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers as a zip file, for
+    clusters whose workers do not have it on their search path.  Done once a
+    session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lotwise_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="lotwise-package-"), "lotwise-package")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._lotwise_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared folder."""
     return f"{shared_dir(spark)}/lotwise-{name}-{uuid.uuid4().hex[:12]}"

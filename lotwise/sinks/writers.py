@@ -14,7 +14,9 @@ from lotwise.operators.shape import project_listing
 
 
 def _csv(w):
-    return w.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "")
+    # Blanks at either end of a field are part of it.
+    return (w.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] | None = None, mode: str = "overwrite") -> None:

@@ -1,7 +1,7 @@
 """Listings derived from the driver's TPC-H-like tables.
 
 ``lineitem`` joined with ``part`` on the part key gives one listing per line:
-the same expressions are written in SQL in ``lotwise.plans.oracle`` so the
+the same expressions are written in SQL in ``lotwise.plans.sqlparts`` so the
 two engines can be compared.  ``seq`` is not unique, so row order is
 ``ORDER`` (seq, then the inputs every output column depends on).
 """
@@ -60,6 +60,23 @@ def clean(text: DataFrame) -> DataFrame:
     )
 
 
+def with_gaps(t: DataFrame) -> DataFrame:
+    """Unknown and blank values, by part and supplier key, in every listing
+    column; a quarter of the URLs is shared by all sources."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    null = F.lit(None)
+    own = F.when(k % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("/"), (F.col("l_linenumber") % 3).cast("string")))
+    return t.withColumns({
+        "title": F.when(s % 19 == 2, null).when(s % 19 == 3, F.lit("")).when(s % 19 == 4, F.substring("title", 6, 1 << 20))
+        .otherwise(F.col("title")),
+        "dealer": F.when(s % 17 == 5, null).when(s % 17 == 6, F.lit("  ")).otherwise(F.col("dealer")),
+        "first_seen": F.when((k + s) % 29 == 6, null).when((k + s) % 29 == 7, F.lit("")).otherwise(F.col("first_seen")),
+        "price": F.when(s % 13 != 1, F.col("price")),
+        "mileage": F.when(s % 11 != 7, F.col("mileage")),
+        "url": F.when(k % 23 == 4, null).when(k % 23 == 5, F.lit("")).otherwise(F.concat("url", own)),
+    })
+
+
 def derived_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned derived listings: LISTING columns plus ``ORDER`` columns."""
-    return clean(derived_text(spark, sf_dir))
+    return with_gaps(clean(derived_text(spark, sf_dir)))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
+from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,67 +16,86 @@ from pyspark.sql import types as T
 from lotwise.functions.scalars import to_numeric, url_untrack
 from lotwise.schema import LISTING, LISTING_COLS
 
-# Widest header the reader binds by name (columns past it are ignored).
-MAX_CSV_COLS = 32
-_RAW = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(MAX_CSV_COLS)])
-_BOUND = T.StructType([T.StructField(n, T.StringType()) for n in LISTING_COLS]
-                      + [T.StructField("file", T.StringType()), T.StructField("row_no", T.LongType())])
-
-
-def _bind_by_header(batches):
-    """Per partition: each file's first row is its header; later rows of the
-    file are bound to the 8 listing names by that header (a repeated name
-    binds to its last column, as a dict of the row would).  Vectorised per
-    run of rows from one file."""
-    import numpy as np
-    import pandas as pd
-
-    cur, pos, row_no = None, {}, 0
-    for pdf in batches:
-        files = pdf["_file"].to_numpy()
-        n = len(files)
-        if n == 0:
-            continue
-        cuts = np.flatnonzero(files[1:] != files[:-1]) + 1
-        parts = []
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, n]):
-            if files[s] != cur:  # a new file starts here: its first row is the header
-                cur, row_no = files[s], 0
-                header = pdf.iloc[s, :MAX_CSV_COLS].tolist()
-                pos = {}
-                for i, name in enumerate(header):
-                    if isinstance(name, str):
-                        pos[name] = i
-                s += 1
-            if s >= e:
-                continue
-            seg = pdf.iloc[s:e]
-            out = {c: (seg[f"_c{pos[c]}"].to_numpy() if c in pos else np.full(e - s, None, dtype=object))
-                   for c in LISTING_COLS}
-            out["file"] = files[s:e]
-            out["row_no"] = np.arange(row_no, row_no + (e - s), dtype="int64")
-            row_no += e - s
-            parts.append(pd.DataFrame(out))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
-
-
-def read_listing_csv(spark: SparkSession, paths, exclude: str | None = None) -> DataFrame:
+# Reading order of bound rows: files by folder, part number and name, then rows.
+FILE_ORDER = ["file_pos", "row_no"]
+BOUND = (", ".join(f"{c} string" for c in LISTING_COLS)
+         + ", file string, file_pos struct<folder:string,part:bigint,name:string,block:bigint>, row_no bigint")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full form of a path in its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
+def _plain(path: str) -> str:
+    """A file name as Spark reports it (percent-encoded), decoded and in one spelling of its scheme."""
+    path = unquote(path)
+    return "file:" + path[len("file://"):] if path.startswith("file:///") else path
+
+
+def _headers(spark: SparkSession, paths) -> list[tuple[str, str, bool]]:
+    """(file, header line, whether a field of the file spans lines) of every
+    file, from one pass over the lines; files without a line have no header."""
+    if not paths:
+        return []
+    try:
+        lines = spark.read.text(paths)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                         (quotes % 2 == 1).alias("open"), F.monotonically_increasing_id().alias("i"))
+    heads = lines.groupBy("f").agg(
+        F.min_by(F.when(F.col("b") == 0, F.col("value")), F.struct("b", "i")).alias("header"),
+        F.max("open").alias("spans"))
+    return [(_plain(r.f), r.header, r.spans) for r in heads.collect()]
+
+
+def _bound(spark: SparkSession, files: list[str], names: tuple[str, ...], spans: bool) -> DataFrame:
+    """Files of one layout, columns bound by name (a repeated name binds to its
+    last column)."""
+    raw = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    at = {n: i for i, n in enumerate(names)}
+    rows = (spark.read.schema(raw).option("header", True).option("enforceSchema", True).option("multiLine", spans)
+            .option("escape", '"').option("mode", "PERMISSIVE").csv(files))
+    path = F.col("_metadata.file_path")
+    return rows.select(
+        *[(F.col(f"_c{at[c]}") if c in at else F.lit(None).cast("string")).alias(c) for c in LISTING_COLS],
+        F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("row_no"))
+
+
+def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: str | None = None) -> DataFrame:
     """Read listing CSV files and bind columns by *header name*, per file.
 
-    Files are read with a wide all-text schema and no header, so files with
-    different column orders, extra or missing columns share one scan.
-    ``multiLine`` keeps every file whole in one split, so within a task the
-    rows of a file arrive together and in file order: its first row is its
-    header.  One pass, no driver-side reads, no join.  Adds ``file`` (files
-    are ordered by path) and ``row_no`` (0-based data row within the file).
+    Files may differ in column order, width, and extra or missing columns: they
+    are read layout by layout, each with its own width.  Only files in which a
+    field spans lines are read whole by one task; all others are split.  ``exclude`` is a file, or
+    a folder of part files, to leave out (compared as full paths).  No matching
+    file gives an empty table.
+
+    Adds ``file``, ``file_pos`` (files in order of folder, part number and
+    name, and blocks within a file) and ``row_no`` (rows within a block): the
+    reading order is ``FILE_ORDER``.
     """
-    raw = (spark.read.schema(_RAW).option("header", False).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(paths)
-           .select("*", F.col("_metadata.file_path").alias("_file")))
-    if exclude:
-        raw = raw.filter(~F.col("_file").contains(exclude))
-    return raw.mapInPandas(_bind_by_header, _BOUND)
+    left_out = _plain(_qualified(spark, exclude)) if exclude else None
+    layouts = defaultdict(list)
+    for file, header, spans in _headers(spark, paths):
+        if header is None or (left_out and (file == left_out or file.startswith(left_out + "/"))):
+            continue
+        layouts[tuple(next(csv.reader([header]), [])), spans].append(file)
+    if not layouts:
+        return spark.createDataFrame([], BOUND)
+    rows = reduce(DataFrame.unionByName, [_bound(spark, sorted(files), names, spans)
+                                          for (names, spans), files in sorted(layouts.items())])
+    part = F.regexp_extract("file", "/part-([0-9]{1,18})[^/]*$", 1).try_cast("bigint")
+    folder = F.when(part.isNotNull(), F.regexp_replace("file", "/[^/]*$", "")).otherwise(F.col("file"))
+    pos = F.struct(folder.alias("folder"), F.coalesce(part, F.lit(-1)).alias("part"), F.col("file").alias("name"),
+                   F.col("_block").alias("block"))
+    return rows.select(*LISTING_COLS, "file", pos.alias("file_pos"), "row_no")
 
 
 def typed(df: DataFrame) -> DataFrame:

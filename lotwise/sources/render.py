@@ -6,14 +6,16 @@ JSON-LD object) in the markup of its source, and the cards of one page are
 joined in reading order.  Page geometry (all from the order key ``o`` and
 part key ``k``):
 
-* page     = (source, order, line block); crawl_id = o div 1000 (x 1e5 + line
-             block), page_no = o % 1000 + 1; source C's category is cto/cta
-             by crawl parity.  A line block holds at most 150 line numbers,
-             so no page grows with the size of one order.
+* page     = (source, order, block); crawl_id = o div 1000 (x 1e5 + block),
+             page_no = o % 1000 + 1; source C's category is cto/cta by crawl
+             parity.  A block is 150 rows of a source's order in reading
+             order, so no page grows with the size of one order.
 * o even   -> structured data (B: embedded JSON, C: JSON-LD); odd -> cards.
              Source A always has cards.
 * o % 101 = 7  -> bot-check page (no cards); o % 103 = 11 -> cards plus the
-             out-of-area banner; o % 107 = 13 -> fetch failed (status 503).
+             out-of-area banner; o % 107 = 13 -> fetch failed (status 503);
+             o % 109 = 17 -> a page of cards holds a link that cannot be
+             resolved, so parsing it fails; o % 7 = 3 -> no fetch time.
 * k % 11 = 0 -> the card has neither link nor title.
 * k % 5 = 1  -> relative link (resolved against the site).
 * k % 7 = 0  -> source A card nested in another card.
@@ -24,13 +26,13 @@ oracle in ``lotwise.plans.catalog`` states the expected values per variant.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.schema import SOURCE_A, SOURCE_B, SOURCE_C
 from lotwise.sources.derived import ORDER, URL_BASE
 
-LINE_BLOCK = 150
+PAGE_ROWS = 150
 
 
 def esc(c: Column) -> Column:
@@ -173,7 +175,9 @@ def card_c() -> Column:
 
 
 def page_keys() -> list[Column]:
-    crawl = (_o().cast("bigint") / 1000).cast("bigint") * 100000 + (F.col("l_linenumber") / LINE_BLOCK).cast("bigint")
+    # Rows are numbered by a streaming window; nothing of an order is collected here.
+    number = F.row_number().over(Window.partitionBy("source", "l_orderkey").orderBy(*ORDER)) - 1
+    crawl = (_o().cast("bigint") / 1000).cast("bigint") * 100000 + F.floor(number / PAGE_ROWS)
     return [
         crawl.alias("crawl_id"),
         ((_o() % 1000) + 1).cast("int").alias("page_no"),
@@ -193,7 +197,8 @@ def render_pages(text: DataFrame) -> DataFrame:
     rows = text.select("source", "l_orderkey", *page_keys(), "first_seen", structured.alias("structured"),
                        F.struct(*[F.col(c) for c in ORDER], piece.alias("piece")).alias("p"))
     pages = rows.groupBy("source", "l_orderkey", "crawl_id", "page_no", "category", "structured").agg(
-        F.array_sort(F.collect_list("p")).alias("ps"), F.min("first_seen").alias("fetched_at"))
+        F.array_sort(F.collect_list("p")).alias("ps"), 
+        F.when(F.col("l_orderkey") % 7 != 3, F.min("first_seen")).alias("fetched_at"))
     # Stage 1: the joined pieces, once per page (later stages refer to them
     # by name, so they are not rebuilt per use).
     as_cards = (F.col("source") == SOURCE_A) | ~F.col("structured")
@@ -213,7 +218,10 @@ def render_pages(text: DataFrame) -> DataFrame:
                   '{"@context":"https://schema.org","@type":"ItemList","itemListElement":["ad",', joined, "]}</script>")
     head_extra = (F.when((src == SOURCE_B) & structured, _s("<script>var t = 1;</script><script>{bad json</script>", b_json))
                   .when((src == SOURCE_C) & structured, c_jsonld).otherwise(F.lit("")))
-    cards = F.when((src != SOURCE_A) & structured, F.lit("")).otherwise(joined)
+    broken = (F.when(src == SOURCE_A, F.lit('<div class="vehicle-card"><a class="vehicle-card-link" href="http://[">x</a></div>'))
+              .when(src == SOURCE_B, F.lit('<div data-listingid="0"><a href="http://[">x</a></div>'))
+              .otherwise(F.lit('<li class="result-row"><a class="result-title" href="http://[">x</a></li>')))
+    cards = F.when((src != SOURCE_A) & structured, F.lit("")).otherwise(F.concat(joined, _opt(o % 109 == 17, broken)))
     body = F.when(src == SOURCE_C, _s('<ul class="rows">', cards, "</ul>")).otherwise(
         _s('<div class="results">', cards, "</div>"))
     banner = _opt(o % 103 == 11, F.lit('<div class="notice">We found partial matches outside your search area.</div>'))
@@ -233,4 +241,4 @@ def render_pages(text: DataFrame) -> DataFrame:
                          status.cast("int").alias("status"), "fetched_at", html.alias("html"))
 
 
-__all__ = ["render_pages", "URL_BASE", "PATH"]
+__all__ = ["render_pages", "URL_BASE"]

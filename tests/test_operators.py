@@ -40,19 +40,19 @@ def test_dedupe_idempotent_and_partition_independent(spark):
     assert key(once) == key(twice) == key(spread) == key(rev) == [(i, f"u{i}") for i in range(7)]
 
 
-def test_merge_golden(spark, scratch):
-    # two result files; the later file has an earlier stamp for http://2
-    a = [("cars.com", "Car A", 1000, 5000, "A", "X", "http://1", "2024-01-01T00:00:00"),
-         ("cars.com", "Car B", 2000, 10000, "B", "Y", "http://2", "2024-01-02T00:00:00")]
-    b = [("cargurus", "Car C", 3000, 15000, "C", "Z", "http://2", "2024-01-01T00:00:00"),
-         ("craigslist", "Car D", 4000, 20000, "D", "W", "http://3", "2024-01-03T00:00:00")]
+def test_merge_keeps_the_earliest_sighting(spark, scratch):
+    # the second file saw /owl earlier than the first
+    a = [("cars.com", "Lynx", 610, 88000, "P", "Q", "http://x/lynx", "2023-06-01T08:00:00"),
+         ("cars.com", "Owl", 720, 91000, "P", "Q", "http://x/owl", "2023-06-04T08:00:00")]
+    b = [("cargurus", "Owl, older", 830, 90500, "R", "S", "http://x/owl", "2023-06-02T08:00:00"),
+         ("craigslist", "Toad", 940, 12000, None, " T ", "http://x/toad", "2023-06-03T08:00:00")]
     for name, rows in (("a_results.csv", a), ("b_results.csv", b)):
         spark.createDataFrame(rows, LISTING).coalesce(1).write.option("header", True).csv(f"{scratch}/{name}")
     out = f"{scratch}/combined.csv"
     merged = J.job_merge(spark, f"{scratch}/*_results.csv", out)
     got = [(r.url, r.title, r.first_seen) for r in merged.orderBy("first_pos").collect()]
-    assert got == [("http://1", "Car A", "2024-01-01T00:00:00"), ("http://2", "Car C", "2024-01-01T00:00:00"),
-                   ("http://3", "Car D", "2024-01-03T00:00:00")]
+    assert got == [("http://x/lynx", "Lynx", "2023-06-01T08:00:00"), ("http://x/owl", "Owl, older", "2023-06-02T08:00:00"),
+                   ("http://x/toad", "Toad", "2023-06-03T08:00:00")]
     assert os.path.isdir(out)
 
 
@@ -62,9 +62,95 @@ def test_merge_no_input(spark, scratch):
         f.write("source,title,price,mileage,dealer,location,url,first_seen\n")
     out = f"{scratch}/combined.csv"
     assert J.job_merge(spark, f"{scratch}/*_results.csv", out) is None
+    assert J.job_merge(spark, f"{scratch}/nothing-here-*.csv", out) is None
     assert not os.path.exists(out)
 
 
+def test_listing_files_of_any_layout(spark, scratch):
+    from lotwise.sources.files import FILE_ORDER, read_listing_csv
+
+    def put(name, text):
+        with open(f"{scratch}/{name}", "w", newline="") as f:
+            f.write(text)
+
+    wide = ",".join(f"x{i}" for i in range(50))
+    put("a_results.csv", f"{wide},title,url\n" + "," * 50 + '" T ",u1\n' + "," * 50 + "t2,u2\n")
+    put("b c%41_results.csv", 'url,title,title\nu3,old,"two\nlines, ""quoted"""\nu4\n')
+    put("out.csv.b_results.csv", "title,url\nnear name,u5\n")
+    put("out.csv", "title,url\nearlier output,u0\n")
+    put("empty_results.csv", "")
+    rows = read_listing_csv(spark, f"{scratch}/*.csv", exclude=f"{scratch}/out.csv").orderBy(*FILE_ORDER).collect()
+    assert [(r.title, r.url) for r in rows] == [
+        (" T ", "u1"), ("t2", "u2"), ('two\nlines, "quoted"', "u3"), (None, "u4"), ("near name", "u5")]
+    assert read_listing_csv(spark, []).count() == 0
+
+
+def test_part_files_in_number_order(spark, scratch):
+    from lotwise.sources.files import FILE_ORDER, read_listing_csv
+
+    os.makedirs(f"{scratch}/r.csv")
+    for n in (99999, 100000, 2):
+        with open(f"{scratch}/r.csv/part-{n:05d}-x.csv", "w") as f:
+            f.write(f"title,url\nt{n},u\n")
+    rows = read_listing_csv(spark, f"{scratch}/*.csv").orderBy(*FILE_ORDER).collect()
+    assert [r.title for r in rows] == ["t2", "t99999", "t100000"]
+
+
+def test_csv_keeps_blanks(spark, scratch):
+    from lotwise.sinks import writers as W
+    from lotwise.sources.files import read_listing_csv
+
+    W.write_csv(listing_df(spark, [(0, "a", " T ", 1, 2, "  ", None, "u", "s")]), f"{scratch}/x.csv")
+    r = read_listing_csv(spark, f"{scratch}/x.csv").first()
+    assert (r.title, r.dealer, r.location) == (" T ", "  ", None)
+
+
+def test_combined_without_rows_or_with_a_failing_source(spark, scratch):
+    one = listing_df(spark, [(0, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?utm_source=a&k=1#z", "s"),
+                             (1, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?k=1&utm_medium=b", "s")])
+
+    def fails():
+        raise OSError("no such source")
+
+    run = J.job_combined({"cars.com": one, "cargurus": fails}, ["pos"], out_dir=f"{scratch}/o", run_ts="2024-01-01T00:00:00")
+    assert run.rows.count() == 1 and list(run.failed) == ["cargurus"] and "no such source" in run.failed["cargurus"]
+    for chosen in ({}, {"cars.com": one.limit(0)}):
+        run = J.job_combined(chosen, ["pos"], out_dir=f"{scratch}/none", run_ts="2024-01-01T00:00:00")
+        assert run.rows.count() == 0 and run.snapshot is None and not os.path.exists(f"{scratch}/none")
+
+
+def test_site_names():
+    import argparse
+
+    import pytest
+
+    from lotwise.__main__ import site_list
+
+    assert site_list("carscom, craigslist,cars.com") == ["cars.com", "craigslist"]
+    with pytest.raises(argparse.ArgumentTypeError):
+        site_list("cars.com,nosuch")
+
+
+def test_a_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lotwise.session import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_shipped_package_reaches_workers(spark):
+    from lotwise.session import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert spark.sparkContext._lotwise_shipped
+
+
 def test_merge_blank_stamps(spark):
     rows = [(0, "s", "first", 1, 1, None, None, "u", ""), (1, "s", "mid", 1, 1, None, None, "u", "2024-02-01"),
             (2, "s", "early", 1, 1, None, None, "u", "2024-01-01"), (3, "s", "blank-url", 1, 1, None, None, "", "x")]
@@ -72,36 +158,38 @@ def test_merge_blank_stamps(spark):
     assert [(r.title, r.first_pos.pos) for r in m] == [("early", 0)]
 
 
-def test_criteria_golden(spark):
-    rows = [(0, "cars.com", "2010 Ford Focus", 4000, 100000, "Quality Cars", "Philadelphia, PA", "a", "s"),
-            (1, "cargurus", "2012 Toyota Camry", 8999, 123456, "Best Dealer", "Philadelphia, PA", "b1", "s"),
-            (2, "cargurus", "2002 Honda Civic", 3500, 200001, "Good Cars", "Philly, PA", "b2", "s"),
-            (3, "craigslist", "2012 Toyota Camry", 3500, None, None, "Philadelphia", "c1", "s"),
-            (4, "craigslist", "2002 Honda Civic", 5000, None, None, "Philly", "c2", "s")]
+def test_criteria(spark):
+    rows = [(0, "cars.com", "2011 Lynx", 3900, 120000, "d", "l", "a", "s"),
+            (1, "cargurus", "2014 Owl", 7800, 90000, "d", "l", "b1", "s"),
+            (2, "cargurus", "2013 Toad", 3100, 200001, "d", "l", "b2", "s"),
+            (3, "craigslist", "2009 Newt", 3300, None, None, "l", "c1", "s"),
+            (4, "craigslist", "2001 Vole", 4700, None, None, "l", "c2", "s")]
     df = listing_df(spark, rows)
     full = filters.criteria_full(df.filter("source <> 'craigslist'"), 4500, 200000, 2004)
     no_miles = filters.criteria_no_miles(df.filter("source = 'craigslist'"), 4500, 2004)
     assert sorted(r.url for r in full.union(no_miles).collect()) == ["a", "c1"]
-    b_file = [(0, "cargurus", "2009 Toyota Camry", 8999, 123456, "", "", "x", "s"),
-              (1, "cargurus", "2002 Honda Civic", 4000, 200000, "", "", "y", "s")]
+    b_file = [(0, "cargurus", "2007 Ibex", 8600, 140000, "", "", "x", "s"),
+              (1, "cargurus", "2003 Gnu", 2200, 150000, "", "", "y", "s"),
+              (2, "cargurus", "2007 Past", (1 << 63) - 1, 1, "", "", "z", "s")]
     kept = filters.criteria_full(listing_df(spark, b_file), 9000, 200000, 2004).collect()
     assert [r.url for r in kept] == ["x"]
     # combined run: limits only, de-dupe first, sorted by price then mileage
     per = {s: df.filter(F.col("source") == s) for s in ["craigslist", "cars.com", "cargurus"]}
     run = J.job_combined(per, ["pos"], limits=dict(price_max=4000, mileage_max=200000))
-    assert [(r.source, r.price) for r in run.rows.collect()] == [("craigslist", 3500), ("cars.com", 4000)]
+    assert [(r.source, r.price) for r in run.rows.collect()] == [("craigslist", 3300), ("cars.com", 3900)]
     assert [(r.source, r.listings) for r in run.counts.collect()] == [("cars.com", 1), ("craigslist", 1)]
 
 
-def test_many_criteria_chunks_match_single_broadcast(spark):
+def test_many_criteria_hold_each_row_to_its_own_search(spark):
     rows = [(i, "s", f"{1990 + i % 20} X", i * 100, i * 1000, None, None, f"u{i}", "s") for i in range(200)]
-    crit = spark.createDataFrame([(i, i * 500, i * 6000, 1990 + i % 10) for i in range(40)],
+    limits = {i: (i * 500, i * 6000, 1990 + i % 10) for i in range(40)}
+    crit = spark.createDataFrame([(i, *v) for i, v in limits.items()],
                                  "criteria_id long, price_max long, mileage_max long, year_min int")
-    df = listing_df(spark, rows)
-    one = filters.many_criteria(df, crit).select("criteria_id", "pos")
-    pieces = filters.many_criteria(df, crit, max_broadcast_rows=7).select("criteria_id", "pos")
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, pieces.collect()))
-    assert one.count() > 0
+    df = listing_df(spark, rows).withColumn("criteria_id", F.col("pos") % 50)
+    got = sorted(map(tuple, filters.many_criteria(df, crit).select("criteria_id", "pos").collect()))
+    want = sorted((i % 50, i) for i in range(200) if i % 50 in limits
+                  and all(x <= y for x, y in zip((i * 100, i * 1000), limits[i % 50][:2])) and 1990 + i % 20 >= limits[i % 50][2])
+    assert got == want and got
 
 
 def test_stats_truncation_and_empty(spark):
@@ -114,6 +202,21 @@ def test_stats_truncation_and_empty(spark):
     assert (a.missing_dealer, a.missing_location, b.missing_dealer) == (2, 1, 0)
 
 
+def test_exact_medians_and_means_cut_toward_zero(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(3)
+    values = {g: [rnd.choice([None, *range(-50, 50)]) for _ in range(n)] for g, n in (("a", 301), ("b", 40), (None, 7), ("c", 2))}
+    values["c"] = [-1, -2]
+    rows = [(i, g, "t", v, None, "d", "l", "u", "s") for g, vs in values.items() for i, v in enumerate(vs)]
+    got = {r.source: r for r in stats.summary(listing_df(spark, rows)).collect()}
+    for g, vs in values.items():
+        known = [v for v in vs if v is not None]
+        assert (got[g].price_median, got[g].price_avg) == (int(statistics.median(known)), int(sum(known) / len(known)))
+    assert (got["c"].price_median, got["c"].price_avg) == (-1, -1)
+
+
 def test_raw_vs_filtered(spark):
     rows = [(i, "a", "2010 X", p, None, "d", "l", f"u{i}", "s") for i, p in enumerate([100, 200, 300, 400])]
     r = stats.raw_vs_filtered(listing_df(spark, rows), filters.passes(250)).first()
@@ -127,9 +230,9 @@ def _page(source, cat, crawl, no, status, html):
 
 def test_pagination_stops_per_category(spark):
     pages = spark.createDataFrame([
-        _page("craigslist", "cto", 1, 1, 200, P.C_TWO), _page("craigslist", "cto", 1, 2, 200, "<html></html>"),
-        _page("craigslist", "cto", 1, 3, 200, P.C_CASSETTE), _page("craigslist", "cta", 1, 1, 200, "<html></html>"),
-        _page("craigslist", "cta", 1, 2, 200, P.C_TWO)], PAGES)
+        _page("craigslist", "cto", 1, 1, 200, P.C_ROWS), _page("craigslist", "cto", 1, 2, 200, P.EMPTY),
+        _page("craigslist", "cto", 1, 3, 200, P.C_MORE), _page("craigslist", "cta", 1, 1, 200, P.EMPTY),
+        _page("craigslist", "cta", 1, 2, 200, P.C_ROWS)], PAGES)
     rows, stops, _ = J.source_rows(pages)
     assert rows.count() == 2
     assert sorted((r.category, r.stop_at.page_no, r.stop_reason) for r in stops.collect()) == [
@@ -137,19 +240,19 @@ def test_pagination_stops_per_category(spark):
 
 
 def test_two_categories_same_page_dedupe(spark):
-    pages = spark.createDataFrame([_page("craigslist", "cto", 1, 1, 200, P.C_TWO),
-                                   _page("craigslist", "cta", 1, 1, 200, P.C_TWO)], PAGES)
+    pages = spark.createDataFrame([_page("craigslist", "cto", 1, 1, 200, P.C_ROWS),
+                                   _page("craigslist", "cta", 1, 1, 200, P.C_ROWS)], PAGES)
     run = J.job_source(pages, "craigslist", criteria=dict(price_max=10**9, year_min=0))
     assert run.rows.count() == 2
 
 
 def test_banner_stops_source_a(spark):
     pages = spark.createDataFrame([
-        ("cars.com", "", 1, 1, "u", 200, "t", P.A_ONE),
-        ("cars.com", "", 1, 2, "u", 200, "t", P.BANNER.replace("testcar", "other")),
-        ("cars.com", "", 1, 3, "u", 200, "t", P.A_ONE.replace("testcar", "third"))], PAGES)
+        ("cars.com", "", 1, 1, "u", 200, "t", P.A_VAN),
+        ("cars.com", "", 1, 2, "u", 200, "t", P.BANNER),
+        ("cars.com", "", 1, 3, "u", 200, "t", P.A_VAN.replace("van-7", "third"))], PAGES)
     rows, stops, _ = J.source_rows(pages)
-    assert [r.url for r in rows.collect()] == ["https://www.cars.com/vehicledetail/testcar"]
+    assert [r.url for r in rows.collect()] == ["https://www.cars.com/vehicledetail/van-7"]
     assert stops.first().stop_reason == "partial matches"
 
 
@@ -195,24 +298,42 @@ def test_frontier_and_categories(spark):
 
 def test_source_runs_b_and_c(spark):
     pages = spark.createDataFrame([
-        ("cargurus", "", 1, 1, "u", 200, "t", P.B_ASSIGNED_JSON),
-        ("cargurus", "", 1, 2, "u", 200, "t", P.B_TWO),
-        ("cargurus", "", 1, 3, "u", 200, "t", P.B_TWO),       # repeats page 2: B does not de-duplicate
+        ("cargurus", "", 1, 1, "u", 200, "t", P.B_ASSIGNED),
+        ("cargurus", "", 1, 2, "u", 200, "t", P.B_CARDS),
+        ("cargurus", "", 1, 3, "u", 200, "t", P.B_CARDS),       # repeats page 2: B does not de-duplicate
         ("cargurus", "", 1, 4, "u", 503, "t", None),
-        ("craigslist", "cto", 1, 1, "https://philadelphia.craigslist.org/search/cto", 200, "t", P.C_JSONLD),
-        ("craigslist", "cta", 1, 1, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_TWO),
-        ("craigslist", "cta", 1, 2, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_TWO)], PAGES)
+        ("craigslist", "cto", 1, 1, "https://philadelphia.craigslist.org/search/cto", 200, "t", P.C_LINKED),
+        ("craigslist", "cta", 1, 1, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_ROWS),
+        ("craigslist", "cta", 1, 2, "https://philadelphia.craigslist.org/search/cta", 200, "t", P.C_ROWS)], PAGES)
     b = J.job_source(pages, "cargurus", criteria=dict(price_max=10**9, mileage_max=10**9, year_min=0))
     assert b.rows.count() == 5
     assert [(r.stop_at.page_no, r.stop_reason) for r in b.crawls.collect()] == [(4, "HTTP 503")]
     assert [(r.page_no, r.cumulative) for r in b.progress.orderBy("page_no").collect()] == [(1, 1), (2, 3), (3, 5)]
-    c = J.job_source(pages, "craigslist", criteria=dict(price_max=4000, year_min=2004))
-    assert sorted(r.title for r in c.rows.collect()) == ["2009 Toyota Camry"]
+    c = J.job_source(pages, "craigslist", criteria=dict(price_max=6000, year_min=2004))
+    assert sorted(r.title for r in c.rows.collect()) == ["2013 Lark Wagon"]
     s = c.summary.first()
-    assert (s.total_rows, s.unique_rows, s.raw_rows, s.kept_rows) == (5, 3, 3, 1)
+    assert (s.total_rows, s.unique_rows, s.raw_rows, s.kept_rows) == (6, 4, 4, 1)
     # the running total continues from category cto into cta
     assert [(r.category, r.page_no, r.cumulative) for r in c.progress.orderBy("category_rank", "page_no").collect()] \
-        == [("cto", 1, 1), ("cta", 1, 3), ("cta", 2, 5)]
+        == [("cto", 1, 2), ("cta", 1, 4), ("cta", 2, 6)]
+
+
+def test_a_page_that_fails_to_parse_ends_nothing(spark):
+    pages = spark.createDataFrame([("cars.com", "", 1, n, "u", 200, "t", html) for n, html in enumerate(
+        [P.A_VAN, P.BROKEN_LINK, P.A_VAN.replace("van-7", "three"), P.EMPTY, P.A_VAN.replace("van-7", "five")], 1)], PAGES)
+    rows, stops, errors = J.source_rows(pages)
+    assert sorted(r.url.rsplit("/", 1)[1] for r in rows.collect()) == ["three", "van-7"]
+    assert [(r.stop_at.page_no, r.stop_reason) for r in stops.collect()] == [(4, "no results")]
+    assert [r.page_no for r in errors.collect()] == [2]
+
+
+def test_one_hot_crawl_of_half_a_million_rows(spark):
+    n = 500_000
+    df = spark.range(0, n, 1, 13).select(F.lit(1).alias("crawl"), F.xxhash64("id").alias("pos"), (F.col("id") % 7).alias("n"))
+    for _ in range(2):
+        out = PG.running_total(df, ["crawl"], ["pos"], "n", "cum", chunk="range", range_parts=16)
+        plain = PG.running_total(df, ["crawl"], ["pos"], "n", "plain").select("pos", "plain")
+        assert out.join(plain, "pos").where("cum <> plain").count() == 0 and out.count() == n
 
 
 def test_prefix_and_running_total_past_broadcast_bound(spark):
@@ -234,12 +355,12 @@ def test_prefix_and_running_total_past_broadcast_bound(spark):
 
 def test_gap_in_page_numbers_stops_when_asked(spark):
     pages = spark.createDataFrame([
-        ("cars.com", "", 1, 1, "u", 200, "t", P.A_ONE),
-        ("cars.com", "", 1, 2, "u", 200, "t", P.A_ONE.replace("testcar", "two")),
-        ("cars.com", "", 1, 4, "u", 200, "t", P.A_ONE.replace("testcar", "four")),
-        ("cars.com", "", 2, 2, "u", 200, "t", P.A_ONE.replace("testcar", "late"))], PAGES)
+        ("cars.com", "", 1, 1, "u", 200, "t", P.A_VAN),
+        ("cars.com", "", 1, 2, "u", 200, "t", P.A_VAN.replace("van-7", "two")),
+        ("cars.com", "", 1, 4, "u", 200, "t", P.A_VAN.replace("van-7", "four")),
+        ("cars.com", "", 2, 2, "u", 200, "t", P.A_VAN.replace("van-7", "late"))], PAGES)
     rows, stops, _ = J.source_rows(pages, gap_is_stop=True)
-    assert sorted(r.url.rsplit("/", 1)[1] for r in rows.collect()) == ["testcar", "two"]
+    assert sorted(r.url.rsplit("/", 1)[1] for r in rows.collect()) == ["two", "van-7"]
     assert sorted((r.crawl_id, r.stop_at.page_no, r.stop_reason) for r in stops.collect()) == [
         (1, 4, "missing page"), (2, 2, "missing page")]
     rows, _, _ = J.source_rows(pages)

@@ -24,6 +24,7 @@ def test_incremental_equals_one_shot(spark, scratch):
     IM.start(spark, f"{inp}/*_results.csv/*.csv", state, ckpt).awaitTermination()
     _write(spark, b2, f"{inp}/b_results.csv")
     IM.start(spark, f"{inp}/*_results.csv/*.csv", state, ckpt).awaitTermination()
+    IM.vacuum(spark, state, 1)
     got = sorted((r.url, r.title) for r in IM.latest(spark, state, 1).collect())
     one_shot = sorted((r.url, r.title) for r in J.job_merge(spark, f"{inp}/*_results.csv").collect())
     assert got == one_shot == [("http://1", "A"), ("http://2", "C"), ("http://3", "E")]
