@@ -55,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of Python stages small: texts and sets are large
+    rows, and a batch is held several times over (JVM, pipe, Python)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[list]:
     """The columns of a batch as Python lists, a few megabytes of text at a
     time, so that memory follows SLICE_BYTES and the longest single text."""
@@ -75,6 +82,7 @@ def map_slices(df: DataFrame, per_slice: Callable, schema: str, text_at: int = 1
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

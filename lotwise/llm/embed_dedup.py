@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import stored, table
+from lotwise.llm.common import small_batches, stored, table
 from lotwise.llm.components import components
 
 THRESHOLD = 0.93
@@ -208,6 +208,7 @@ def _compared(tiles: DataFrame, basis: dict[int, np.ndarray], threshold: float,
                     [reps.take(pa.array(at)), gs.take(pa.array(at)), pa.array(links[at].astype(np.int64)),
                      reps.take(pa.array(root))], names=["rep", "g", "links", "root"])
 
+    small_batches(tiles.sparkSession)
     return tiles.mapInArrow(run, schema)
 
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import map_slices, table, text_of
+from lotwise.llm.common import map_slices, small_batches, table, text_of
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -49,7 +49,7 @@ STEPS = 300
 FOLDS = 3
 RATE = 0.15
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -214,11 +214,18 @@ class Model:
         with a bounded cache of words."""
         buckets, bias = self.buckets, self.bias
 
-        class Known(dict):
+        older: dict[str, float] = {}
+
+        class Known(dict):  # words met lately, in two generations
             def __missing__(self, word):
+                value = older.get(word)
+                if value is None:
+                    value = float(buckets[gram_buckets(word)].mean())
                 if len(self) >= CACHE_WORDS:
+                    older.clear()
+                    older.update(self)
                     self.clear()
-                value = self[word] = float(buckets[gram_buckets(word)].mean())
+                self[word] = value
                 return value
 
         known = Known()
@@ -342,6 +349,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     from pyspark.sql.functions import pandas_udf
 
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    small_batches(docs.sparkSession)
     state = {}
 
     @pandas_udf("double")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import slices, stage_dir, stored, table, text_of
+from lotwise.llm.common import slices, small_batches, stage_dir, stored, table, text_of
 
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -237,6 +237,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 names=["archive", "records", "bytes"])
 
     rows = with_revisits(pages, id_col, url_col, html_col).sortWithinPartitions("page_id", "sha1", "url")
+    small_batches(pages.sparkSession)
     manifest = rows.mapInArrow(run, "archive string, records bigint, bytes bigint")
     return stored(manifest, "warc-manifest")
 
@@ -280,6 +281,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
     return files.select("content").mapInArrow(run, schema)
 
