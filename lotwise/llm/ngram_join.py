@@ -36,6 +36,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -45,50 +46,85 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import map_slices, slices, stored, table, text_of
+from lotwise.llm.common import map_slices, slices, small_batches, stored, table, text_of
 from lotwise.llm.components import components
 
 PARTS = 64
 PER_COUNTER = 32
 LEAST_BITS, MOST_BITS = 12, 26
 CHUNK_BITS = 16
-CACHE_WORDS = 300_000
 #: Earlier shared shingles that an entry carries, to meet a pair at its first one.
 EARLIER = 8
 LEADER_ROUNDS = 4
 #: Ids whose texts are fetched by a sent table; more are joined.
 SENT_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- shingles -----------------------------------------------------------------
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = _WordHashes()
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Powers of an odd number and of its inverse modulo 2 ** 64, as far as needed.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of text hashed at once; a cut falls on a blank.
+HASHED_BYTES = 1 << 20
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate(_BASES):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word: the word's part of one running polynomial
+    sum over the bytes, shifted back to the word's start and mixed."""
+    x = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(x) + 2, bool)
+    inside[1:-1] = ~_BLANK[x]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers, back = _powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x + np.uint64(1)) * powers[:len(x)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return h
 
 
 def shingles(text: str, n: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's n-word shingles: A-Z are
     lower-cased and words split at the six ASCII blanks, both on bytes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
-    count = len(words) - n + 1
+    data = text.encode("utf-8", "surrogatepass").lower()
+    if len(data) <= HASHED_BYTES:
+        hashes = _word_hashes(data)
+    else:
+        parts, at = [], 0
+        while at < len(data):
+            m = _CUT.search(data, at + HASHED_BYTES)
+            end = m.start() if m else len(data)
+            parts.append(_word_hashes(data[at:end]))
+            at = end
+        hashes = np.concatenate(parts)
+    if not len(hashes):
+        return hashes
+    n = min(n, len(hashes))
+    count = len(hashes) - n + 1
     out = np.full(count, n, np.uint64)
     for i in range(n):
         out ^= hashes[i:i + count]
         out *= _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def needed(a, b, percent: int):
@@ -109,6 +145,7 @@ def index_length(n, percent: int):
 def _first_reading(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """Rows (id, n_shingles, digest) of documents, and at the end of each task
     rows (chunk, counts) of its sketch."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, n_shingles bigint, digest binary, chunk int, counts binary"
 
