@@ -9,7 +9,8 @@ smaller one).  Documents are joined on those shingles, and a pair must pass
 * the length filter: the smaller set has at least ``percent`` % of the larger;
 * the positional filter: what the places of the shared shingle leave is enough;
 * the suffix filter: both sets are partitioned alike by hash into ``PARTS`` parts,
-  and the sum of differences in size bounds the number of unshared shingles;
+  and the sum of differences in size bounds the number of unshared shingles; pairs
+  left after the join pass the same filter with ``FINE_PARTS`` parts;
 
 before the sets themselves are compared, once per pair.
 
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import map_slices, slices, small_batches, stored, table, text_of
 from lotwise.llm.components import components
 
-PARTS = 64
+PARTS, FINE_PARTS = 64, 512
 PER_COUNTER = 32
 LEAST_BITS, MOST_BITS = 12, 26
 CHUNK_BITS = 16
@@ -200,26 +201,27 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
 # --- second reading: prefixes ---------------------------------------------------
 
 def _prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, bits: int) -> DataFrame:
-    """_id, n, parts (sizes of the parts of the set, one byte each, at most 255)
-    and prefix (the rarest shingles in order)."""
+    """_id, n, parts and fine (sizes of the parts of the set, coarse and fine, at
+    most 255 each) and prefix (the rarest shingles in order)."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def per_slice(ids, texts):
-        sizes, parts, prefixes = [], [], []
+        sizes, parts, fine, prefixes = [], [], [], []
         for t in texts:
             s = shingles(t, n)
             sizes.append(len(s))
-            parts.append(np.minimum(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255)
-                         .astype(np.int16))
+            held = np.bincount((s & np.uint64(FINE_PARTS - 1)).astype(np.int64), minlength=FINE_PARTS)
+            fine.append(np.minimum(held, 255).astype(np.int16))
+            parts.append(np.minimum(held.reshape(-1, PARTS).sum(0), 255).astype(np.int16))
             if len(s):
                 order = np.argsort(sent.value[s >> np.uint64(64 - bits)], kind="stable")  # ties by hash
                 prefixes.append(s[order[:probe_length(len(s), percent)]].view(np.int64))
             else:
                 prefixes.append([])
-        return ids, sizes, parts, prefixes
+        return ids, sizes, parts, fine, prefixes
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    return map_slices(docs, per_slice, f"_id {id_type}, n bigint, parts array<smallint>, prefix array<bigint>")
+    return map_slices(docs, per_slice, f"_id {id_type}, n bigint, parts array<smallint>, fine array<smallint>, prefix array<bigint>")
 
 
 def _entries(shared: DataFrame) -> DataFrame:
@@ -231,20 +233,28 @@ def _entries(shared: DataFrame) -> DataFrame:
                     lambda x: x["h"]).alias("earlier"))
 
 
+def _need(total: Column, percent: int) -> Column:
+    return F.ceil((total * percent) / F.lit(100.0 + percent) - 1e-6)
+
+
+def _unshared(x: Column, y: Column) -> Column:
+    """A lower bound of the shingles that two sets do not share, from their parts."""
+    apart = F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int")))
+    return F.aggregate(apart, F.lit(0), lambda s, v: s + v)
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """The length, positional and suffix filters for x, the smaller or first, and
     y, met at a shared shingle."""
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny, px, py = c(x, "n"), c(y, "n"), c(x, "pos"), c(y, "pos")
     total = nx + ny
-    need = F.ceil((total * percent) / F.lit(100.0 + percent) - 1e-6)
-    unshared = F.aggregate(F.zip_with(c(x, "parts"), c(y, "parts"), lambda a, b: F.abs(a.cast("int") - b.cast("int"))),
-                           F.lit(0), lambda s, v: s + v)
+    need = _need(total, percent)
     return (
         (nx * 100 >= ny * percent)
         & (px <= nx - F.ceil((nx * (2 * percent)) / F.lit(100.0 + percent) - 1e-6))
         & (F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1) >= need)
-        & (unshared <= total - 2 * need)
+        & (_unshared(c(x, "parts"), c(y, "parts")) <= total - 2 * need)
     )
 
 
@@ -254,8 +264,16 @@ def _first(x: str, y: str) -> Column:
 
 # --- verification ---------------------------------------------------------------
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, their whole sets compared."""
+def _verified(docs: DataFrame, fine: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: those that pass the fine suffix filter, their
+    whole sets compared."""
+    pairs = (
+        pairs.select("a", "b").distinct()
+        .join(fine.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a")
+        .join(fine.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
+    )
+    total = F.col("na") + F.col("nb")
+    pairs = pairs.where(_unshared(F.col("fa"), F.col("fb")) <= total - 2 * _need(total, percent))
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     few = pairs.count() <= SENT_IDS // 2
@@ -304,7 +322,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
 
     prefixes = _prefixes(docs.where("_id is not null"), n, percent, _sketch(read, bits), bits)
     nodes = prefixes.join(member.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
-    nodes = nodes.select(F.col("_id").alias("id"), F.xxhash64("n", "prefix").alias("d"), "n", "parts", "prefix")
+    nodes = nodes.select(F.col("_id").alias("id"), F.xxhash64("n", "prefix").alias("d"), "n", "parts", "fine",
+                         "prefix")
     nodes = stored(nodes, "prefixes")
     entries = nodes.select("id", "d", F.posexplode("prefix").alias("pos", "h"))
     buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
@@ -321,13 +340,13 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     last = None
     for k in range(LEADER_ROUNDS):
         found = _led(shared, own, percent, k)
-        links.append(_verified(docs, found, n, percent))
+        links.append(_verified(docs, nodes, found, n, percent))
         own = _merged(links)
         cross = _cross_bound(shared, own)
         if not cross or (last is not None and cross > 0.8 * last):
             break
         last = cross
-    links.append(_verified(docs, _crossing(shared, own, percent), n, percent))
+    links.append(_verified(docs, nodes, _crossing(shared, own, percent), n, percent))
     own = _merged(links)
     return (
         member.join(own, member["rep"] == own["id"], "left")
