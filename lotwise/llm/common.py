@@ -55,6 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: Column, want: int) -> DataFrame:
+    """The ``want`` rows with the smallest hash of ``key`` (all of a smaller
+    table).  Rows over a bound of the hash go first, so that the driver gets little
+    more than ``want`` rows however many partitions there are."""
+    n = df.count()
+    at = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 40))
+    rows = df.withColumn("_at", at)
+    if n > want:
+        rows = rows.where(F.col("_at") < int((1 << 40) * min(1.0, 1.5 * (want + 20) / n)))
+    return rows.orderBy("_at").limit(want).drop("_at")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of Python stages small: texts and sets are large
     rows, and a batch is held several times over (JVM, pipe, Python)."""

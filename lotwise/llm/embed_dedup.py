@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import small_batches, stored, table
+from lotwise.llm.common import hash_sample, small_batches, stored, table
 from lotwise.llm.components import components
 
 THRESHOLD = 0.93
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = given.where(_usable()).withColumn("g", F.xxhash64("label", "v"))
     id_type = rows.schema["id"].dataType.simpleString()
     sample: dict[int, list] = {}
-    for r in rows.select("v", F.xxhash64("id").alias("_h")).orderBy("_h").limit(SAMPLE).collect():
+    for r in sorted(hash_sample(rows.select("id", "v"), F.col("id"), SAMPLE).collect()):
         sample.setdefault(len(r.v), []).append(r.v)
     basis = {dim: axes(unit_rows(np.array(x))) for dim, x in sample.items()}
     reps = rows.groupBy("label", "v", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import slices, small_batches, stage_dir, stored, table, text_of
+from lotwise.llm.common import hash_sample, slices, small_batches, stage_dir, stored, table, text_of
 
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -196,11 +196,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     filesystems reach); returns the manifest: archive, records, bytes."""
     from pyarrow import fs
 
-    sample = (
-        pages.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_h"),
-                     F.substring(text_of(F.col(html_col)), 1, DICT_CHARS).alias("_t"))
-        .orderBy("_h", "_t").limit(DICT_PAGES).collect()
-    )
+    some = hash_sample(pages.select(id_col, html_col), F.col(id_col), DICT_PAGES)
+    sample = sorted(some.select(F.substring(text_of(F.col(html_col)), 1, DICT_CHARS).alias("_t")).collect())
     trained = dictionary([record_bytes("0", None, r._t.encode(), len(r._t), "0" * 40, None, False) for r in sample])
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
