@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import map_slices, table, text_of
 
-CACHE_FRAGMENTS = 250_000
+CACHE_FRAGMENTS = 120_000
 WORD_END = 0xFF
 CACHED_LENGTH = 64
 SHORT = 48

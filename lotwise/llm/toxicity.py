@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import map_slices, small_batches, table, text_of
+from lotwise.llm.common import hash_sample, map_slices, small_batches, stored, table, text_of
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -49,7 +49,7 @@ STEPS = 300
 FOLDS = 3
 RATE = 0.15
 THRESHOLD = 0.7
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -299,10 +299,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         .where("_id is not null and _toxic is not null").where(~held_out(F.col("_id")))
         .groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     )
+    ids = stored(ids, "labels")
     order = [F.md5(F.col("_id").cast("string").cast("binary")), F.col("_id")]
     chosen = None
     for k in (0, 1):
-        part = ids.where(F.col("_toxic") == k).orderBy(*order).limit(train_docs)
+        part = hash_sample(ids.where(F.col("_toxic") == k), F.col("_id"), train_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def per_slice(ids, texts, toxic):
