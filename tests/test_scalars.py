@@ -11,8 +11,8 @@ def col_of(spark, values, f, typ="string"):
 
 
 def test_clean_number(spark):
-    assert col_of(spark, ["Call", "", None, "$3,500 - $4,000", "$8,999.50", "9" * 20], fn.clean_number) == [
-        None, None, None, 35004000, 899950, None]
+    assert col_of(spark, ["ask", "", None, "$1,200 or $950", "$8,120.25", "9" * 20], fn.clean_number) == [
+        None, None, None, 1200950, 812025, fn.LONG_MAX]
 
 
 def test_url_strip(spark):
