@@ -6,7 +6,9 @@ for g < 0.  Integrated, it demands ``D(t) = T * (t + g * (t - t^2))`` words by
 time t.  A document that takes the words [c, c + n) of its source's demand is
 placed at the time t where ``D(t)`` reaches their middle, that is at the root of
 a quadratic; the sum of all demands at t is its position in training.  Ordering
-by position is one range sort.
+by position is one range sort.  A source with a target over its size is gone
+through again: pass p takes the words from ``p * source_size`` on, so a document
+has a place in training for each pass that takes words of it.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, 5, ... and share
 all words by weight; none gets more than ``cap`` times its size, and what is
@@ -91,10 +93,11 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                weights=WEIGHTS, ramps=RAMPS, cap: int = CAP, bucket_rows: int = BUCKET_ROWS,
                row_key: Column | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words
-    taken, repeats counted), first_cut (words taken of the last, partial pass)
-    and position (training position of the first taken words in words, null if
-    none are taken), range-sorted by position.  ``row_key`` orders rows of the
-    same id and size, and is returned as ``row_key``."""
+    taken, repeats counted), first_cut (words taken of the last, partial pass),
+    position (training position of the first taken words in words, null if none
+    are taken) and positions (that of each pass that takes words of it, at most
+    ``cap`` + 1), range-sorted by position.  ``row_key`` orders rows of the same
+    id and size, and is returned as ``row_key``."""
     key = F.lit(0).cast("bigint") if row_key is None else row_key
     sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
                                word_count(text_of(F.col(text_col))).alias("size"), key.alias("row_key")), "mix-sizes")
@@ -124,16 +127,25 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("taken", (F.col("_passes") * F.col("size") + F.col("first_cut")).cast("bigint"))
     # The first pass of a source takes its documents in order, whole or cut.
     first = F.when(F.col("_passes") > 0, F.col("size")).otherwise(F.col("first_cut"))
-    x = (F.col("_begin").cast("double") + first.cast("double") / 2.0) / F.col("target")
     g = F.col("ramp")
-    t = 2.0 * x / ((1.0 + g) + F.sqrt((1.0 + g) * (1.0 + g) - 4.0 * g * x))
-    at = F.col("all_words") * F.col("_t") + F.col("all_bent") * (F.col("_t") - F.col("_t") * F.col("_t"))
+
+    def place(begin: Column, words: Column) -> Column:
+        """Position of the words [begin, begin + words) of a source's demand."""
+        x = (begin.cast("double") + words.cast("double") / 2.0) / F.col("target")
+        t = 2.0 * x / ((1.0 + g) + F.sqrt((1.0 + g) * (1.0 + g) - 4.0 * g * x))
+        return F.round(F.col("all_words") * t + F.col("all_bent") * (t - t * t), 3)
+
+    # Whole passes and, if it takes words of the document, the partial one.
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_passes") - (F.col("first_cut") == 0).cast("bigint"))
+    each = F.transform(numbers, lambda p: place(
+        F.col("_begin") + p * F.col("source_size"),
+        F.when(p < F.col("_passes"), F.col("size")).otherwise(F.col("first_cut"))))
     # Documents that take nothing have no position: the id spreads them.
     by_position = [F.col("position").asc_nulls_last(), F.xxhash64(id_col).asc()]
     return (
-        rows.withColumn("_t", F.when((F.col("taken") > 0), t))
-        .select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "first_cut",
-                F.round(at, 3).alias("position"), *([] if row_key is None else ["row_key"]))
+        rows.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "first_cut",
+                    F.when(F.col("taken") > 0, place(F.col("_begin"), first)).alias("position"),
+                    F.when(F.col("taken") > 0, each).alias("positions"), *([] if row_key is None else ["row_key"]))
         .repartitionByRange(*by_position).sortWithinPartitions(*by_position)
     )
 

@@ -62,3 +62,29 @@ def test_mixed_documents_repeat_by_passes(spark):
     assert mixed.columns == df.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert all(counts[i] == 3 for i in range(4)) and max(counts.values()) <= 3
+
+
+def test_every_pass_has_its_place(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 4}", 0, "") for i in range(400) if i % 4 or i % 16 == 0]
+    got = check(spark, rows)
+    spans, last = {}, {}
+    for r in got:
+        assert (r.positions or [None])[0] == r.position and len(r.positions or ()) == -(-r.taken // r.size)
+        g = {"s0": 0.5, "s1": 0.0, "s2": -0.5, "s3": 0.5}[r.source]
+        for p, at in enumerate(r.positions or ()):
+            words = min(r.size, r.taken - p * r.size)
+            spans.setdefault(r.source, []).append((at, words, r.target, g))
+    bent = {s: (x[0][2], x[0][3]) for s, x in spans.items()}
+    for s, x in spans.items():
+        done, (target, g) = 0, bent[s]
+        for at, words, _, _ in sorted(x):
+            # Time t of the place: the demands of all sources at t sum to it.
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                t = (low + high) / 2
+                low, high = (t, high) if sum(a * (t + b * (t - t * t)) for a, b in bent.values()) < at else (low, t)
+            assert target * (t + g * (t - t * t)) == pytest.approx(done + words / 2, abs=0.01)
+            done += words
+        last[s] = t
+        assert abs(done - target) <= 1
+    assert any(r.taken > r.size for r in got) and min(last.values()) > 0.9
