@@ -12,12 +12,17 @@ gets an importance from two entropies over the host's distinct pages:
 
 Both are joined as ``(1 - g^l) * presentation + g^l * content`` for l child tags
 on average.  Branches under ``LEAST`` are taken out of each page, if at least
-``MIN_PAGES`` distinct pages of the host hold them.  The entropies cannot see
-parts that a site fills anew on every page (adverts, rotating menus), so branches
-that say what they are, by tag, role, class or id, go as well.
+``MIN_PAGES`` distinct pages of the host hold them.
+
+Parts that say what they are, by tag, role, class or id, are nodes of the tree as
+well, and go under ``NAMED_LEAST``.  The entropies cannot see parts that a site
+fills anew on every page (adverts, rotating menus), nor judge a host of few pages.
+There the name decides: a sure name (tag, role, whole class) always takes its part
+out, a hint (a word inside a class or id) only as long as too few pages hold it.
+What no reader sees (``GONE_TAGS``, hidden) is no node.
 
 Of what is left the text blocks in ``article`` elements are returned, else those
-in ``main``, else all.  The style tree never takes the landmarks, headings and
+in ``main``, else all. The style tree never takes the landmarks, headings and
 paragraphs themselves, and it is set aside for a page of which it would take more
 than half.  White space inside a block becomes one blank, character references
 are decoded, blocks are joined by one blank.
@@ -47,6 +52,7 @@ from lotwise.llm.common import map_slices, stored, table, text_of
 
 GAMMA = 0.9
 LEAST = 0.3
+NAMED_LEAST = 0.5
 MIN_PAGES = 8
 SENT_NODES = 100_000
 
@@ -66,8 +72,8 @@ SIBLING_SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",)
                  "th": ("table",), "option": ("select",), "optgroup": ("select",), "tbody": ("table",),
                  "tfoot": ("table",), "body": ("html",)}
 
-DROP_TAGS = RAW | frozenset(
-    "head nav footer aside form button select input object svg canvas audio video menu dialog datalist label".split())
+GONE_TAGS = RAW | frozenset("head button select input object svg canvas audio video datalist label".split())
+NAMED_TAGS = frozenset("nav footer aside form menu dialog".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbox sponsor sponsored promo promotion banner cookie cookies "
@@ -93,6 +99,10 @@ _BRANCH_TAGS = BLOCKS - {"br", "hr"}
 HOST_RE = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)"
 
 
+#: How surely a name says that a part is no main text.
+HINT, SURE = 1, 2
+
+
 def _hash(*parts) -> int:
     return int.from_bytes(blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(),
                           "little", signed=True)
@@ -165,37 +175,49 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "inside", "branches", "children")
+    __slots__ = ("tag", "path", "dropped", "inside", "branches", "named", "children")
 
-    def __init__(self, tag, path, dropped, inside, branches):
+    def __init__(self, tag, path, dropped, inside, branches, named):
         self.tag, self.path, self.dropped, self.inside, self.branches = tag, path, dropped, inside, branches
+        self.named = named
         self.children: list[str] | None = None
 
 
-def _says_drop(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    if tag in DROP_TAGS or (tag == "header" and not inside):
-        return True
+def _gone(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in GONE_TAGS or (bool(attrs) and tag not in ("html", "body") and (
+        "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"))
+
+
+def _name(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """2: the element surely says that it is no main text, 1: a hint, 0: neither."""
+    if tag in NAMED_TAGS or (tag == "header" and not inside):
+        return SURE
     if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in DROP_ROLES:
-        return tag not in ("html", "body")
-    words = set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+        return 0
+    if attrs.get("role", "").lower() in DROP_ROLES:
+        return SURE if tag not in ("html", "body") else 0
+    classes = attrs.get("class", "").lower().split()
     if tag in KEPT_TAGS:
-        return tag == "article" and bool(words & COMMENT_WORDS)
-    return bool(words & DROP_WORDS) or (not inside and bool(words & OUTER_DROP_WORDS))
+        return SURE if tag == "article" and not COMMENT_WORDS.isdisjoint(classes) else 0
+    ids = attrs.get("id", "").lower()
+    drop = DROP_WORDS if inside else DROP_WORDS | OUTER_DROP_WORDS
+    if not drop.isdisjoint((*classes, *ids.split())):
+        return SURE
+    return HINT if drop.intersection(_WORDS.findall(" ".join((*classes, ids)))) else 0
 
 
 class Page:
     """The text blocks of a page and the branches they stand in.
 
-    ``blocks``: (text, landmark, branches), landmark 2 in an article, 1 in main,
-    0 elsewhere, branches the style nodes around it that may be removed.
+    ``blocks``: (text, landmark, branches, named), landmark 2 in an
+    article, 1 in main, 0 elsewhere, branches the style nodes around it that may
+    be removed, named those with a name, as (node, how sure).
     ``shown``: style node -> its child tag sequences on this page."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], tuple[tuple[int, int], ...]]] = []
         self.shown: dict[int, list[str]] = {}
-        root = _Open("", 0, False, 0, ())
+        root = _Open("", 0, False, 0, (), ())
         stack, count, piece = [root], {}, []
 
         def flush() -> None:
@@ -206,7 +228,7 @@ class Page:
                     text = htmllib.unescape(text)
                 if text := " ".join(text.split()):
                     top = stack[-1]
-                    self.blocks.append((text, top.inside, top.branches))
+                    self.blocks.append((text, top.inside, top.branches, top.named))
 
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
@@ -243,7 +265,9 @@ class Page:
             top = stack[-1]
             attrs = _attributes(rest) if rest.strip(" /") else {}
             inside = 2 if tag == "article" else max(top.inside, 1 if tag == "main" or attrs.get("role") == "main" else 0)
-            dropped = top.dropped or _says_drop(tag, attrs, top.inside > 0)
+            dropped, name = top.dropped or _gone(tag, attrs), 0
+            if not dropped and (name := _name(tag, attrs, top.inside > 0)) and tag not in BLOCKS:
+                dropped, name = True, 0  # inside a block: never a branch, so the name decides
             if not dropped and top.children is not None and (not top.children or top.children[-1] != tag):
                 top.children.append(tag)
             if tag in VOID:
@@ -251,21 +275,29 @@ class Page:
             label = f"{tag}.{' '.join(sorted(attrs.get('class', '').split()))}#{_DIGITS.sub('0', attrs.get('id', ''))}" \
                 if attrs else tag
             path = top.path if dropped else _hash(top.path, label)
-            branches = top.branches
-            if not dropped and tag in _BRANCH_TAGS and tag not in KEPT_TAGS and (
+            branches, named = top.branches, top.named
+            surely = bool(named) and named[-1][1] == SURE
+            if name and not surely:
+                named = (*named, (path, name))
+            elif not dropped and not surely and tag in _BRANCH_TAGS and tag not in KEPT_TAGS and (
                     "class" in attrs or "id" in attrs
                     or (tag not in PLAIN_TAGS and (top.inside == 0 or tag in ("div", "section")))):
                 branches = (*branches, path)
-            e = _Open(tag, path, dropped, inside, branches)
-            if branches is not top.branches:
+            e = _Open(tag, path, dropped, inside, branches, named)
+            if branches is not top.branches or named is not top.named:
                 e.children = []
             stack.append(e)
             count[tag] = count.get(tag, 0) + 1
         flush()
         pop_to(1)
 
-    def main_text(self, removed: frozenset[int] = frozenset()) -> str:
-        blocks = self.blocks
+    def main_text(self, removed: frozenset[int] = frozenset(), kept: frozenset[int] = frozenset()) -> str:
+        """``removed``: branches of low importance.  ``kept``: branches with a
+        hint that enough pages hold and that are not of low importance."""
+        blocks = [b for b in self.blocks
+                  if all(sure == HINT and node in kept for node, sure in b[3])]
+        if not blocks:  # hints alone never empty a page
+            blocks = [b for b in self.blocks if all(sure == HINT for _, sure in b[3])]
         if removed:
             left = [b for b in blocks if removed.isdisjoint(b[2])]
             if 2 * sum(len(b[0]) for b in left) >= sum(len(b[0]) for b in blocks):
@@ -281,30 +313,33 @@ def host_of(url: Column) -> Column:
 
 
 def style_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, node, page (hash of all its blocks), block hash (null: a child tag
-    sequence) and sequence hash (null: a block), with its child count."""
+    """host, node, page (hash of its blocks without a sure name), block hash (null: a
+    child tag sequence) and sequence hash (null: a block), with its child count,
+    and how sure the node's name is (0: it has none)."""
     def per_slice(hosts, htmls):
-        out = ([], [], [], [], [], [])
+        out = ([], [], [], [], [], [], [])
         for host, text in zip(hosts, htmls):
             page = Page(text)
-            number = _hash(*(b[0] for b in page.blocks))
-            rows = {(node, _hash(text), None, 0) for text, _, branches in page.blocks for node in branches}
+            number = _hash(*(b[0] for b in page.blocks if all(sure == HINT for _, sure in b[3])))
+            names = dict(pair for b in page.blocks for pair in b[3])
+            rows = {(node, _hash(b[0]), None, 0) for b in page.blocks for node in (*b[2], *(n for n, _ in b[3]))}
             rows |= {(node, None, _hash(s), s.count(",") + bool(s)) for node, seen in page.shown.items() for s in seen}
             for node, block, sequence, children in rows:
-                for column, v in zip(out, (host, node, number, block, sequence, children)):
+                for column, v in zip(out, (host, node, number, block, sequence, children, names.get(node, 0))):
                     column.append(v)
         return out
 
     return map_slices(pages.select(host_of(F.col(url_col)).alias("host"), text_of(F.col(html_col)).alias("html")),
-                      per_slice, "host string, node bigint, page bigint, block bigint, sequence bigint, children int")
+                      per_slice, "host string, node bigint, page bigint, block bigint, sequence bigint, children int, named int")
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
-    """host, node, pages (distinct pages holding it), importance."""
+    """host, node, pages (distinct pages holding it), named, importance."""
     # A page that is an exact copy of another counts once.
     seen = stored(rows.distinct(), "style-rows")
     m = F.greatest(F.col("pages"), F.lit(2)).cast("double")
-    pages = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
+    pages = (seen.groupBy("host", "node", "page").agg(F.max("named").alias("named"))
+             .groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"), F.max("named").alias("named")))
     blocks = (
         seen.where("block is not null").groupBy("host", "node", "block").agg(F.count(F.lit(1)).alias("k"))
         .groupBy("host", "node").agg(F.sum("k").alias("shows"), F.sum(F.col("k") * F.log("k")).alias("spread"))
@@ -318,27 +353,34 @@ def style_tree(rows: DataFrame) -> DataFrame:
     content = 1 - F.coalesce(F.col("spread") / F.col("shows"), F.log("pages")) / F.log(m)
     presentation = F.coalesce((F.log("looked") - F.col("alike") / F.col("looked")) / F.log(m), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.coalesce(F.col("kids") / F.col("looked"), F.lit(0.0)))
-    return joined.select("host", "node", "pages",
+    return joined.select("host", "node", "pages", "named",
                          ((1 - weight) * F.least(presentation, F.lit(1.0)) + weight * content).alias("importance"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+               least: float = LEAST, min_pages: int = MIN_PAGES, named_least: float = NAMED_LEAST) -> DataFrame:
     """One row per page: id, url, text."""
-    low = style_tree(style_rows(pages, url_col, html_col)).where((F.col("pages") >= min_pages) & (F.col("importance") < least))
-    low = stored(low.select("host", "node"), "style-nodes")
-    removed = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("_removed"))
+    # Sure names go with or without the tree, so it judges the others.
+    judged = style_tree(style_rows(pages, url_col, html_col)).where((F.col("pages") >= min_pages) & (F.col("named") < SURE))
+    named = F.col("named") == HINT
+    judged = judged.select("host", "node", named.alias("named"),
+                           (F.col("importance") < F.when(named, named_least).otherwise(least)).alias("low"))
+    judged = stored(judged.where("low != named"), "style-nodes")
+    of_host = judged.groupBy(F.col("host").alias("_host")).agg(
+        F.collect_set(F.when(F.col("low"), F.col("node"))).alias("_removed"),
+        F.collect_set(F.when(~F.col("low"), F.col("node"))).alias("_kept"))
     rows = pages.select(F.col(id_col), F.col(url_col), text_of(F.col(html_col)).alias("html"))
-    nodes = low.count()
+    nodes = judged.count()
     if nodes:
         small = nodes <= SENT_NODES
-        rows = rows.join(F.broadcast(removed) if small else removed, host_of(F.col(url_col)) == F.col("_host"), "left")
+        rows = rows.join(F.broadcast(of_host) if small else of_host, host_of(F.col(url_col)) == F.col("_host"), "left")
         rows = rows.drop("_host")
     else:
-        rows = rows.withColumn("_removed", F.lit(None).cast("array<bigint>"))
+        none = F.lit(None).cast("array<bigint>")
+        rows = rows.withColumn("_removed", none).withColumn("_kept", none)
 
-    def per_slice(ids, urls, htmls, removed):
-        return ids, urls, [Page(h).main_text(frozenset(r or ())) for h, r in zip(htmls, removed)]
+    def per_slice(ids, urls, htmls, removed, kept):
+        return ids, urls, [Page(h).main_text(frozenset(r or ()), frozenset(k or ())) for h, r, k in zip(htmls, removed, kept)]
 
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     return map_slices(rows, per_slice, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string", text_at=2)

@@ -82,3 +82,16 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*?)(</article>|<footer>|$)", pages[r.page_id], re.S)[1]
         plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", article))
         assert r.text == " ".join(html.unescape(plain).split()) and r.n_chars == len(r.text)
+
+
+def test_named_parts_are_judged_by_the_tree_and_names_are_the_fallback(spark):
+    page = lambda i: (f"<body><nav><a href=/>Go {i}</a></nav><div class=site-menu>Home</div><div class=print-view>"
+                      f"<p>Text {i} of</p><p>page {i * 3}</p></div><footer>Foot</footer></body>")
+    rows = [(i, "http://many.example/", page(i), "", 0) for i in range(20)]
+    rows += [(100 + i, "http://few.example/", page(i) + "<p>Plain", "", 0) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: r.text for r in H.main_texts(df).collect()}
+    assert all(got[i] == f"Text {i} of page {i * 3}" for i in range(20)) and got[100] == "Plain"
+    tree = H.style_tree(H.style_rows(df)).where("host = 'many.example'").orderBy("named", "importance").collect()
+    assert [(r.named, r.importance < H.NAMED_LEAST) for r in tree] == [(1, True), (1, False), (2, True), (2, False)]
+    assert text("<div class=print-view>All there is</div><nav>Menu</nav>") == "All there is"
