@@ -19,10 +19,12 @@ well, and go under ``NAMED_LEAST``.  The entropies cannot see parts that a site
 fills anew on every page (adverts, rotating menus), nor judge a host of few pages.
 There the name decides: a sure name (tag, role, whole class) always takes its part
 out, a hint (a word inside a class or id) only as long as too few pages hold it.
-What no reader sees (``GONE_TAGS``, hidden) is no node.
+In a landmark ids and parts of class words say nothing, and headings are never
+named.  What no reader sees (``GONE_TAGS``, hidden) is no node.
 
-Of what is left the text blocks in ``article`` elements are returned, else those
-in ``main``, else all. The style tree never takes the landmarks, headings and
+Of what is left the text blocks in ``article`` elements are returned if they hold
+at least half of the letters outside links (of ``main``, if it has text of its
+own, else of the page), else those in ``main``, else all.  The style tree never takes the landmarks, headings and
 paragraphs themselves, and it is set aside for a page of which it would take more
 than half.  White space inside a block becomes one blank, character references
 are decoded, blocks are joined by one blank.
@@ -82,6 +84,15 @@ DROP_WORDS = frozenset(
     "social related recommended recommendations newsletter subscribe subscription signup login search pagination pager "
     "widget widgets toolbar skip print paywall outbrain taboola".split())
 OUTER_DROP_WORDS = frozenset("header topbar".split())
+#: Whole classes that name a part inside a landmark too: those that are filled anew on each page, and the others.
+ANEW_CLASSES = frozenset(
+    "ad ads advert adverts advertisement advertising adsbox adsbygoogle sponsored comments commentlist comment-list disqus "
+    "outbrain taboola".split())
+INNER_CLASSES = frozenset(
+    "ad-container ad-slot ad-banner cookie-notice cookie-banner cookie-consent gdpr share-buttons social-share sharing "
+    "newsletter newsletter-signup related-posts related-articles recommendations breadcrumb breadcrumbs navbar navigation "
+    "pagination pager paywall sidebar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEPT_TAGS = frozenset("html body main article".split())
 COMMENT_WORDS = frozenset("comment comments reply replies teaser related".split())
 #: Without a class or id these are never branches of their own.
@@ -199,36 +210,43 @@ def _name(tag: str, attrs: dict[str, str], inside: bool) -> int:
     classes = attrs.get("class", "").lower().split()
     if tag in KEPT_TAGS:
         return SURE if tag == "article" and not COMMENT_WORDS.isdisjoint(classes) else 0
-    ids = attrs.get("id", "").lower()
-    drop = DROP_WORDS if inside else DROP_WORDS | OUTER_DROP_WORDS
-    if not drop.isdisjoint((*classes, *ids.split())):
+    if tag in HEADINGS:
+        return 0
+    if inside:
+        return SURE if not ANEW_CLASSES.isdisjoint(classes) else HINT if not INNER_CLASSES.isdisjoint(classes) else 0
+    ids = attrs.get("id", "").lower() if tag != "section" else ""
+    if any(c in DROP_WORDS or c in OUTER_DROP_WORDS for c in (*classes, *ids.split())):
         return SURE
-    return HINT if drop.intersection(_WORDS.findall(" ".join((*classes, ids)))) else 0
+    words = set(_WORDS.findall(" ".join((*classes, ids))))
+    return HINT if words & DROP_WORDS or words & OUTER_DROP_WORDS else 0
 
 
 class Page:
     """The text blocks of a page and the branches they stand in.
 
-    ``blocks``: (text, landmark, branches, named), landmark 2 in an
+    ``blocks``: (text, landmark, branches, named, linked), landmark 2 in an
     article, 1 in main, 0 elsewhere, branches the style nodes around it that may
-    be removed, named those with a name, as (node, how sure).
+    be removed, named those with a name, as (node, how sure), linked the letters
+    in links.
     ``shown``: style node -> its child tag sequences on this page."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...], tuple[tuple[int, int], ...]]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], tuple[tuple[int, int], ...], int]] = []
         self.shown: dict[int, list[str]] = {}
         root = _Open("", 0, False, 0, (), ())
-        stack, count, piece = [root], {}, []
+        stack, count, piece, linked = [root], {}, [], 0
 
         def flush() -> None:
+            nonlocal linked
             if piece:
-                text = "".join(piece)
+                text, links = "".join(piece), linked
                 piece.clear()
+                linked = 0
                 if "&" in text:
                     text = htmllib.unescape(text)
                 if text := " ".join(text.split()):
                     top = stack[-1]
-                    self.blocks.append((text, top.inside, top.branches, top.named))
+                    self.blocks.append((text, top.inside, top.branches, top.named, min(links, len(text))))
 
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
@@ -250,6 +268,8 @@ class Page:
             if kind == "text":
                 if not stack[-1].dropped:
                     piece.append(tag)
+                    if count.get("a"):
+                        linked += len(tag)
                 continue
             if tag in BLOCKS:
                 flush()
@@ -302,10 +322,12 @@ class Page:
             left = [b for b in blocks if removed.isdisjoint(b[2])]
             if 2 * sum(len(b[0]) for b in left) >= sum(len(b[0]) for b in blocks):
                 blocks = left
-        for least in (2, 1, 0):
-            if some := [b[0] for b in blocks if b[1] >= least]:
-                return " ".join(some)
-        return ""
+        if any(b[1] == 1 for b in blocks):
+            blocks = [b for b in blocks if b[1]]
+        article = [b for b in blocks if b[1] == 2]
+        if article and 2 * sum(len(b[0]) - b[4] for b in article) >= sum(len(b[0]) - b[4] for b in blocks):
+            blocks = article
+        return " ".join(b[0] for b in blocks)
 
 
 def host_of(url: Column) -> Column:

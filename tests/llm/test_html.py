@@ -95,3 +95,22 @@ def test_named_parts_are_judged_by_the_tree_and_names_are_the_fallback(spark):
     tree = H.style_tree(H.style_rows(df)).where("host = 'many.example'").orderBy("named", "importance").collect()
     assert [(r.named, r.importance < H.NAMED_LEAST) for r in tree] == [(1, True), (1, False), (2, True), (2, False)]
     assert text("<div class=print-view>All there is</div><nav>Menu</nav>") == "All there is"
+
+
+def test_article_text_is_not_lost_by_a_word(spark):
+    assert text('<article><section id="search-algorithms"><h2 id="related-work" class="menu">Related work</h2><p>Text</section>'
+                '<table class="menu"><tr><td>Soup</table><div class="share-price">Up 3</div><div class="ad">Buy</div>'
+                '<div class="widget skip login">Kept</div></article>') == "Related work Text Soup Up 3 Kept"
+    rows = [(i, "http://s.example/", f"<article><p>Story {i}</p><div class=newsletter>Join us</div><div class=pager>Part {i}"
+             f"</div></article>", "", 0) for i in range(20)]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == f"Story {i} Part {i}" for i in range(20))
+
+
+def test_article_over_main_only_with_most_of_the_text():
+    card = '<article class="product-card">Buy this</article>'
+    assert text(f"<body><p>Out</p><main><div>The text of this page is here.</div>{card}</main>") == \
+        "The text of this page is here. Buy this"
+    assert text(f"<body><div>The text of this page is here.</div>{card}") == "The text of this page is here. Buy this"
+    links = "<div><a href=/>A link among many</a> <a href=/>another link of them</a></div>"
+    assert text(f"<body>{links}<article>The story.</article>") == "The story."
