@@ -151,26 +151,28 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mixed table with the columns of ``docs``: a document is repeated once
-    per whole pass taken, and once more if at least half of it is in the last,
-    partial pass.  Documents without words stay once.  Rows are found again by
-    id and a hash of all their columns; equal rows share their copies evenly."""
+    """The mixed table with the columns of ``docs``, in training order: a document
+    is repeated once per whole pass taken, and once more if at least half of it is
+    in the last, partial pass, each copy at the position of its pass.  Documents
+    without words stay once, at the end.  Rows are found again by id and a hash of
+    all their columns; equal rows are one row with the copies of all."""
+    def key_of(id_: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit(""))
+
     plan = curriculum(docs, id_col, row_key=F.xxhash64(*docs.columns), **kw)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1))
-    plan = (
-        plan.groupBy(F.col(id_col).alias("_mix_id"), F.col("row_key").alias("_mix_key"))
-        .agg(F.sum(copies).alias("_all"), F.count(F.lit(1)).alias("_equal")).where("_all > 0")
-    )
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
-                        F.xxhash64(*docs.columns).alias("_key"))
-    rows = keyed.join(plan, F.col("_id").eqNullSafe(F.col("_mix_id")) & (F.col("_key") == F.col("_mix_key")))
-    among = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    share = F.floor(F.col("_all") / F.col("_equal")) + (
-        F.row_number().over(among) <= F.col("_all") % F.col("_equal")).cast("int")
-    return (
-        rows.withColumn("_copies", share.cast("int")).where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
+    places = F.when(F.col("size") > 0, F.slice("positions", F.lit(1), copies)).otherwise(
+        F.array(F.lit(None).cast("double")))
+    plan = plan.where(copies > 0).select(key_of(F.col(id_col)).alias("_mix_id"), F.col("row_key").alias("_mix_key"),
+                                         F.explode(places).alias("_at"))
+    rows = (
+        docs.select(F.struct(*docs.columns).alias("_row"), key_of(F.col(id_col)).alias("_id"),
+                    F.xxhash64(*docs.columns).alias("_key"))
+        .groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+        .join(plan, (F.col("_id") == F.col("_mix_id")) & (F.col("_key") == F.col("_mix_key")))
     )
+    by_place = [F.col("_at").asc_nulls_last(), F.col("_key").asc()]
+    return rows.repartitionByRange(*by_place).sortWithinPartitions(*by_place).select("_row.*")
 
 
 def op2_curriculum_mix(spark, sf_dir):

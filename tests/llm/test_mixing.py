@@ -88,3 +88,33 @@ def test_every_pass_has_its_place(spark):
         last[s] = t
         assert abs(done - target) <= 1
     assert any(r.taken > r.size for r in got) and min(last.values()) > 0.9
+
+
+def test_mixed_documents_are_in_training_order(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 4}", 0, "") for i in range(400) if i % 4 or i % 16 == 0]
+    rows += [(None, "a b", "s1", 0, "")] * 3 + [(500, "", "s1", 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def expected():
+        places = []
+        for r in M.curriculum(df).collect():
+            n = int(r.taken / r.size + 0.5) if r.size else 1
+            places += [(at, r.doc_id) for at in ((r.positions or [])[:n] if r.size else [float("inf")])]
+        ties = {}
+        for at, i in places:
+            ties.setdefault(at, []).append(str(i))
+        return [sorted(ties[at]) for at in sorted(ties)]
+
+    def in_order(want):
+        got, at = [str(r.doc_id) for r in M.mixed_documents(df).collect()], 0
+        for ids in want:
+            assert sorted(got[at:at + len(ids)]) == ids
+            at += len(ids)
+        return at == len(got)
+
+    want = expected()
+    assert in_order(want) and want[-1] == ["500"]
+    monkeypatch.setattr(M.curriculum, "__defaults__", tuple(
+        (-0.5, 0.0, 0.5) if d == M.RAMPS else d for d in M.curriculum.__defaults__))
+    turned = expected()
+    assert in_order(turned) and turned != want
