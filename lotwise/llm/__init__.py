@@ -7,7 +7,7 @@ library imports this subpackage.
 
 from __future__ import annotations
 
-from lotwise.llm import bpe_codec, embed_dedup, exact_dedup, html_sst, mixing, ngram_join, pii, token_counts, toxicity, warc
+from lotwise.llm import bpe_codec, embed_dedup, exact_dedup, html_sst, mixing, ngram_join, pii, token_counts, toxicity, url_cascade, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -20,10 +20,12 @@ QUERIES = {
     "op8_warc_zstd": warc.op8_warc_zstd,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op13_url_cascade": url_cascade.op13_url_cascade,
 }
 
 ORACLE = {
     "op2_curriculum_mix": mixing.OP2_SQL,
     "op3_content_sort": exact_dedup.OP3_SQL,
     "op8_warc_zstd": warc.OP8_SQL,
+    "op13_url_cascade": url_cascade.OP13_SQL,
 }

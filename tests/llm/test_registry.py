@@ -11,14 +11,14 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_registered():
     q = E.queries()
-    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in (*range(1, 11), 13)}
     assert "pipeline" in q and set(llm.QUERIES) <= set(q) and set(llm.ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = E.queries()[name](spark, SF)
     cols = sorted(got.columns)
