@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_registered():
     q = E.queries()
-    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in (*range(1, 11), 13)}
+    assert {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in q and set(llm.QUERIES) <= set(q) and set(llm.ORACLE) <= set(E.oracle_sql())
 
 
