@@ -715,6 +715,22 @@ def web_pages(spark, d) -> DataFrame:
                     F.lit(200).alias("status"), F.lit(None).cast("string").alias("fetched_at"), "html")
 
 
+def odd_pages(spark, d) -> DataFrame:
+    """A page per nation of source B whose listing holds half a surrogate pair, a
+    number that is none, one beyond any type, or values of wrong types (a row each), or a
+    link that cannot be resolved (an error)."""
+    n = F.col("n_nationkey")
+    listing = (F.when(n % 5 == 0, '{"title":"half \\ud83d","price":5}').when(n % 5 == 1, '{"title":"t","price":NaN}')
+               .when(n % 5 == 2, F.concat(F.lit('{"title":"t","price":'), F.repeat(F.lit("9"), 60), F.lit("}")))
+               .otherwise('{"title":{"a":[1]},"price":[true],"url":7}'))
+    html = F.when(n % 5 == 4, '<div data-listingid="0"><a href="http://[">x</a></div>').otherwise(
+        F.concat(F.lit('<script>{"l":['), listing, F.lit("]}</script>")))
+    return read_table(spark, d, "nation").select(
+        F.lit("cargurus").alias("source"), F.lit("odd").alias("category"), n.cast("bigint").alias("crawl_id"),
+        F.lit(1).alias("page_no"), F.lit("u").alias("url"), F.lit(200).alias("status"),
+        F.lit(None).cast("string").alias("fetched_at"), html.alias("html"))
+
+
 _WEB_SQL = """web AS (
   SELECT 'web' AS source, CAST(page_id // 50 AS BIGINT) AS crawl_id, CAST(page_id % 50 + 1 AS INTEGER) AS page_no,
          url, html FROM pages)"""
@@ -774,10 +790,13 @@ SELECT p.source, count(*) AS pages, CAST(COALESCE(sum(p.n_rows), 0) AS BIGINT) A
        CAST(count_if(p.broken) AS BIGINT) AS error_pages
 FROM pages_exp p GROUP BY p.source
 UNION ALL
-SELECT 'web' AS source, count(*) AS pages, CAST(0 AS BIGINT) AS rows, count(*) AS error_pages FROM web""")
+SELECT 'web' AS source, count(*) AS pages, CAST(0 AS BIGINT) AS rows, count(*) AS error_pages FROM web
+UNION ALL
+SELECT 'odd' AS source, count(*) AS pages, CAST(count_if(n_nationkey % 5 <> 4) AS BIGINT) AS rows,
+       CAST(count_if(n_nationkey % 5 = 4) AS BIGINT) AS error_pages FROM nation""")
 def q_err_isolate(spark, d):
-    ext = X.extract(rendered_pages(spark, d).unionByName(web_pages(spark, d)))
-    heads = X.page_heads(ext)
+    ext = X.extract(rendered_pages(spark, d).unionByName(web_pages(spark, d)).unionByName(odd_pages(spark, d)))
+    heads = X.page_heads(ext).withColumn("source", F.when(F.col("category") == "odd", "odd").otherwise(F.col("source")))
     return heads.groupBy("source").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("n_rows").alias("rows"),
         F.count_if(F.col("error").isNotNull()).alias("error_pages"))

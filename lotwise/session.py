@@ -17,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a key that an object repeats the last value counts, as in other JSON readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
