@@ -15,9 +15,10 @@ repeated in a row counts once, so spam of one word is no evidence.
 Since the model is linear after the mean, all that scoring needs is one number
 per n-gram bucket (256 KiB for all), which is sent to the executors.
 
-Training reads a bounded sample of the labelled rows: ``TRAIN_DOCS`` per class in
-the order of a hash of the id, ``TRAIN_WORDS`` words of each (evenly spaced
-windows of longer texts).  Scoring reads every text in full.
+Training reads a bounded sample of the labelled rows, ``TRAIN_DOCS`` per class in
+the order of a hash of the id, each text in full.  It runs in one task over that sample,
+so neither its texts nor its arrays reach the driver, and the task is repeated if its
+executor is lost.  Scoring reads every text in full.
 
 Defined results: null counts as empty and scores 0; rows with the same id are
 scored each on their own; of several labels of an id the largest counts, null
@@ -29,10 +30,11 @@ counts as held in (not held out); further columns are ignored unless carried.
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,13 @@ DIM = 16
 GRAMS = (3, 4, 5)
 WINDOW = 4
 TRAIN_DOCS = 1500
-TRAIN_WORDS = 1600
 ROUNDS = 4
 STEPS = 300
 FOLDS = 3
 RATE = 0.15
 THRESHOLD = 0.7
-CACHE_WORDS = 80_000
+#: Scores of words that a worker keeps from one slice of texts to the next.
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -59,20 +61,63 @@ def words_of(text: str) -> list[str]:
     return [w for w, _ in groupby(_WORD.findall(text.lower()))]
 
 
-def spaced(words: list[str]) -> list[str]:
-    """At most TRAIN_WORDS words: all, or evenly spaced windows of a longer text."""
-    if len(words) <= TRAIN_WORDS:
-        return words
-    n = TRAIN_WORDS // WINDOW
-    starts = [i * (len(words) - WINDOW) // (n - 1) for i in range(n)]
-    return [w for at in starts for w in words[at:at + WINDOW]]
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all words, ends marked, as one array; each word's first place
+    and, of each letter, how many are left in its word (itself included)."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    first = np.r_[0, np.cumsum(sizes)]
+    return letters, first, np.repeat(first[1:], sizes) - np.arange(len(letters))
 
 
-def gram_buckets(word: str) -> list[int]:
-    """The buckets of a word's n-grams, ends marked, and of the word itself."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i:i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)] + [
-        zlib.crc32(w.encode()) % BUCKETS]
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX + np.uint64(salt)
+    h = (h ^ (h >> np.uint64(32))) * _STEP
+    return (h >> np.uint64(48)).astype(np.int64) % BUCKETS
+
+
+def _gram_hashes(letters: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n letters from each place on."""
+    h = np.zeros(max(0, len(letters) - n + 1), np.uint64)
+    for k in range(n):
+        h = h * _STEP + letters[k:len(letters) - n + 1 + k] + np.uint64(1)
+    return _bucket(h, n)
+
+
+def _whole_hashes(letters: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bucket of each word as a whole."""
+    place = np.arange(len(letters)) - np.repeat(first[:-1], np.diff(first))
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(np.diff(first).max()), _STEP | np.uint64(1))])
+    return _bucket(np.add.reduceat(letters * powers[place], first[:-1]), 0)
+
+
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words' n-grams and of the words themselves, word by word,
+    and where each word's begin."""
+    letters, first, left = _letters(words)
+    word_of = np.repeat(np.arange(len(words)), np.diff(first))
+    owner, bucket = [np.arange(len(words))], [_whole_hashes(letters, first)]
+    for n in GRAMS:
+        inside = np.flatnonzero(left >= n)
+        owner.append(word_of[inside])
+        bucket.append(_gram_hashes(letters, n)[inside])
+    owner, bucket = np.concatenate(owner), np.concatenate(bucket)
+    return bucket[np.argsort(owner, kind="stable")], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+
+
+def mean_values(values: np.ndarray, words: list[str]) -> np.ndarray:
+    """The mean of ``values`` over each word's buckets."""
+    letters, first, left = _letters(words)
+    total, count = np.zeros(len(letters)), np.zeros(len(letters))
+    for n in GRAMS:
+        inside = left[:max(0, len(letters) - n + 1)] >= n
+        total[:len(inside)] += np.where(inside, values[_gram_hashes(letters, n)], 0)
+        count[:len(inside)] += inside
+    return (np.add.reduceat(total, first[:-1]) + values[_whole_hashes(letters, first)]) / (
+        np.add.reduceat(count, first[:-1]) + 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -96,17 +141,21 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[starts], np.add.reduceat(rows[order], starts)
 
 
+class Sample:
+    """Training texts as arrays of word numbers, and the buckets of the words."""
+
+    def __init__(self, texts: list[np.ndarray], words: list[str], toxic: np.ndarray):
+        self.texts, self.toxic = texts, toxic
+        self.grams, self.first = gram_buckets(words)
+
+
 class _Trainer:
-    """Vectors and softmax over a list of texts, each a list of words."""
+    """Vectors and softmax over some texts of a sample."""
 
-    def __init__(self, texts: list[list[str]], toxic: np.ndarray, seed: int = 7):
+    def __init__(self, sample: Sample, some: np.ndarray, seed: int = 7):
         self.rng = np.random.default_rng(seed)
-        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
-        self.texts = [np.array([vocabulary[w] for w in t], np.int64) for t in texts]
-        self.toxic = toxic
-        grams = [gram_buckets(w) for w in vocabulary]
-        self.first = np.r_[0, np.cumsum([len(g) for g in grams])]
-        self.grams = np.fromiter((b for g in grams for b in g), np.int64, int(self.first[-1]))
+        self.texts, self.toxic = [sample.texts[i] for i in some], sample.toxic[some]
+        self.grams, self.first = sample.grams, sample.first
         self.vectors = _Adagrad(self.rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM)
         self.softmax = _Adagrad(np.zeros((DIM + 1, 2), np.float32))
 
@@ -160,8 +209,10 @@ class _Trainer:
         held = np.ones((2, BUCKETS))
         for t, y in zip(self.texts, self.toxic):
             words = np.unique(t)
-            spans = [self.grams[a:b] for a, b in zip(self.first[words], self.first[words + 1])]
-            held[y, np.unique(np.concatenate(spans))] += 1
+            counts = self.first[words + 1] - self.first[words]
+            starts = np.r_[0, np.cumsum(counts)]
+            at = np.repeat(self.first[words] - starts[:-1], counts) + np.arange(starts[-1])
+            held[y, np.unique(self.grams[at])] += 1
         share = held / (np.bincount(self.toxic, minlength=2)[:, None] + 2)
         odds = np.log(share[1] / share[0])
         scores = np.add.reduceat(odds[self.grams], self.first[:-1]) / np.diff(self.first)
@@ -209,47 +260,41 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def logits(self):
-        """A function from a list of words to the log-odds of its worst window,
-        with a bounded cache of words."""
-        buckets, bias = self.buckets, self.bias
-
-        older: dict[str, float] = {}
-
-        class Known(dict):  # words met lately, in two generations
-            def __missing__(self, word):
-                value = older.get(word)
-                if value is None:
-                    value = float(buckets[gram_buckets(word)].mean())
-                if len(self) >= CACHE_WORDS:
-                    older.clear()
-                    older.update(self)
-                    self.clear()
-                self[word] = value
-                return value
-
-        known = Known()
-
-        def logit(words: list[str]) -> float:
-            x = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            if len(x) > WINDOW:
-                sums = np.r_[0.0, np.cumsum(x)]
-                return float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW + bias
-            return float(x.mean()) + bias
-
-        return logit
-
     def scorer(self):
-        """A function from a text to its score."""
-        if self.buckets is None:
-            return lambda text: self.constant if text else 0.0
-        logit = self.logits()
-
-        def score(text: str) -> float:
-            words = words_of(text)
-            return float(1.0 / (1.0 + np.exp(-max(-500.0, logit(words))))) if words else 0.0
-
-        return score
+        """A function from a list of texts to their scores, with a bounded cache of words."""
+        buckets = None if self.buckets is None else self.buckets.astype(np.float64)
+        known: dict[str, float] = {}
+
+        def scores(texts: list[str]) -> list[float]:
+            if buckets is None:
+                return [self.constant if t else 0.0 for t in texts]
+            cut = [words_of(t) for t in texts]
+            new = list(set().union(*cut).difference(known)) if cut else []
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = list(set().union(*cut))
+            # Of very many words some at a time, so that their n-grams stay few.
+            for at in range(0, len(new), 20_000):
+                some = new[at:at + 20_000]
+                known.update(zip(some, mean_values(buckets, some).tolist()))
+            out = []
+            for words in cut:
+                if not words:
+                    out.append(0.0)
+                    continue
+                logit = worst_window(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) + self.bias
+                out.append(float(1.0 / (1.0 + np.exp(-max(-500.0, logit)))))
+            return out
+
+        return scores
+
+
+def worst_window(values: np.ndarray) -> float:
+    """The highest mean of ``WINDOW`` values in a row (of all, if fewer)."""
+    if len(values) <= WINDOW:
+        return float(values.mean())
+    sums = np.r_[0.0, np.cumsum(values)]
+    return float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
 
 
 def _calibration(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -266,9 +311,10 @@ def _calibration(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, folds: int = FOLDS) -> Model:
+def train(sample: Sample, folds: int = FOLDS) -> Model:
     """The mean of ``folds`` models, each trained without one part of the texts;
     the score is calibrated on the parts that were left out."""
+    texts, toxic = sample.texts, sample.toxic
     part = np.zeros(len(texts), np.int64)
     for k in (0, 1):
         at = np.flatnonzero(toxic == k)
@@ -277,14 +323,12 @@ def train(texts: list[list[str]], toxic: np.ndarray, folds: int = FOLDS) -> Mode
         part[:], folds = -1, 1
     total, left = np.zeros(BUCKETS), np.zeros(len(texts))
     for f in range(folds):
-        some = np.flatnonzero(part != f)
-        trainer = _Trainer([texts[i] for i in some], toxic[some], seed=f)
+        trainer = _Trainer(sample, np.flatnonzero(part != f), seed=f)
         trainer.fit()
-        buckets = trainer.contributions()
-        logit = Model(buckets, trainer.bias()).logits()
-        total += buckets + trainer.bias()
+        total += trainer.contributions() + trainer.bias()
+        words = trainer.word_scores()
         for i in np.flatnonzero(part == f):
-            left[i] = logit(texts[i])
+            left[i] = worst_window(words[texts[i]]) + trainer.bias()
     if folds == 1:
         return Model(total.astype(np.float32), 0.0)
     slope, intercept = _calibration(left, toxic)
@@ -292,40 +336,53 @@ def train(texts: list[list[str]], toxic: np.ndarray, folds: int = FOLDS) -> Mode
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                   train_docs: int) -> list[tuple]:
-    """(toxic, text) of the bounded sample, texts cut into evenly spaced windows."""
+                   train_docs: int) -> DataFrame:
+    """The bounded sample, whole texts in one sorted partition: _text, _toxic."""
     ids = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic"))
         .where("_id is not null and _toxic is not null").where(~held_out(F.col("_id")))
         .groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     )
     ids = stored(ids, "labels")
-    order = [F.md5(F.col("_id").cast("string").cast("binary")), F.col("_id")]
     chosen = None
     for k in (0, 1):
         part = hash_sample(ids.where(F.col("_toxic") == k), F.col("_id"), train_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
-
-    def per_slice(ids, texts, toxic):
-        return ids, [" ".join(spaced(words_of(t))) for t in texts], toxic
-
     rows = docs.select(F.col(id_col).alias("_id"), text_of(F.col(text_col)).alias("_text"))
-    rows = rows.join(F.broadcast(chosen), "_id").select("_id", "_text", "_toxic")
-    id_type = rows.schema["_id"].dataType.simpleString()
-    rows = map_slices(rows, per_slice, f"_id {id_type}, _text string, _toxic int")
-    return [(r[1], r[2]) for r in rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).orderBy(*order)
-            .select("_id", "_text", "_toxic").collect()]
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    return rows.repartition(1).sortWithinPartitions(F.md5(F.col("_id").cast("string").cast("binary")), "_id").select(
+        "_text", "_toxic")
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the sample -> one row with the model."""
+    numbers: dict[str, int] = {}
+    texts, toxic = [], []
+    for batch in batches:
+        for text, y in zip(*batch.columns):
+            words = words_of(text.as_py())
+            if words:
+                texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                toxic.append(int(y.as_py() > 0))
+    toxic = np.array(toxic, np.int64)
+    if len(set(toxic.tolist())) < 2:
+        model = Model(None, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
+    else:
+        model = train(Sample(texts, list(numbers), toxic))
+    buckets = None if model.buckets is None else model.buckets.tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([buckets], pa.binary()), pa.array([model.bias]), pa.array([model.constant])],
+                                     names=["buckets", "bias", "constant"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """Train on the sample of labelled rows that are not held out."""
-    rows = [(t.split(), y) for t, y in _training_rows(docs, labels, id_col, text_col, label_col, train_docs)]
-    rows = [(t, y) for t, y in rows if t]
-    toxic = np.array([int(y > 0) for _, y in rows], np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return Model(None, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
-    return train([t for t, _ in rows], toxic)
+    small_batches(docs.sparkSession)
+    rows = _training_rows(docs, labels, id_col, text_col, label_col, train_docs)
+    made = rows.mapInArrow(_train_task, "buckets binary, bias double, constant double").first()
+    if made is None:  # no rows, so no partition had any
+        return Model(None, 0.0, 0.0)
+    return Model(None if made.buckets is None else np.frombuffer(made.buckets, np.float32), made.bias, made.constant)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,10 +391,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     state = {}
 
     def per_slice(ids, texts):
-        score = state.get("score")
-        if score is None:
-            score = state["score"] = sent.value.scorer()
-        return ids, [score(t) for t in texts]
+        if "score" not in state:
+            state["score"] = sent.value.scorer()
+        return ids, state["score"](texts)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return map_slices(docs.select(F.col(id_col), text_of(F.col(text_col)).alias("text")), per_slice,
@@ -359,7 +415,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
         if "score" not in state:
             state["score"] = sent.value.scorer()
-        return pd.Series([state["score"](t) for t in texts], dtype="float64")
+        return pd.Series(state["score"](list(texts)), dtype="float64")
 
     return docs.where(score(text_of(F.col(text_col))) < THRESHOLD)
 

@@ -65,6 +65,60 @@ def test_edge_rows(spark, tables):
     assert kept.columns == docs.columns and 800 < kept.count() < 1000
 
 
+def plain_score(model, text):
+    """The score by its definition, one n-gram at a time."""
+    mask = (1 << 64) - 1
+    step, mix = int(T._STEP), int(T._MIX)
+
+    def bucket(h, salt):
+        h = ((h ^ h >> 29) * mix + salt) & mask
+        h = (h ^ h >> 32) * step & mask
+        return (h >> 48) % T.BUCKETS
+
+    def value(word):
+        letters = [ord(c) for c in f"<{word}>"]
+        found = [bucket(sum(c * pow(step | 1, i, 1 << 64) for i, c in enumerate(letters)) & mask, 0)]
+        for n in T.GRAMS:
+            for i in range(len(letters) - n + 1):
+                h = 0
+                for c in letters[i:i + n]:
+                    h = (h * step + c + 1) & mask
+                found.append(bucket(h, n))
+        return sum(float(model.buckets[b]) for b in found) / len(found)
+
+    words = T.words_of(text)
+    if not words:
+        return 0.0
+    values = [value(w) for w in words]
+    size = min(T.WINDOW, len(values))
+    worst = max(sum(values[i:i + size]) / size for i in range(len(values) - size + 1))
+    return 1 / (1 + np.exp(-(worst + model.bias)))
+
+
+def test_scores_equal_the_plain_ones(spark, tables):
+    docs, labels, _ = tables
+    model = T.fit(docs, labels, train_docs=100)
+    odd = ["", "é", "Ünï \U0001f600x", "a", "ab cd ef gh ij", "lo " * 50 + "grubbhead wretchling x", "z" * 3000]
+    rows = [(10_000 + i, t, "", "") for i, t in enumerate(odd)]
+    some = docs.where("doc_id < 200").unionByName(spark.createDataFrame(rows, SCHEMA))
+    text = {r.doc_id: r.text for r in some.collect()}
+    for r in T.scores(some, model).collect():
+        assert abs(r.score - plain_score(model, text[r.doc_id])) < 1e-6
+
+
+def test_long_labelled_texts_are_read_whole(spark, tables):
+    """The one bad word of a text stands deep inside it."""
+    docs, labels, toxic = tables
+    filler = " ".join(f"w{i % 997}" for i in range(6000))
+    long = [(50_000 + i, f"{filler} {filler} grubhead{'x' * (i % 3)} {filler}" if i % 2 else f"{filler} {filler}", "", "") for i in range(80)]
+    marks = [(i, int(i % 2), None) for i, *_ in long]
+    all_docs = docs.unionByName(spark.createDataFrame(long, SCHEMA))
+    model = T.fit(all_docs, labels.unionByName(spark.createDataFrame(marks, LABELS)))
+    got = {r.doc_id: r.score for r in T.scores(all_docs, model).collect()}
+    out = [i for i, *_ in long if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= T.THRESHOLD) == bool(i % 2) for i in out]) > 0.95
+
+
 def test_given_table(spark):
     got = T.op7_subword_toxicity(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 1000 and all((r.score >= 0.7) == bool(r.predicted) for r in got)
