@@ -83,7 +83,7 @@ def _gram_hashes(letters: np.ndarray, n: int) -> np.ndarray:
     """The bucket of the n letters from each place on."""
     h = np.zeros(max(0, len(letters) - n + 1), np.uint64)
     for k in range(n):
-        h = h * _STEP + letters[k:len(letters) - n + 1 + k] + np.uint64(1)
+        h = h * _STEP + letters[k:k + len(h)] + np.uint64(1)
     return _bucket(h, n)
 
 
