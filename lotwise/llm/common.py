@@ -67,6 +67,26 @@ def hash_sample(df: DataFrame, key: Column, want: int) -> DataFrame:
     return rows.orderBy("_at").limit(want).drop("_at")
 
 
+def hot_keys(counts: DataFrame, rows: str) -> DataFrame:
+    """Of a stored table with a row per key, those with more than a quarter of a
+    partition's share of all ``rows``: at most four times as many as partitions."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    return counts.where(F.col(rows) > max(1000, total // (4 * parts)))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``left`` joined to ``right`` (a row per key), all rows of ``left`` kept.  The
+    rows of ``hot`` keys stay where they are and get their few partners sent; null keys
+    have no partner and are not moved either."""
+    hot = F.broadcast(hot)
+    some = left.where(F.col(key).isNotNull())
+    rest = some.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    out = rest.unionByName(some.join(hot, key, "left_semi").join(few, key, "left"))
+    return out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of Python stages small: texts and sets are large
     rows, and a batch is held several times over (JVM, pipe, Python)."""

@@ -176,8 +176,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
 
 
 def op2_curriculum_mix(spark, sf_dir):
+    """With the places of all passes: ``position`` and ``position_2`` to ``position_4``
+    (a target is at most ``CAP`` times its source's size, so there are no more)."""
+    later = [F.get("positions", F.lit(p - 1)).alias(f"position_{p}") for p in range(2, CAP + 2)]
     return curriculum(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "position")
+        "doc_id", "size", "source_size", "target", "taken", "position", *later)
 
 
 OP2_SQL = r"""
@@ -221,14 +224,21 @@ WITH sized AS (
   SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - beg)) AS first_cut
   FROM placed
 ), x AS (
-  SELECT *, passes * size + first_cut AS taken,
-         (beg::DOUBLE + (CASE WHEN passes > 0 THEN size ELSE first_cut END)::DOUBLE / 2.0::DOUBLE) / target AS x
+  SELECT *, passes * size + first_cut AS taken, X_OF_PASSES
   FROM cut
 ), t AS (
-  SELECT *, CASE WHEN taken > 0 THEN 2.0::DOUBLE * x / ((1.0::DOUBLE + g)
-         + sqrt((1.0::DOUBLE + g) * (1.0::DOUBLE + g) - 4.0::DOUBLE * g * x)) END AS tt FROM x
+  SELECT *, T_OF_PASSES FROM x
 )
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-       round(all_t * tt + bent * (tt - tt * tt), 3) AS position
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, POSITIONS
 FROM t, sums
 """
+# The same expressions for the first to the fourth pass (numbered from 0).
+_PASSES = range(CAP + 1)
+OP2_SQL = OP2_SQL.replace("X_OF_PASSES", ",\n         ".join(
+    f"CASE WHEN size > 0 AND ({p} < passes OR ({p} = passes AND first_cut > 0)) THEN ((beg + {p} * source_size)::DOUBLE"
+    f" + (CASE WHEN {p} < passes THEN size ELSE first_cut END)::DOUBLE / 2.0::DOUBLE) / target END AS x{p}" for p in _PASSES))
+OP2_SQL = OP2_SQL.replace("T_OF_PASSES", ",\n         ".join(
+    f"2.0::DOUBLE * x{p} / ((1.0::DOUBLE + g) + sqrt((1.0::DOUBLE + g) * (1.0::DOUBLE + g) - 4.0::DOUBLE * g * x{p})) AS t{p}"
+    for p in _PASSES))
+OP2_SQL = OP2_SQL.replace("POSITIONS", ",\n       ".join(
+    f"round(all_t * t{p} + bent * (t{p} - t{p} * t{p}), 3) AS position{f'_{p + 1}' if p else ''}" for p in _PASSES))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import map_slices, slices, small_batches, stored, table, text_of
+from lotwise.llm.common import hot_keys, join_hot, map_slices, slices, small_batches, stored, table, text_of
 from lotwise.llm.components import components
 
 PARTS, FINE_PARTS = 64, 512
@@ -67,34 +67,42 @@ _CUT = re.compile(rb"[\x20\x09-\x0D]")
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Powers of an odd number and of its inverse modulo 2 ** 64, as far as needed.
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BASES = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A prime field and two numbers of it, drawn at random once: a word is hashed by its
+#: polynomial at both.  (Modulo a power of two there are words that collide at every number.)
+PRIME = (1 << 31) - 1
+POINTS = (1_327_217_884, 402_653_189)
+#: Powers of the points and of their inverses, as far as needed.
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
 #: Bytes of text hashed at once; a cut falls on a blank.
 HASHED_BYTES = 1 << 20
 
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        for i, base in enumerate(_BASES):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+        for i, base in enumerate((*POINTS, *(pow(p, -1, PRIME) for p in POINTS))):
+            known = _POWERS[i]
+            while len(known) < n:
+                known = np.concatenate([known, known * np.uint64(pow(base, len(known), PRIME)) % np.uint64(PRIME)])
+            _POWERS[i] = known
     return _POWERS
 
 
 def _word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word: the word's part of one running polynomial
-    sum over the bytes, shifted back to the word's start and mixed."""
+    """A 64-bit hash of every word: the word's parts of two running polynomial
+    sums over the bytes, shifted back to the word's start, and its length, mixed."""
     x = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(x) + 2, bool)
     inside[1:-1] = ~_BLANK[x]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    powers, back = _powers(len(x) + 1)
+    powers, prime, letters = _powers(len(x) + 1), np.uint64(PRIME), x + np.uint64(1)
+    h = (ends - starts).astype(np.uint64) * _MIX
     sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x + np.uint64(1)) * powers[:len(x)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+    for point in (0, 1):
+        term = letters * powers[point][:len(x)]
+        # Not quite reduced: under 2 ** 31 + 2 ** 9, so a million of them stay under 2 ** 52.
+        np.cumsum((term & prime) + (term >> np.uint64(31)), out=sums[1:])
+        h ^= ((sums[ends] - sums[starts]) % prime * powers[2 + point][starts] % prime) << np.uint64(31 * point)
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
@@ -151,13 +159,15 @@ def _first_reading(docs: DataFrame, n: int, bits: int) -> DataFrame:
     schema = f"_id {id_type}, n_shingles bigint, digest binary, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << bits, np.uint32)
+        # One byte each, which stays at its most: frequent shingles need no order among them.
+        counters = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             for ids, texts in slices(batch):
                 sizes, digests = [], []
                 for t in texts:
                     s = shingles(t, n)
-                    counters[s >> np.uint64(64 - bits)] += 1  # a text that hits a counter twice adds one
+                    at = s >> np.uint64(64 - bits)  # a text that hits a counter twice adds one
+                    counters[at] = np.minimum(counters[at], 254) + 1
                     sizes.append(len(s))
                     digests.append(blake2b(s.tobytes(), digest_size=16).digest())
                 yield pa.RecordBatch.from_arrays(
@@ -182,7 +192,7 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint32)
                 k = k.as_py()
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
@@ -264,9 +274,12 @@ def _first(x: str, y: str) -> Column:
 
 # --- verification ---------------------------------------------------------------
 
-def _verified(docs: DataFrame, fine: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: those that pass the fine suffix filter, their
-    whole sets compared."""
+def _verified(docs: DataFrame, fine: DataFrame, pairs: DataFrame, n: int, percent: int,
+              done: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that link: those that pass the fine suffix filter and were not
+    compared before (``done``, to which they are added), their whole sets compared."""
+    for before in done:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
     pairs = (
         pairs.select("a", "b").distinct()
         .join(fine.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a")
@@ -275,6 +288,7 @@ def _verified(docs: DataFrame, fine: DataFrame, pairs: DataFrame, n: int, percen
     total = F.col("na") + F.col("nb")
     pairs = pairs.where(_unshared(F.col("fa"), F.col("fb")) <= total - 2 * _need(total, percent))
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    done.append(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     few = pairs.count() <= SENT_IDS // 2
     chosen = docs.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
@@ -317,8 +331,12 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     read = stored(_first_reading(docs, n, bits), "first-reading")
     rows = read.where("chunk is null").select("_id", "n_shingles", "digest")
     sets = rows.where("n_shingles > 0 and _id is not null")
-    reps = sets.groupBy("digest").agg(F.min("_id").alias("rep"))
-    member = stored(rows.join(reps, "digest", "left").select("_id", "n_shingles", "rep"), "members")
+    reps = stored(sets.groupBy("digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "digests")
+    many = hot_keys(reps, "rows")
+    # The set without shingles has no node: no key, so no join.
+    keyed = rows.withColumn("digest", F.when(F.col("n_shingles") > 0, F.col("digest")))
+    member = join_hot(keyed, reps.select("digest", "rep"), "digest", many.select("digest"))
+    member = stored(member.select("_id", "n_shingles", "rep"), "members")
 
     prefixes = _prefixes(docs.where("_id is not null"), n, percent, _sketch(read, bits), bits)
     nodes = prefixes.join(member.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
@@ -336,20 +354,20 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     # Sets of rows with the same id are one node.
     twice = member.where("rep is not null").groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_b")).where("a < _b")
     links = [stored(member.join(twice, "_id").select("a", F.col("rep").alias("b")), "same-id")]
-    own = None
-    last = None
+    own, last, done = None, None, []
     for k in range(LEADER_ROUNDS):
         found = _led(shared, own, percent, k)
-        links.append(_verified(docs, nodes, found, n, percent))
+        links.append(_verified(docs, nodes, found, n, percent, done))
         own = _merged(links)
         cross = _cross_bound(shared, own)
         if not cross or (last is not None and cross > 0.8 * last):
             break
         last = cross
-    links.append(_verified(docs, nodes, _crossing(shared, own, percent), n, percent))
+    links.append(_verified(docs, nodes, _crossing(shared, own, percent), n, percent, done))
     own = _merged(links)
+    named = own.select(F.col("id").alias("rep"), "component")
     return (
-        member.join(own, member["rep"] == own["id"], "left")
+        join_hot(member, named, "rep", many.select("rep"))
         .select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component", "rep", "_id")).alias("component_id"))
     )
 

@@ -128,3 +128,40 @@ def test_given_documents(spark):
     got = J.op9_ngram_join(spark, sf)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 3, 90)
     assert got.where(F.col("component_id") < F.col("doc_id")).count() > 0
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """A Thue-Morse word and its complement have equal polynomial sums modulo 2^64 at
+    every odd number; they are different words here."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(set(J._word_hashes(f"{word} {other} {word}".encode()).tolist())) == 2
+    check(spark, [(1, word, 0, ""), (2, other, 0, ""), (3, f"x {word} y z", 0, ""), (4, f"x {other} y z", 0, ""),
+                  (5, f"x {word} y z", 0, "")])
+
+
+def test_word_hashes_equal_the_plain_ones():
+    words = ["a", "b", "ab", "é", "z" * 3000, "\x00", "ab"]
+    mask = (1 << 64) - 1
+
+    def plain(w):
+        data = w.encode()
+        h = len(data) * int(J._MIX) & mask
+        for k, point in enumerate(J.POINTS):
+            h ^= sum((c + 1) * pow(point, i, J.PRIME) for i, c in enumerate(data)) % J.PRIME << 31 * k
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+            h = (h ^ h >> shift) * factor & mask
+        return h
+
+    assert J._word_hashes(" ".join(words).encode()).tolist() == [plain(w) for w in words]
+
+
+def test_hot_sets_and_ids(spark, monkeypatch):
+    """Equal sets, empty texts and null ids hold most rows."""
+    from lotwise.llm import common
+
+    rows = [(i, "one and the same text here", 0, "") for i in range(1500)] + [(2000 + i, "", 0, "") for i in range(1200)]
+    rows += [(None, "one and the same text here", 0, "")] * 30 + [(5000 + i, f"text number {i} stands alone", 0, "") for i in range(50)]
+    sets = spark.createDataFrame(rows, SCHEMA).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.text for r in common.hot_keys(sets, "n").collect()} == {"one and the same text here", ""}
+    check(spark, rows)
