@@ -128,6 +128,35 @@ def suspects(heads: DataFrame) -> DataFrame:
     return heads.filter((F.col("n_rows") == 0) & F.col("bot_check"))
 
 
+def superseded(heads: DataFrame, page: Sequence[str]) -> DataFrame:
+    """Versions of a page that a better one replaces: its keys and ``fetch_no``.
+
+    Best is a version fetched with status 200 that was parsed and is not suspect, then
+    any with status 200, then the latest.  ``heads`` are one row per version; the choice
+    is a keyed aggregate, and only pages with several versions are looked at again."""
+    fine = (F.col("status") == 200) & F.col("error").isNull() & ~((F.col("n_rows") == 0) & F.col("bot_check"))
+    rank = F.when(fine, 2).when(F.col("status") == 200, 1).otherwise(0)
+    version = F.struct(F.coalesce(rank, F.lit(0)).alias("rank"), F.coalesce("fetch_no", F.lit(0)).alias("fetch_no"))
+    versions = heads.select(*page, version.alias("v"))
+    many = versions.groupBy(*page).agg(F.max("v").alias("best"), F.min("v").alias("_least")).where(
+        F.col("best") != F.col("_least")).drop("_least")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in page]
+    cond = F.col("a.v") != F.col("b.best")
+    for c in same:
+        cond = cond & c
+    return versions.alias("a").join(many.alias("b"), cond).select(*[F.col(f"a.{c}").alias(c) for c in page],
+                                                                  F.col("a.v.fetch_no").alias("fetch_no")).distinct()
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (of pages or listings) without the versions in ``gone``."""
+    page = [c for c in gone.columns if c != "fetch_no"]
+    cond = F.coalesce(F.col("a.fetch_no"), F.lit(0)) == F.col("b.fetch_no")
+    for c in page:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return rows.alias("a").join(gone.alias("b"), cond, "left_anti")
+
+
 def category_choice(setting: Column) -> Column:
     """Category list from a setting: 'both' / 'all' -> cto, cta; else the
     listed valid ones in order; none valid -> cto."""

@@ -76,8 +76,9 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str]
                     approx: bool = False, max_groups: int | None = MAX_GROUPS) -> DataFrame:
     """min / exact median / avg of each of ``columns`` per group, plus ``others``.
 
-    The first aggregate's row per group is joined to the rows for the second.  It is
-    broadcast, and the query stops if there are more than ``max_groups``; with
+    ``df`` should hold only the columns used here: the second aggregate reads the same
+    columns as the first, so that an exchange below them (of a de-dupe) is computed once
+    and read twice.  The first one's row per group is joined to the rows; it is broadcast, and the query stops if there are more than ``max_groups``; with
     ``max_groups=None`` the rows are shuffled to it instead, for any number of groups."""
     numbers = {k: _c(v).cast("bigint") for k, v in columns.items()}
     if approx:
@@ -91,13 +92,15 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str]
     starts = first.select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.struct(*shown).alias("_first"),
                           *[c for c in first.columns if c.startswith(("_lo_", "_hi_"))])
     if max_groups is not None:
-        groups = starts.agg(F.count(F.lit(1))).scalar()
+        # The hash makes the count read the same columns, so it shares the aggregate.
+        known = F.struct(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*starts.columns)).alias("h"))
+        groups = starts.agg(known.alias("known")).scalar().getField("n")
         starts = F.broadcast(starts.where(F.assert_true(
             groups <= max_groups, F.lit("more groups than max_groups: call with max_groups=None")).isNull()))
     same = F.lit(True)
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
-    rows = keyed.select(*by, *[f"_v_{k}" for k in numbers]).join(starts, same)
+    rows = keyed.select(*by, *[f"_v_{k}" for k in numbers], F.xxhash64(*df.columns).alias("_all")).join(starts, same)
 
     def within(k: str, side: str) -> Column:
         v, start = F.col(f"_v_{k}"), F.col(f"_{side}_{k}")
@@ -105,7 +108,7 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str]
 
     rows = rows.withColumns({f"_in_{side}_{k}": within(k, side) for k in numbers for side in ("lo", "hi")})
     second = rows.groupBy(*by).agg(
-        F.any_value("_first").alias("_first"),
+        F.any_value("_first").alias("_first"), F.max("_all").alias("_all"),
         *[(F.any_value(f"_{side}_{k}").cast("decimal(20,0)") + _middle(f"_in_{side}_{k}", side == "hi").cast("decimal(20,0)"))
           .alias(f"_{side}_{k}") for k in numbers for side in ("lo", "hi")])
     return second.select(*by, "_first.*", *[
@@ -120,6 +123,7 @@ def missing_counts(fields: Sequence[str]) -> list[Column]:
 def summary(df: DataFrame, by: Sequence[str] = ("source",), fields: Sequence[str] = ("dealer", "location"),
             approx: bool = False) -> DataFrame:
     """Numeric stats of price and mileage plus missing-field counts per group."""
+    df = df.select(*by, "price", "mileage", *[f for f in fields if f not in by])
     return numeric_summary(df, {"price": F.col("price"), "mileage": F.col("mileage")}, by,
                            [F.count(F.lit(1)).alias("rows"), *missing_counts(fields)], approx)
 
@@ -130,7 +134,8 @@ def raw_vs_filtered(df: DataFrame, passes: Column, by: Sequence[str] = ("source"
 
     ``passes`` is the filter predicate; rows it rejects count as dropped.
     """
-    p = F.coalesce(passes, F.lit(False))
+    df = df.select(*by, "price", "mileage", *[f for f in fields if f not in by], F.coalesce(passes, F.lit(False)).alias("_passes"))
+    p = F.col("_passes")
     columns = {"raw_price": F.col("price"), "raw_mileage": F.col("mileage"),
                "kept_price": F.when(p, F.col("price")), "kept_mileage": F.when(p, F.col("mileage"))}
     counts = [F.count(F.lit(1)).alias("raw_rows"), F.count_if(p).alias("kept_rows"), *missing_counts(fields)]

@@ -354,7 +354,7 @@ SELECT source, count(*) AS rows, {S.stats('price', 'price')}, {S.stats('mileage'
 FROM derived GROUP BY source""")
 def q_agg_numeric_stats(spark, d):
     t = derived_listings(spark, d)
-    return stats.numeric_summary(t, {"price": F.col("price"), "mileage": F.col("mileage")}, ["source"],
+    return stats.numeric_summary(t.select("source", "price", "mileage"), {"price": F.col("price"), "mileage": F.col("mileage")}, ["source"],
                                  [F.count(F.lit(1)).alias("rows")])
 
 
@@ -780,6 +780,30 @@ def q_pg_suspect(spark, d):
     return PG.suspects(X.page_heads(extracted(spark, d))).select("source", "crawl_id", "page_no")
 
 
+_EXP_TWICE = _EXP.replace(
+    "AND NOT challenge AND NOT broken", "AND (NOT challenge OR again) AND NOT broken").replace(
+    "l_orderkey % 101 = 7 AS challenge,", "l_orderkey % 101 = 7 AS challenge, l_orderkey % 202 = 7 AND l_orderkey % 109 <> 17 AS again,")
+
+
+@query("pg_versions", _EXP_TWICE + """,
+pst AS (
+  SELECT *, status <> 200 OR (n_rows = 0 AND NOT broken)
+            OR (source = 'cars.com' AND status = 200 AND l_orderkey % 103 = 11
+                AND (NOT challenge OR (l_orderkey % 202 = 7 AND l_orderkey % 109 <> 17))) AS stop
+  FROM pages_exp),
+fst AS (SELECT source, category, crawl_id, min(page_no) AS stop_page FROM pst WHERE stop GROUP BY ALL)
+SELECT e.source, e.category, e.crawl_id, e.page_no,
+       CASE WHEN e.l_orderkey % 202 = 7 AND e.l_orderkey % 109 <> 17 THEN 2 ELSE 1 END AS fetch_no, count(*) AS rows
+FROM expected e LEFT JOIN fst f USING (source, category, crawl_id)
+WHERE f.stop_page IS NULL OR e.page_no < f.stop_page GROUP BY ALL""")
+def q_pg_versions(spark, d):
+    text = derived_text(spark, d)
+    pages = render_pages(text).withColumn("fetch_no", F.lit(1)).unionByName(
+        render_pages(text, second_fetch=True).withColumn("fetch_no", F.lit(2)))
+    rows, _, _ = J.source_rows(pages)
+    return rows.groupBy("source", "category", "crawl_id", "page_no", "fetch_no").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("lim_pages", _EXP + "SELECT DISTINCT source, category, crawl_id, page_no FROM pgx WHERE page_no <= 8")
 def q_lim_pages(spark, d):
     return shape.limit_pages(rendered_pages(spark, d), 8).select("source", "category", "crawl_id", "page_no")
@@ -1000,9 +1024,8 @@ def q_job_combined(spark, d):
     t = derived_listings(spark, d)
     tracked = F.when(~fn.is_empty("url"), F.concat("url", F.lit("?utm_source="), "source", F.lit("#top"))).otherwise(F.col("url"))
     t = t.withColumn("url", tracked)  # one listing under several tracked URLs
-    per_source = {s: t.filter(F.col("source") == s) for s in ["craigslist", "cars.com", "cargurus"]}
     out = scratch_path(spark, "job-combined")
-    run = J.job_combined(per_source, ORDER, limits=TEST_LIMITS, out_dir=out, run_ts=RUN_TS)
+    run = J.job_combined(t, ORDER, limits=TEST_LIMITS, out_dir=out, run_ts=RUN_TS)
     return _read_csv(spark, f"{run.snapshot}/csv")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import dedupe, extract as X, filters, pages as PG, shape, stats
-from lotwise.plans.sizing import materialised
+from lotwise.plans.sizing import broadcast_if_small, materialised, staged
 from lotwise.schema import (COMBINED_LIMITS, COMBINED_RANK, DEFAULT_CRITERIA, FILE_STEM, LISTING, LISTING_COLS, SOURCE_B,
                             SOURCE_C)
 from lotwise.sinks import writers as W
@@ -42,11 +42,16 @@ def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool =
                 run_ts: str | None = None):
     """Pages -> (extracted rows up to each crawl's first stop, stops, errors
     [, per-page progress]).  With ``gap_is_stop`` a missing page number also
-    ends its crawl (reason 'missing page')."""
+    ends its crawl (reason 'missing page').  If the pages carry ``fetch_no``, a page that
+    was fetched again (after a bot check, say) counts once, with its best version, before
+    any stop is looked for."""
     ext = X.extract(pages, run_ts)
     if checkpoint:
         ext = materialised(ext)
     heads = X.page_heads(ext)
+    if "fetch_no" in pages.columns:  # of a page fetched again, the better version counts
+        gone, _ = broadcast_if_small(PG.superseded(heads, [*CRAWL, "page_no"]), PG.MAX_BROADCAST_CRAWLS)
+        ext, heads = PG.without(ext, gone), PG.without(heads, gone)
     stop, reason = PG.is_stop(error="error"), PG.stop_reason()
     if gap_is_stop:
         gaps = PG.gap_pages(heads, CRAWL).withColumn("_gap", F.lit(True))
@@ -107,35 +112,58 @@ class CombinedRun:
     failed: dict[str, str]  # sources whose rows could not be computed, and why
 
 
-def job_combined(per_source: dict[str, DataFrame | Callable[[], DataFrame]], order: list[str],
+def _staged_sources(per_source, sources, stamp: str) -> tuple[DataFrame, int, dict[str, str]]:
+    """The typed rows of all sources in one table partitioned by source, their
+    number, and the sources that failed.  All are written at once; only if that fails
+    is each written alone, to tell which ones do."""
+    failed: dict[str, str] = {}
+    tables: dict[str, DataFrame] = {}
+
+    def tried(name: str, make: Callable):
+        try:
+            return make()
+        except Exception as ex:  # noqa: BLE001 -- one source's failure is reported, the others go on
+            failed[name] = f"{type(ex).__name__}: {ex}"
+            return None
+
+    if isinstance(per_source, DataFrame):
+        chosen = per_source if sources is None else per_source.where(F.col("source").isin(*sources))
+        tables["all"] = as_listings(chosen, stamp)
+    else:
+        for name, rows in per_source.items():
+            if sources is None or name in set(sources):
+                t = tried(name, lambda: as_listings(rows() if callable(rows) else rows, stamp))  # noqa: B023
+                tables.update({name: t} if t is not None else {})
+    empty = SparkSession.active().createDataFrame([], LISTING)
+    try:
+        return *staged(shape.union_all([*tables.values(), empty]), "combined", "source"), failed
+    except Exception:  # noqa: BLE001 -- narrowed down to its source below
+        if isinstance(per_source, DataFrame) or not tables:
+            raise
+    parts = {name: tried(name, lambda: staged(t, "combined", "source")) for name, t in tables.items()}  # noqa: B023
+    parts = [p for p in parts.values() if p]
+    return shape.union_all([*(p[0] for p in parts), empty]), sum(p[1] for p in parts), failed
+
+
+def job_combined(per_source: DataFrame | dict[str, DataFrame | Callable[[], DataFrame]], order: list[str],
                  limits: dict | None = None, out_dir: str | None = None, run_ts: str | None = None, sources=None,
                  write_parquet: bool = True) -> CombinedRun:
     """All sources: per-source outputs, union, de-dupe (first by source rank
     then reading order), limits, sort by price and mileage, snapshot, counts.
     De-dupe comes before the limits, as in the combined run.
 
-    Each source's rows are typed (URLs without tracking parameters, numbers,
-    a first_seen) and materialised once; a source that fails counts as empty, is
-    named in ``failed``, and the others go on.  Without any row nothing is
-    written.  Per-source outputs are one write partitioned by source; the sorted
-    result is materialised too, so the snapshot's CSV and Parquet copies and the
-    counts reuse one sort.
+    ``per_source`` is one table with all sources, read once, or a table (or a function
+    that makes it) for each.  Their typed rows (URLs without tracking parameters, numbers,
+    a first_seen) are written once, and all further steps read that table; it is
+    counted while it is written.  With a table for each, a source that fails counts as
+    empty, is named in ``failed``, and the others go on.  Without any row nothing is
+    written.  Per-source outputs are one write partitioned by source; the sorted result
+    is materialised too, so the snapshot's CSV and Parquet copies and the counts reuse one sort.
     """
     lim = dict(COMBINED_LIMITS, **(limits or {}))
     stamp = run_ts or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
-    tables, failed = [], {}
-    spark = SparkSession.active()
-    for name, rows in per_source.items():
-        if sources is not None and name not in set(sources):
-            continue
-        try:
-            tables.append(materialised(as_listings(rows() if callable(rows) else rows, stamp)))
-        except Exception as ex:  # noqa: BLE001 -- one source's failure is reported, the others go on
-            failed[name] = f"{type(ex).__name__}: {ex}"
-    tables.append(spark.createDataFrame([], LISTING))
-    union = shape.union_all(tables)
-    some = not union.isEmpty()
-    if out_dir and some:
+    union, n, failed = _staged_sources(per_source, sources, stamp)
+    if out_dir and n:
         W.write_per_source(union, f"{out_dir}/by_source_csv", fmt="csv")
         if write_parquet:
             W.write_per_source(union, f"{out_dir}/by_source_parquet", fmt="parquet")
@@ -144,7 +172,7 @@ def job_combined(per_source: dict[str, DataFrame | Callable[[], DataFrame]], ord
     combined = filters.limits(dedupe.dedupe_collapse(ranked, keyed), lim["price_max"], lim["mileage_max"])
     ordered = shape.sort_price_miles(combined, keyed)
     snap = None
-    if out_dir and run_ts:
+    if out_dir and run_ts and n:
         ordered = materialised(ordered)
         if not ordered.isEmpty():
             snap = W.write_snapshot(ordered, f"{out_dir}/combined", run_ts, parquet=write_parquet)

@@ -6,12 +6,16 @@ both written as empty fields, quotes doubled inside quoted fields.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.operators.shape import project_listing
 
+#: An empty file inside a published snapshot; without it a folder is none.
+PUBLISHED = "_PUBLISHED"
+
 
 def _csv(w):
     # Blanks at either end of a field are part of it.
@@ -69,18 +73,65 @@ def snapshot_path(base: str, run_ts: str) -> str:
     return f"{base.rstrip('/')}/run={datetime.fromisoformat(run_ts).strftime('%Y%m%d-%H%M%S')}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_snapshot(df: DataFrame, base: str, run_ts: str, order: Sequence | None = None,
                    parquet: bool = True) -> str:
-    """Combined output under a run stamp; an existing snapshot is never
-    overwritten (the write fails instead)."""
+    """Combined output under a run stamp, CSV and Parquet published together.
+
+    Both copies go to a staging folder, which gets a marker and its final name by one
+    rename, so readers see both or nothing; where a rename moves files one by one, the
+    marker is what ``read_snapshots`` asks for.  If a copy fails, the staging
+    folder is taken away.  An existing snapshot is never overwritten (the write fails
+    instead)."""
+    spark = df.sparkSession
     path = snapshot_path(base, run_ts)
+    fs, final = _file_system(spark, path)
+    if fs.exists(final):
+        raise FileExistsError(f"there is a snapshot {path}")
+    stage = f"{base.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    _, staged = _file_system(spark, stage)
     out = df.orderBy(*order) if order else df
-    _csv(project_listing(out).write.mode("errorifexists")).csv(f"{path}/csv")
-    if parquet:
-        project_listing(out).write.mode("errorifexists").parquet(f"{path}/parquet")
+    try:
+        _csv(project_listing(out).write.mode("errorifexists")).csv(f"{stage}/csv")
+        if parquet:
+            project_listing(out).write.mode("errorifexists").parquet(f"{stage}/parquet")
+        fs.create(_file_system(spark, f"{stage}/{PUBLISHED}")[1]).close()
+        # A rename into a folder made meanwhile would put the stage inside it: it must be absent.
+        if fs.exists(final) or not fs.rename(staged, final):
+            raise FileExistsError(f"the snapshot {path} could not be published")
+    finally:
+        if fs.exists(staged):
+            fs.delete(staged, True)
     return path
 
 
+def published_snapshots(spark: SparkSession, base: str) -> list[str]:
+    """The snapshots under ``base`` that were published whole, oldest first."""
+    fs, root = _file_system(spark, base.rstrip("/"))
+    if not fs.exists(root):
+        return []
+    found = [s.getPath().toString() for s in fs.listStatus(root) if s.getPath().getName().startswith("run=")]
+    return sorted(p for p in found if fs.exists(_file_system(spark, f"{p}/{PUBLISHED}")[1]))
+
+
+def read_snapshots(spark: SparkSession, base: str, latest: bool = False) -> DataFrame:
+    """The Parquet copies of the published snapshots (or of the latest only), with
+    their run as column ``run``."""
+    from pyspark.sql import functions as F
+
+    from lotwise.schema import LISTING
+
+    paths = published_snapshots(spark, base)[-1 if latest else 0:]
+    if not paths:
+        return spark.createDataFrame([], LISTING).withColumn("run", F.lit(None).cast("string"))
+    rows = spark.read.schema(LISTING).parquet(*[f"{p}/parquet" for p in paths])
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), "/run=([0-9-]+)/", 1).alias("run"))
+
+
 def write_merged(merged: DataFrame, path: str) -> None:
     """Merged listings in order of first encounter (``first_pos``)."""
     _csv(project_listing(merged.orderBy("first_pos")).write.mode("overwrite")).csv(path)
@@ -95,4 +146,4 @@ def write_if_any(df: DataFrame, writer, *args, **kwargs) -> bool:
 
 
 __all__ = ["write_csv", "write_parquet", "write_per_source", "write_results_files", "write_snapshot",
-           "write_merged", "write_if_any", "snapshot_path"]
+           "published_snapshots", "read_snapshots", "write_merged", "write_if_any", "snapshot_path"]

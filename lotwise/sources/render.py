@@ -187,9 +187,17 @@ def page_keys() -> list[Column]:
     ]
 
 
-def render_pages(text: DataFrame) -> DataFrame:
+def refetched(o: Column) -> Column:
+    """Bot-check pages that were fetched a second time, with success."""
+    return (o % 202 == 7) & (o % 109 != 17)
+
+
+def render_pages(text: DataFrame, second_fetch: bool = False) -> DataFrame:
     """Derived text listings -> ``PAGES`` (source, category, crawl_id,
-    page_no, url, status, fetched_at, html)."""
+    page_no, url, status, fetched_at, html).  With ``second_fetch`` only the pages that
+    were fetched again, as they came the second time."""
+    if second_fetch:
+        text = text.where(refetched(_o()))
     structured = _o() % 2 == 0
     piece = (F.when(F.col("source") == SOURCE_A, card_a())
              .when(F.col("source") == SOURCE_B, F.when(structured, item_b()).otherwise(card_b()))
@@ -230,7 +238,8 @@ def render_pages(text: DataFrame) -> DataFrame:
     challenge = F.lit("<html><head><title>Just a moment...</title></head>"
                       "<body><p>Checking your browser before accessing the site.</p></body></html>")
     status = F.when(o % 107 == 13, F.lit(503)).otherwise(F.lit(200))
-    html = F.when(status != 200, F.lit(None).cast("string")).when(o % 101 == 7, challenge).otherwise(normal)
+    html = F.when(status != 200, F.lit(None).cast("string")).when(
+        F.lit(False) if second_fetch else o % 101 == 7, challenge).otherwise(normal)
     url = (F.when(src == SOURCE_A, _s("https://www.cars.com/shopping/results/?page=", F.col("page_no").cast("string")))
            .when(src == SOURCE_B, _s("https://www.cargurus.com/Cars/inventorylisting/"
                                      "viewDetailsFilterViewInventoryListing.action?page=",
@@ -241,4 +250,4 @@ def render_pages(text: DataFrame) -> DataFrame:
                          status.cast("int").alias("status"), "fetched_at", html.alias("html"))
 
 
-__all__ = ["render_pages", "URL_BASE"]
+__all__ = ["render_pages", "refetched", "URL_BASE"]

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import dedupe, filters, pages as PG, shape, stats
@@ -85,6 +86,41 @@ def test_listing_files_of_any_layout(spark, scratch):
     assert read_listing_csv(spark, []).count() == 0
 
 
+def test_records_over_many_blocks(spark, scratch):
+    """Quoted line breaks, stray and doubled quotes: the records of Python's reader,
+    whatever the size of the blocks that a file is read in."""
+    import csv
+    import random
+
+    from lotwise.sources.files import FILE_ORDER, read_listing_csv
+
+    rng = random.Random(3)
+    texts = ["plain", 'a "quoted" word', "two\nlines", 'three\n"more"\nlines', "", "comma, comma", '5" tire', "end\n", '"', "x" * 300]
+    with open(f"{scratch}/many_results.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["url", "dealer", "title"])
+        for i in range(400):
+            w.writerow([f"u{i}", rng.choice(texts), rng.choice(texts)])
+        f.write('u400,a 5" stray quote,t\nu401,"open at the end\nof the file,x\n')
+    with open(f"{scratch}/plain_results.csv", "w") as f:
+        f.write("title,url\n" + "".join(f'"t, {i}",p{i}\n' for i in range(50)))
+    with open(f"{scratch}/head_results.csv", "w") as f:
+        f.write('url,"a name\nof two lines",title\nh1,x,"y\nz"\n')
+    with open(f"{scratch}/many_results.csv", newline="") as f:
+        want = [(r["url"], r["dealer"] or None, r["title"] or None) for r in csv.DictReader(f)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("512", "4096", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_listing_csv(spark, f"{scratch}/*.csv").orderBy(*FILE_ORDER).collect()
+            got = [(r.url, r.dealer, r.title) for r in rows if r.file.endswith("many_results.csv")]
+            assert got[:-1] == want[:-1] and len(got) == len(want) and got[-1][0] == "u401"
+            assert [(r.title, r.url) for r in rows if "plain" in r.file] == [(f"t, {i}", f"p{i}") for i in range(50)]
+            assert [(r.url, r.title) for r in rows if "head" in r.file] == [("h1", "y\nz")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_part_files_in_number_order(spark, scratch):
     from lotwise.sources.files import FILE_ORDER, read_listing_csv
 
@@ -105,6 +141,63 @@ def test_csv_keeps_blanks(spark, scratch):
     assert (r.title, r.dealer, r.location) == (" T ", "  ", None)
 
 
+def test_snapshot_is_published_whole_or_not_at_all(spark, scratch, monkeypatch):
+    from lotwise.sinks import writers as W
+
+    rows = listing_df(spark, [(0, "cars.com", "2010 X", 100, 5, "d", "l", "u", "s")])
+    real = W.project_listing
+    calls = []
+
+    def second_copy_fails(df, *a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("the disk is full")
+        return real(df, *a)
+
+    monkeypatch.setattr(W, "project_listing", second_copy_fails)
+    with pytest.raises(OSError):
+        W.write_snapshot(rows, f"{scratch}/combined", "2024-01-01T00:00:00")
+    monkeypatch.setattr(W, "project_listing", real)
+    assert os.listdir(f"{scratch}/combined") == [] and W.published_snapshots(spark, f"{scratch}/combined") == []
+    assert W.read_snapshots(spark, f"{scratch}/combined").count() == 0
+    first = W.write_snapshot(rows, f"{scratch}/combined", "2024-01-01T00:00:00")
+    with pytest.raises(FileExistsError):
+        W.write_snapshot(rows, f"{scratch}/combined", "2024-01-01T00:00:00")
+    W.write_snapshot(rows.union(rows), f"{scratch}/combined", "2024-01-02T00:00:00")
+    os.makedirs(f"{scratch}/combined/run=20240103-000000/parquet")  # unfinished: no marker
+    assert {os.path.basename(p) for p in W.published_snapshots(spark, f"{scratch}/combined")} == {"run=20240101-000000", "run=20240102-000000"}
+    assert os.path.exists(f"{first}/{W.PUBLISHED}") and os.path.isdir(f"{first}/csv") and os.path.isdir(f"{first}/parquet")
+    assert W.read_snapshots(spark, f"{scratch}/combined").groupBy("run").count().count() == 2
+    assert W.read_snapshots(spark, f"{scratch}/combined", latest=True).count() == 2
+    assert not [n for n in os.listdir(f"{scratch}/combined") if n.startswith("_staging")]
+
+
+def test_combined_takes_one_table(spark, scratch):
+    rows = listing_df(spark, [(0, "cars.com", "2010 X", 100, 5, "d", "l", "u1", "s"), (1, "craigslist", "2011 Y", 90, None, "d", "l", "u1", "s"),
+                              (2, "cargurus", "2012 Z", 80, 1, "d", "l", "u2", "s"), (3, None, "2013 W", 70, 1, "d", "l", "u3", "s")])
+    a = J.job_combined(rows, ["pos"], out_dir=f"{scratch}/a", run_ts="2024-01-01T00:00:00")
+    per = {s: rows.where(f"source = '{s}'") for s in ("cars.com", "craigslist", "cargurus")}
+    b = J.job_combined({**per, "none": rows.where("source is null")}, ["pos"], out_dir=f"{scratch}/b", run_ts="2024-01-01T00:00:00")
+    pick = lambda run: [(r.source, r.url, r.price) for r in run.rows.collect()]
+    assert pick(a) == pick(b) == [(None, "u3", 70), ("cargurus", "u2", 80), ("craigslist", "u1", 90)]
+    assert pick(J.job_combined(rows, ["pos"], sources=["cars.com"])) == [("cars.com", "u1", 100)]
+    bad = rows.withColumn("price", F.raise_error(F.lit("cannot be read")).cast("bigint"))
+    c = J.job_combined({**per, "broken": bad}, ["pos"])
+    assert list(c.failed) == ["broken"] and c.rows.count() == 2
+
+
+def test_a_page_fetched_again_takes_its_place(spark):
+    pages = [("cars.com", "", 1, 1, "u", 200, None, P.A_VAN, 1), ("cars.com", "", 1, 2, "u", 200, None, P.CHALLENGE, 1),
+             ("cars.com", "", 1, 2, "u", 200, None, P.CHALLENGE, 2), ("cars.com", "", 1, 2, "u", 200, None, P.A_NESTED, 3),
+             ("cars.com", "", 1, 2, "u", 503, None, None, 4), ("cars.com", "", 2, 1, "u", 200, None, P.CHALLENGE, None)]
+    df = spark.createDataFrame(pages, PAGES.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", fetch_no int")
+    rows, stops, _ = J.source_rows(df)
+    assert [(r.page_no, r.fetch_no) for r in rows.orderBy("page_no").collect()] == [(1, 1), (2, 3)]
+    assert [r.crawl_id for r in stops.collect()] == [2]
+    rows, stops, _ = J.source_rows(df.where("fetch_no < 3"))
+    assert [r.page_no for r in rows.collect()] == [1] and stops.first().stop_at.page_no == 2
+
+
 def test_combined_without_rows_or_with_a_failing_source(spark, scratch):
     one = listing_df(spark, [(0, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?utm_source=a&k=1#z", "s"),
                              (1, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?k=1&utm_medium=b", "s")])
@@ -122,8 +215,6 @@ def test_combined_without_rows_or_with_a_failing_source(spark, scratch):
 def test_site_names():
     import argparse
 
-    import pytest
-
     from lotwise.__main__ import site_list
 
     assert site_list("carscom, craigslist,cars.com") == ["cars.com", "craigslist"]
