@@ -11,23 +11,27 @@ gets an importance from two entropies over the host's distinct pages:
   pages has 0 and running text has 1.
 
 Both are joined as ``(1 - g^l) * presentation + g^l * content`` for l child tags
-on average.  Branches under ``LEAST`` are taken out of each page, if at least
-``MIN_PAGES`` distinct pages of the host hold them.
+on average.  Outside landmarks this is multiplied by the share of the node's letters that
+stand outside links: a menu filled anew on each page differs in every block, but all of it is
+links.  Branches under ``LEAST`` are taken out of each page.  An importance of few pages
+is uncertain, so ``1 / pages`` is added to it where a branch is to go, and
+``CAUTION / pages`` taken off where one with a hint is to stay; there is no least number of pages.
 
 Parts that say what they are, by tag, role, class or id, are nodes of the tree as
-well, and go under ``NAMED_LEAST``.  The entropies cannot see parts that a site
-fills anew on every page (adverts, rotating menus), nor judge a host of few pages.
-There the name decides: a sure name (tag, role, whole class) always takes its part
-out, a hint (a word inside a class or id) only as long as too few pages hold it.
-In a landmark ids and parts of class words say nothing, and headings are never
-named.  What no reader sees (``GONE_TAGS``, hidden) is no node.
+well, and go under ``NAMED_LEAST``.  Of parts that the tree cannot tell (adverts filled
+anew on each page, a host of few pages) the name decides: a sure name (tag, role, whole class
+or id) always takes its part out; a hint (a class or id that ends in such a word, or
+begins with one of adverts, consent or comments) unless the tree is sure of the part, and never a
+part that holds an h1 or most of the page's letters outside links.  In a landmark
+only adverts, consent, comments and sidebars are sure, by class or id, and only with words for
+parts of a layout after them; headings are never named.  What no reader sees
+(``GONE_TAGS``, hidden) is no node.
 
 Of what is left the text blocks in ``article`` elements are returned if they hold
 at least half of the letters outside links (of ``main``, if it has text of its
 own, else of the page), else those in ``main``, else all.  The style tree never takes the landmarks, headings and
-paragraphs themselves, and it is set aside for a page of which it would take more
-than half.  White space inside a block becomes one blank, character references
-are decoded, blocks are joined by one blank.
+paragraphs themselves, nor all that is left of a page.  White space inside a block becomes one
+blank, character references are decoded, blocks are joined by one blank.
 
 Scale: statistics are rows (host, node, block) of 64-bit hashes, counted where
 they are read and merged by key, so a host with a third of all pages only adds to
@@ -55,7 +59,8 @@ from lotwise.llm.common import map_slices, stored, table, text_of
 GAMMA = 0.9
 LEAST = 0.3
 NAMED_LEAST = 0.5
-MIN_PAGES = 8
+#: Pages' worth of doubt about a part with a hint that looks important.
+CAUTION = 4
 SENT_NODES = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,14 +89,24 @@ DROP_WORDS = frozenset(
     "social related recommended recommendations newsletter subscribe subscription signup login search pagination pager "
     "widget widgets toolbar skip print paywall outbrain taboola".split())
 OUTER_DROP_WORDS = frozenset("header topbar".split())
-#: Whole classes that name a part inside a landmark too: those that are filled anew on each page, and the others.
-ANEW_CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertising adsbox adsbygoogle sponsored comments commentlist comment-list disqus "
-    "outbrain taboola".split())
+#: Words that say so as the last word of a class or id ("site-footer"), and as the first.
+LAST_WORDS = frozenset(
+    "ad ads advert adverts advertisement banner cookies consent notice popup modal overlay sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs footer masthead comments commentlist disqus newsletter subscribe signup pagination pager toolbar "
+    "paywall recommendations promo sponsored topbar".split())
+FIRST_WORDS = frozenset("ad ads advert advertisement cookie cookies consent gdpr comment comments sponsored newsletter".split())
+#: Inside a landmark: words of adverts, consent, comments and sidebars, alone or
+#: followed only by words for parts of a layout.
+INNER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsbox adsbygoogle sponsored cookie cookies consent gdpr comment comments "
+    "commentlist disqus outbrain taboola sidebar".split())
+LAYOUT_WORDS = frozenset(
+    "area bar banner block box container content form holder inner list notice outer panel popup section slot space thread "
+    "unit widget wrap wrapper".split())
+#: Whole classes that hint at a part inside a landmark.
 INNER_CLASSES = frozenset(
-    "ad-container ad-slot ad-banner cookie-notice cookie-banner cookie-consent gdpr share-buttons social-share sharing "
-    "newsletter newsletter-signup related-posts related-articles recommendations breadcrumb breadcrumbs navbar navigation "
-    "pagination pager paywall sidebar".split())
+    "share-buttons social-share sharing newsletter newsletter-signup related-posts related-articles recommendations breadcrumb "
+    "breadcrumbs navbar navigation pagination pager paywall".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 KEPT_TAGS = frozenset("html body main article".split())
 COMMENT_WORDS = frozenset("comment comments reply replies teaser related".split())
@@ -103,7 +118,7 @@ _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ATTR_NAMES = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
-_WORDS = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 _BRANCH_TAGS = BLOCKS - {"br", "hr"}
 #: The host part of a lower-case URL.
@@ -212,13 +227,27 @@ def _name(tag: str, attrs: dict[str, str], inside: bool) -> int:
         return SURE if tag == "article" and not COMMENT_WORDS.isdisjoint(classes) else 0
     if tag in HEADINGS:
         return 0
+    ids = attrs.get("id", "").lower().split()
     if inside:
-        return SURE if not ANEW_CLASSES.isdisjoint(classes) else HINT if not INNER_CLASSES.isdisjoint(classes) else 0
-    ids = attrs.get("id", "").lower() if tag != "section" else ""
-    if any(c in DROP_WORDS or c in OUTER_DROP_WORDS for c in (*classes, *ids.split())):
+        if any(_layout_of(c) for c in (*classes, *ids)):
+            return SURE
+        return HINT if not INNER_CLASSES.isdisjoint(classes) else 0
+    if tag == "section":  # its id may be made from a heading
+        ids = [i for i in ids if _layout_of(i)]
+    if any(c in DROP_WORDS or c in OUTER_DROP_WORDS for c in (*classes, *ids)):
         return SURE
-    words = set(_WORDS.findall(" ".join((*classes, ids))))
-    return HINT if words & DROP_WORDS or words & OUTER_DROP_WORDS else 0
+    return HINT if any(w and (w[-1] in LAST_WORDS or w[0] in FIRST_WORDS) for w in map(_parts, (*classes, *ids))) else 0
+
+
+@lru_cache(maxsize=4096)
+def _parts(name: str) -> tuple[str, ...]:
+    return tuple(w for w in _PART.split(name) if w)
+
+
+def _layout_of(name: str) -> bool:
+    """Whether a class or id is one of ``INNER_WORDS``, numbers and layout words after it."""
+    words = _parts(name)
+    return bool(words) and words[0] in INNER_WORDS and all(w in LAYOUT_WORDS or w in INNER_WORDS for w in words[1:])
 
 
 class Page:
@@ -228,11 +257,14 @@ class Page:
     article, 1 in main, 0 elsewhere, branches the style nodes around it that may
     be removed, named those with a name, as (node, how sure), linked the letters
     in links.
-    ``shown``: style node -> its child tag sequences on this page."""
+    ``shown``: style node -> its child tag sequences on this page.
+    ``titled``: the nodes that hold an h1; ``outer``: those outside landmarks."""
 
     def __init__(self, page: str):
         self.blocks: list[tuple[str, int, tuple[int, ...], tuple[tuple[int, int], ...], int]] = []
         self.shown: dict[int, list[str]] = {}
+        self.titled: set[int] = set()
+        self.outer: set[int] = set()
         root = _Open("", 0, False, 0, (), ())
         stack, count, piece, linked = [root], {}, [], 0
 
@@ -290,6 +322,8 @@ class Page:
                 dropped, name = True, 0  # inside a block: never a branch, so the name decides
             if not dropped and top.children is not None and (not top.children or top.children[-1] != tag):
                 top.children.append(tag)
+            if tag == "h1":
+                self.titled.update(e.path for e in stack)
             if tag in VOID:
                 continue
             label = f"{tag}.{' '.join(sorted(attrs.get('class', '').split()))}#{_DIGITS.sub('0', attrs.get('id', ''))}" \
@@ -306,6 +340,8 @@ class Page:
             e = _Open(tag, path, dropped, inside, branches, named)
             if branches is not top.branches or named is not top.named:
                 e.children = []
+                if not inside:
+                    self.outer.add(path)
             stack.append(e)
             count[tag] = count.get(tag, 0) + 1
         flush()
@@ -314,14 +350,17 @@ class Page:
     def main_text(self, removed: frozenset[int] = frozenset(), kept: frozenset[int] = frozenset()) -> str:
         """``removed``: branches of low importance.  ``kept``: branches with a
         hint that enough pages hold and that are not of low importance."""
-        blocks = [b for b in self.blocks
-                  if all(sure == HINT and node in kept for node, sure in b[3])]
-        if not blocks:  # hints alone never empty a page
-            blocks = [b for b in self.blocks if all(sure == HINT for _, sure in b[3])]
+        # The tree decides first; a sure name takes its part out in any case.
+        standing = [b for b in self.blocks if all(sure == HINT for _, sure in b[3])]
+        whole = sum(len(b[0]) - b[4] for b in standing)
+        letters: dict[int, int] = {}
+        for b in standing:
+            for node, _ in b[3]:
+                letters[node] = letters.get(node, 0) + len(b[0]) - b[4]
+        held = {n for n, k in letters.items() if n not in removed and (n in kept or n in self.titled or 2 * k > whole)}
+        blocks = [b for b in standing if all(node in held for node, _ in b[3])] or standing
         if removed:
-            left = [b for b in blocks if removed.isdisjoint(b[2])]
-            if 2 * sum(len(b[0]) for b in left) >= sum(len(b[0]) for b in blocks):
-                blocks = left
+            blocks = [b for b in blocks if removed.isdisjoint(b[2])] or blocks
         if any(b[1] == 1 for b in blocks):
             blocks = [b for b in blocks if b[1]]
         article = [b for b in blocks if b[1] == 2]
@@ -337,22 +376,25 @@ def host_of(url: Column) -> Column:
 def style_rows(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, node, page (hash of its blocks without a sure name), block hash (null: a
     child tag sequence) and sequence hash (null: a block), with its child count,
-    and how sure the node's name is (0: it has none)."""
+    how sure the node's name is (0: it has none), the block's letters, and those of them in
+    links (counted outside landmarks only)."""
     def per_slice(hosts, htmls):
-        out = ([], [], [], [], [], [], [])
+        out = tuple([] for _ in range(9))
         for host, text in zip(hosts, htmls):
             page = Page(text)
             number = _hash(*(b[0] for b in page.blocks if all(sure == HINT for _, sure in b[3])))
             names = dict(pair for b in page.blocks for pair in b[3])
-            rows = {(node, _hash(b[0]), None, 0) for b in page.blocks for node in (*b[2], *(n for n, _ in b[3]))}
-            rows |= {(node, None, _hash(s), s.count(",") + bool(s)) for node, seen in page.shown.items() for s in seen}
-            for node, block, sequence, children in rows:
-                for column, v in zip(out, (host, node, number, block, sequence, children, names.get(node, 0))):
+            rows = {(node, _hash(b[0]), None, 0, len(b[0]), b[4] if node in page.outer else 0)
+                    for b in page.blocks for node in (*b[2], *(n for n, _ in b[3]))}
+            rows |= {(node, None, _hash(s), s.count(",") + bool(s), 0, 0) for node, seen in page.shown.items() for s in seen}
+            for node, block, sequence, children, letters, links in rows:
+                for column, v in zip(out, (host, node, number, block, sequence, children, names.get(node, 0), letters, links)):
                     column.append(v)
         return out
 
-    return map_slices(pages.select(host_of(F.col(url_col)).alias("host"), text_of(F.col(html_col)).alias("html")),
-                      per_slice, "host string, node bigint, page bigint, block bigint, sequence bigint, children int, named int")
+    return map_slices(pages.select(host_of(F.col(url_col)).alias("host"), text_of(F.col(html_col)).alias("html")), per_slice,
+                      "host string, node bigint, page bigint, block bigint, sequence bigint, children int, named int, "
+                      "letters bigint, links bigint")
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
@@ -360,8 +402,10 @@ def style_tree(rows: DataFrame) -> DataFrame:
     # A page that is an exact copy of another counts once.
     seen = stored(rows.distinct(), "style-rows")
     m = F.greatest(F.col("pages"), F.lit(2)).cast("double")
-    pages = (seen.groupBy("host", "node", "page").agg(F.max("named").alias("named"))
-             .groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"), F.max("named").alias("named")))
+    pages = (seen.groupBy("host", "node", "page").agg(
+                F.max("named").alias("named"), F.sum("letters").alias("letters"), F.sum("links").alias("links"))
+             .groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"), F.max("named").alias("named"),
+                                          F.sum("letters").alias("letters"), F.sum("links").alias("links")))
     blocks = (
         seen.where("block is not null").groupBy("host", "node", "block").agg(F.count(F.lit(1)).alias("k"))
         .groupBy("host", "node").agg(F.sum("k").alias("shows"), F.sum(F.col("k") * F.log("k")).alias("spread"))
@@ -375,22 +419,21 @@ def style_tree(rows: DataFrame) -> DataFrame:
     content = 1 - F.coalesce(F.col("spread") / F.col("shows"), F.log("pages")) / F.log(m)
     presentation = F.coalesce((F.log("looked") - F.col("alike") / F.col("looked")) / F.log(m), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.coalesce(F.col("kids") / F.col("looked"), F.lit(0.0)))
-    return joined.select("host", "node", "pages", "named",
-                         ((1 - weight) * F.least(presentation, F.lit(1.0)) + weight * content).alias("importance"))
+    outside_links = 1 - F.when(F.col("letters") > 0, F.col("links") / F.col("letters")).otherwise(F.lit(0.0))
+    return joined.select("host", "node", "pages", "named", (outside_links * (
+        (1 - weight) * F.least(presentation, F.lit(1.0)) + weight * content)).alias("importance"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               least: float = LEAST, min_pages: int = MIN_PAGES, named_least: float = NAMED_LEAST) -> DataFrame:
+               least: float = LEAST, named_least: float = NAMED_LEAST, caution: float = CAUTION) -> DataFrame:
     """One row per page: id, url, text."""
-    # Sure names go with or without the tree, so it judges the others.
-    judged = style_tree(style_rows(pages, url_col, html_col)).where((F.col("pages") >= min_pages) & (F.col("named") < SURE))
-    named = F.col("named") == HINT
-    judged = judged.select("host", "node", named.alias("named"),
-                           (F.col("importance") < F.when(named, named_least).otherwise(least)).alias("low"))
-    judged = stored(judged.where("low != named"), "style-nodes")
+    tree = style_tree(style_rows(pages, url_col, html_col))
+    low = F.col("importance") + 1 / F.col("pages") < F.when(F.col("named") > 0, named_least).otherwise(least)
+    sure = (F.col("named") == HINT) & (F.col("importance") - caution / F.col("pages") >= named_least)
+    judged = stored(tree.select("host", "node", low.alias("low"), sure.alias("sure")).where("low or sure"), "style-nodes")
     of_host = judged.groupBy(F.col("host").alias("_host")).agg(
         F.collect_set(F.when(F.col("low"), F.col("node"))).alias("_removed"),
-        F.collect_set(F.when(~F.col("low"), F.col("node"))).alias("_kept"))
+        F.collect_set(F.when(F.col("sure"), F.col("node"))).alias("_kept"))
     rows = pages.select(F.col(id_col), F.col(url_col), text_of(F.col(html_col)).alias("html"))
     nodes = judged.count()
     if nodes:
