@@ -17,7 +17,8 @@ from pyspark.sql import SparkSession
 
 from lotwise.operators import dedupe
 from lotwise.plans import jobs
-from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, FILE_STEM, SOURCE_B, SOURCES
+from lotwise.operators.sites import SITES
+from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, FILE_STEM, SOURCES
 from lotwise.session import apply_conf, ship_package
 from lotwise.sources.pages import read_pages
 
@@ -82,7 +83,7 @@ def main(argv=None) -> None:
             pages = read_pages(a.pages, spark, sources=[src], max_page=a.max_pages)
             rows, _, errors = jobs.source_rows(pages, run_ts=run_ts)
             quarantined[src] = errors.count()
-            return rows if src == SOURCE_B else dedupe.dedupe_keep_blank(rows, jobs.ORDER)
+            return dedupe.dedupe_keep_blank(rows, jobs.ORDER) if SITES[src].dedupes else rows
 
         per_source = {src: partial(rows_of, src) for src in a.sites}
         run = jobs.job_combined(per_source, jobs.ORDER, dict(price_max=a.price_max, mileage_max=a.miles_max),

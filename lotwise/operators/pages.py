@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.scalars import py_strip
 from lotwise.operators.extract import bot_check, partial_banner  # noqa: F401  (re-exported)
 from lotwise.plans.sizing import broadcast_if_small, materialised
-from lotwise.schema import SOURCE_A
+from lotwise.operators.sites import SITES, names
 
 # Crawls per broadcast of the first-stop table (one small row per crawl).
 MAX_BROADCAST_CRAWLS = 2_000_000
@@ -28,25 +28,29 @@ def ok(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status") == 200)
 
 
-def is_stop(source="source", status="status", n_rows="n_rows", partial="partial", error: str | None = None) -> Column:
+def _banner(source: str, partial: str, sites) -> Column:
+    """The out-of-area banner on a page of a source where it ends a crawl."""
+    return F.col(source).isin(*names(sites, banner_stops=True)) & F.coalesce(F.col(partial), F.lit(False))
+
+
+def is_stop(source="source", status="status", n_rows="n_rows", partial="partial", error: str | None = None, sites=SITES) -> Column:
     """A page that ends its crawl: fetch failed or not 200, no listings, or
-    (source A only) the out-of-area banner.  A page whose parsing failed
+    (where the source's banner stops) the out-of-area banner.  A page whose parsing failed
     (``error`` set) is quarantined and ends nothing: what it holds is unknown."""
     st = F.col(status)
     none = F.coalesce(F.col(n_rows), F.lit(0)) == 0
     if error is not None:
         none = none & F.col(error).isNull()
-    return (st.isNull() | (st != 200) | none
-            | ((F.col(source) == SOURCE_A) & F.coalesce(F.col(partial), F.lit(False))))
+    return st.isNull() | (st != 200) | none | _banner(source, partial, sites)
 
 
-def stop_reason(source="source", status="status", n_rows="n_rows", partial="partial") -> Column:
+def stop_reason(source="source", status="status", n_rows="n_rows", partial="partial", sites=SITES) -> Column:
     """Why a page stops its crawl (NULL if it does not)."""
     st = F.col(status)
     return (F.when(st.isNull(), F.lit("failed to fetch"))
-            .when((st != 200) & (F.col(source) == SOURCE_A), F.lit("failed to fetch"))
+            .when((st != 200) & F.col(source).isin(*names(sites, banner_stops=True)), F.lit("failed to fetch"))
             .when(st != 200, F.concat(F.lit("HTTP "), st.cast("string")))
-            .when((F.col(source) == SOURCE_A) & F.coalesce(F.col(partial), F.lit(False)), F.lit("partial matches"))
+            .when(_banner(source, partial, sites), F.lit("partial matches"))
             .when(F.coalesce(F.col(n_rows), F.lit(0)) == 0, F.lit("no results")))
 
 

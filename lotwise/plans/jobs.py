@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import dedupe, extract as X, filters, pages as PG, shape, stats
 from lotwise.plans.sizing import broadcast_if_small, materialised, staged
-from lotwise.schema import (COMBINED_LIMITS, COMBINED_RANK, DEFAULT_CRITERIA, FILE_STEM, LISTING, LISTING_COLS, SOURCE_B,
-                            SOURCE_C)
+from lotwise.operators.sites import SITES, Site
+from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, LISTING, LISTING_COLS
 from lotwise.sinks import writers as W
 from lotwise.sources.files import FILE_ORDER, as_listings, read_listing_csv
 
@@ -34,25 +34,30 @@ class SourceRun:
     csv_path: str | None
 
 
-def category_rank():
-    return F.when(F.col("category") == "cta", F.lit(1)).otherwise(F.lit(0))
+def category_rank(sites: dict[str, Site] = SITES):
+    """The place of a page's category among its source's."""
+    out = F.lit(0)
+    for name, site in sites.items():
+        for i, category in enumerate(site.categories):
+            out = F.when((F.col("source") == name) & (F.col("category") == category), F.lit(i)).otherwise(out)
+    return out
 
 
 def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool = False, gap_is_stop: bool = False,
-                run_ts: str | None = None):
+                run_ts: str | None = None, sites: dict[str, Site] = SITES):
     """Pages -> (extracted rows up to each crawl's first stop, stops, errors
     [, per-page progress]).  With ``gap_is_stop`` a missing page number also
     ends its crawl (reason 'missing page').  If the pages carry ``fetch_no``, a page that
     was fetched again (after a bot check, say) counts once, with its best version, before
     any stop is looked for."""
-    ext = X.extract(pages, run_ts)
+    ext = X.extract(pages, run_ts, sites)
     if checkpoint:
         ext = materialised(ext)
     heads = X.page_heads(ext)
     if "fetch_no" in pages.columns:  # of a page fetched again, the better version counts
         gone, _ = broadcast_if_small(PG.superseded(heads, [*CRAWL, "page_no"]), PG.MAX_BROADCAST_CRAWLS)
         ext, heads = PG.without(ext, gone), PG.without(heads, gone)
-    stop, reason = PG.is_stop(error="error"), PG.stop_reason()
+    stop, reason = PG.is_stop(error="error", sites=sites), PG.stop_reason(sites=sites)
     if gap_is_stop:
         gaps = PG.gap_pages(heads, CRAWL).withColumn("_gap", F.lit(True))
         heads = heads.join(gaps, [*CRAWL, "page_no"], "left")
@@ -60,13 +65,13 @@ def source_rows(pages: DataFrame, checkpoint: bool = True, with_progress: bool =
         stop, reason = stop | gap, F.when(gap, F.lit("missing page")).otherwise(reason)
     stops = PG.first_stops(heads, CRAWL, ["page_no"], stop, reason)
     rows = PG.prefix(X.listings(ext), stops, CRAWL, ["page_no"])
-    rows = rows.withColumn("category_rank", category_rank())
+    rows = rows.withColumn("category_rank", category_rank(sites))
     if not with_progress:
         return rows, stops, X.errors(ext)
     # Parsed pages (before each stop) with their row counts; the running total
     # runs on across the categories and crawls of a source, in reading order.
     parsed = PG.prefix(heads.filter(F.col("n_rows") > 0), stops, CRAWL, ["page_no"]).withColumn(
-        "category_rank", category_rank())
+        "category_rank", category_rank(sites))
     progress = PG.running_total(parsed.select("source", "category", "category_rank", "crawl_id", "page_no", "n_rows"),
                                 ["source"], ["category_rank", "crawl_id", "page_no"], "n_rows", "cumulative",
                                 chunk="range")
@@ -77,21 +82,22 @@ ORDER = ["category_rank", "crawl_id", "page_no", "pos"]
 
 
 def job_source(pages: DataFrame, source: str, criteria: dict | None = None, out_dir: str | None = None,
-               approx: bool = False, gap_is_stop: bool = False, run_ts: str | None = None) -> SourceRun:
-    """One source: pages -> rows -> de-dupe -> stats -> filter -> stats -> CSV."""
+               approx: bool = False, gap_is_stop: bool = False, run_ts: str | None = None,
+               sites: dict[str, Site] = SITES) -> SourceRun:
+    """One source of ``sites``: pages -> rows -> de-dupe -> stats -> filter -> stats -> CSV."""
+    site = sites[source]
     c = dict(DEFAULT_CRITERIA, **(criteria or {}))
     p = pages.filter(F.col("source") == source)
-    rows, stops, errs, progress = source_rows(p, with_progress=True, gap_is_stop=gap_is_stop, run_ts=run_ts)
-    deduped = rows if source == SOURCE_B else materialised(dedupe.dedupe_keep_blank(rows, ORDER))  # one source per run
-    passes = filters.passes(c["price_max"], None if source == SOURCE_C else c["mileage_max"], c["year_min"])
-    fields = ["title", "location"] if source == SOURCE_C else ["dealer", "location"]
-    summary = stats.raw_vs_filtered(deduped, passes, by=["source"], fields=fields, approx=approx)
+    rows, stops, errs, progress = source_rows(p, with_progress=True, gap_is_stop=gap_is_stop, run_ts=run_ts, sites=sites)
+    deduped = materialised(dedupe.dedupe_keep_blank(rows, ORDER)) if site.dedupes else rows  # one source per run
+    passes = filters.passes(c["price_max"], c["mileage_max"] if site.limits_mileage else None, c["year_min"])
+    summary = stats.raw_vs_filtered(deduped, passes, by=["source"], fields=list(site.reported), approx=approx)
     counts = dedupe.dedupe_counts(rows, by=["source"])
     summary = counts.join(summary, "source", "right")
     kept = deduped.filter(passes)
     path = None
     if out_dir:
-        path = f"{out_dir.rstrip('/')}/{FILE_STEM[source]}_results.csv"
+        path = f"{out_dir.rstrip('/')}/{site.file_stem}_results.csv"
         W.write_csv(kept, path, order=ORDER)
     return SourceRun(kept, summary, stops, errs, progress, path)
 
@@ -147,7 +153,7 @@ def _staged_sources(per_source, sources, stamp: str) -> tuple[DataFrame, int, di
 
 def job_combined(per_source: DataFrame | dict[str, DataFrame | Callable[[], DataFrame]], order: list[str],
                  limits: dict | None = None, out_dir: str | None = None, run_ts: str | None = None, sources=None,
-                 write_parquet: bool = True) -> CombinedRun:
+                 write_parquet: bool = True, sites: dict[str, Site] = SITES) -> CombinedRun:
     """All sources: per-source outputs, union, de-dupe (first by source rank
     then reading order), limits, sort by price and mileage, snapshot, counts.
     De-dupe comes before the limits, as in the combined run.
@@ -168,7 +174,7 @@ def job_combined(per_source: DataFrame | dict[str, DataFrame | Callable[[], Data
         if write_parquet:
             W.write_per_source(union, f"{out_dir}/by_source_parquet", fmt="parquet")
     keyed = ["source_rank", *[c for c in order if c in union.columns]]
-    ranked = union.withColumn("source_rank", source_rank(COMBINED_RANK))
+    ranked = union.withColumn("source_rank", source_rank({n: s.rank for n, s in sites.items()}))
     combined = filters.limits(dedupe.dedupe_collapse(ranked, keyed), lim["price_max"], lim["mileage_max"])
     ordered = shape.sort_price_miles(combined, keyed)
     snap = None

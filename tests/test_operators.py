@@ -198,6 +198,35 @@ def test_a_page_fetched_again_takes_its_place(spark):
     assert [r.page_no for r in rows.collect()] == [1] and stops.first().stop_at.page_no == 2
 
 
+def test_a_further_source_is_an_entry_more(spark, scratch):
+    """A made-up source with cards and embedded JSON of its own, next to the given ones."""
+    from lotwise.operators.htmldom import attr, cls, tag
+    from lotwise.operators.sites import SITES, Site
+
+    barn = Site({"card": [cls("lot")], "link": [tag("a")], "title": [tag("h3")], "price": [attr("data-p")], "location": [tag("em")]},
+                "https://barn.example", rank=-1, file_stem="barn", structured="embedded", bare_place=True, banner_stops=True,
+                limits_mileage=False, reported=("location",), categories=("old", "new"))
+    sites = {**SITES, "barn": barn}
+    lot = '<div class="lot"><a href="/l/1?x">go</a><h3>2010 Cart</h3><b data-p>$1,200</b><em>(Hill)</em></div>'
+    pages = [("barn", "new", 1, 1, "u", 200, "2024-01-01T00:00:00", P.page(lot + lot)),
+             ("barn", "old", 1, 1, "u", 200, "2024-01-02T00:00:00", P.script('{"l":[{"title":"2012 Plough","price":900,"mileage":999999,"link":"/l/2"}]}')),
+             ("barn", "old", 1, 2, "u", 200, None, P.BANNER), ("barn", "old", 1, 3, "u", 200, None, P.page(lot)),
+             ("cars.com", "", 1, 1, "u", 200, "2024-01-03T00:00:00", P.A_VAN)]
+    df = spark.createDataFrame(pages, PAGES)
+    run = J.job_source(df, "barn", out_dir=scratch, sites=sites)
+    rows = run.rows.orderBy("category_rank").collect()
+    assert [(r.category, r.title, r.price, r.location, r.url) for r in rows] == [
+        ("old", "2012 Plough", 900, None, "https://barn.example/l/2"), ("new", "2010 Cart", 1200, "Hill", "https://barn.example/l/1")]
+    assert os.path.isdir(f"{scratch}/barn_results.csv") and run.summary.first().missing_location == 1
+    assert [r.stop_reason for r in run.crawls.collect()] == ["partial matches"]
+    per = {s: J.source_rows(df.where(f"source = '{s}'"), sites=sites)[0] for s in ("barn", "cars.com")}
+    both = J.job_combined(per, J.ORDER, dict(price_max=10**6, mileage_max=10**7), sites=sites)
+    assert {r.source: r.listings for r in both.counts.collect()} == {"barn": 2, "cars.com": 1}
+    assert J.job_source(df, "cars.com", sites=sites).rows.count() == 0  # SITES is untouched; the van is over the limits
+    with pytest.raises(ValueError):
+        Site({"card": []}, "", 0, "x")
+
+
 def test_combined_without_rows_or_with_a_failing_source(spark, scratch):
     one = listing_df(spark, [(0, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?utm_source=a&k=1#z", "s"),
                              (1, "cars.com", "2010 X", 100, 5, "d", "l", "http://x/?k=1&utm_medium=b", "s")])
