@@ -14,7 +14,7 @@ FAST = ["fn_url_untrack", "fn_fmt_duration", "ded_url_keep_blank", "mrg_order",
 
 def test_registry_complete():
     q, o = E.queries(), E.oracle_sql()
-    assert len(E.catalog.QUERIES) == 66 and set(E.catalog.QUERIES) <= set(q) and set(o) <= set(q)
+    assert len(E.catalog.QUERIES) == 67 and set(E.catalog.QUERIES) <= set(q) and set(o) <= set(q)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
