@@ -8,9 +8,11 @@ smaller one).  Documents are joined on those shingles, and a pair must pass
 
 * the length filter: the smaller set has at least ``percent`` % of the larger;
 * the positional filter: what the places of the shared shingle leave is enough;
-* the suffix filter: both sets are partitioned alike by hash into ``PARTS`` parts,
-  and the sum of differences in size bounds the number of unshared shingles; pairs
-  left after the join pass the same filter with ``FINE_PARTS`` parts;
+* the suffix filter: both sets are partitioned alike by hash into ``PARTS`` parts.  A
+  part whose sizes are odd in one set and even in the other holds an unshared shingle, so
+  the number of such parts bounds the unshared shingles; an entry carries one bit a part.
+  Near copies that do not link share most prefixes, and nearly all of their pairs end here,
+  in the join.  Pairs left after it pass the filter by the differences in size themselves;
 
 before the sets themselves are compared, once per pair.
 
@@ -50,7 +52,8 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import hot_keys, join_hot, map_slices, slices, small_batches, stored, table, text_of
 from lotwise.llm.components import components
 
-PARTS, FINE_PARTS = 64, 512
+#: A multiple of 64.
+PARTS = 512
 PER_COUNTER = 32
 LEAST_BITS, MOST_BITS = 12, 26
 CHUNK_BITS = 16
@@ -211,34 +214,34 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
 # --- second reading: prefixes ---------------------------------------------------
 
 def _prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, bits: int) -> DataFrame:
-    """_id, n, parts and fine (sizes of the parts of the set, coarse and fine, at
-    most 255 each) and prefix (the rarest shingles in order)."""
+    """_id, n, odd (whether the sizes of the parts of the set are odd, 64 to a number), fine (those
+    sizes, at most 255 each) and prefix (the rarest shingles in order)."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def per_slice(ids, texts):
-        sizes, parts, fine, prefixes = [], [], [], []
+        sizes, odd, fine, prefixes = [], [], [], []
         for t in texts:
             s = shingles(t, n)
             sizes.append(len(s))
-            held = np.bincount((s & np.uint64(FINE_PARTS - 1)).astype(np.int64), minlength=FINE_PARTS)
+            held = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
             fine.append(np.minimum(held, 255).astype(np.int16))
-            parts.append(np.minimum(held.reshape(-1, PARTS).sum(0), 255).astype(np.int16))
+            odd.append(np.packbits((held & 1).astype(np.uint8)).view(np.int64))
             if len(s):
                 order = np.argsort(sent.value[s >> np.uint64(64 - bits)], kind="stable")  # ties by hash
                 prefixes.append(s[order[:probe_length(len(s), percent)]].view(np.int64))
             else:
                 prefixes.append([])
-        return ids, sizes, parts, fine, prefixes
+        return ids, sizes, odd, fine, prefixes
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    return map_slices(docs, per_slice, f"_id {id_type}, n bigint, parts array<smallint>, fine array<smallint>, prefix array<bigint>")
+    return map_slices(docs, per_slice, f"_id {id_type}, n bigint, odd array<bigint>, fine array<smallint>, prefix array<bigint>")
 
 
 def _entries(shared: DataFrame) -> DataFrame:
     """One row per document and shared prefix shingle, with up to EARLIER shared
     shingles before it."""
-    return shared.select("id", "n", "parts", F.posexplode("shared").alias("_i", "_s"), "shared").select(
-        F.col("_s.h").alias("h"), "id", "n", F.col("_s.pos").alias("pos"), "parts",
+    return shared.select("id", "n", "odd", F.posexplode("shared").alias("_i", "_s"), "shared").select(
+        F.col("_s.h").alias("h"), "id", "n", F.col("_s.pos").alias("pos"), "odd",
         F.transform(F.slice("shared", F.greatest(F.lit(1), F.col("_i") - EARLIER + 1), F.least(F.lit(EARLIER), F.col("_i"))),
                     lambda x: x["h"]).alias("earlier"))
 
@@ -253,6 +256,14 @@ def _unshared(x: Column, y: Column) -> Column:
     return F.aggregate(apart, F.lit(0), lambda s, v: s + v)
 
 
+def _oddly_unshared(x: Column, y: Column) -> Column:
+    """The same from the parts of odd size."""
+    out = F.lit(0)
+    for i in range(PARTS // 64):
+        out = out + F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i)))
+    return out
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """The length, positional and suffix filters for x, the smaller or first, and
     y, met at a shared shingle."""
@@ -264,7 +275,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
         (nx * 100 >= ny * percent)
         & (px <= nx - F.ceil((nx * (2 * percent)) / F.lit(100.0 + percent) - 1e-6))
         & (F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1) >= need)
-        & (_unshared(c(x, "parts"), c(y, "parts")) <= total - 2 * need)
+        & (_oddly_unshared(c(x, "odd"), c(y, "odd")) <= total - 2 * need)
     )
 
 
@@ -278,10 +289,11 @@ def _verified(docs: DataFrame, fine: DataFrame, pairs: DataFrame, n: int, percen
               done: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) that link: those that pass the fine suffix filter and were not
     compared before (``done``, to which they are added), their whole sets compared."""
+    pairs = pairs.select("a", "b").distinct()
     for before in done:
         pairs = pairs.join(before, ["a", "b"], "left_anti")
     pairs = (
-        pairs.select("a", "b").distinct()
+        pairs
         .join(fine.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a")
         .join(fine.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
     )
@@ -340,14 +352,14 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
 
     prefixes = _prefixes(docs.where("_id is not null"), n, percent, _sketch(read, bits), bits)
     nodes = prefixes.join(member.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
-    nodes = nodes.select(F.col("_id").alias("id"), F.xxhash64("n", "prefix").alias("d"), "n", "parts", "fine",
+    nodes = nodes.select(F.col("_id").alias("id"), F.xxhash64("n", "prefix").alias("d"), "n", "odd", "fine",
                          "prefix")
     nodes = stored(nodes, "prefixes")
     entries = nodes.select("id", "d", F.posexplode("prefix").alias("pos", "h"))
     buckets = entries.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
     shared = (
         entries.join(buckets, "h").groupBy("id", "d").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("shared"))
-        .join(nodes.select("id", "d", "n", "parts").dropDuplicates(["id", "d"]), ["id", "d"])
+        .join(nodes.select("id", "d", "n", "odd").dropDuplicates(["id", "d"]), ["id", "d"])
     )
     shared = stored(shared, "shared")
 
@@ -407,7 +419,7 @@ def _led(shared: DataFrame, own: DataFrame | None, percent: int, k: int) -> Data
     if own is not None:
         entries = entries.join(_mixed(_slim(shared, own)), "h", "left_semi")
     draw = F.xxhash64("id", "h", F.lit(k))
-    leaders = entries.groupBy("h").agg(F.min_by(F.struct("id", "n", "pos", "parts", "c"), F.struct(draw, "id")).alias("l"))
+    leaders = entries.groupBy("h").agg(F.min_by(F.struct("id", "n", "pos", "odd", "c"), F.struct(draw, "id")).alias("l"))
     leaders = leaders.select(F.col("h").alias("lh"), "l.*")
     x, y = entries.alias("x"), leaders.alias("y")
     met = F.when(_first("x", "y"), _may_link("x", "y", percent)).otherwise(_may_link("y", "x", percent))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,20 @@ def test_hot_sets_and_ids(spark, monkeypatch):
     sets = spark.createDataFrame(rows, SCHEMA).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     assert {r.text for r in common.hot_keys(sets, "n").collect()} == {"one and the same text here", ""}
     check(spark, rows)
+
+
+def test_near_copies_that_do_not_link_end_in_the_join(spark):
+    """Two sets of 196 shingles that share 166 need 175: the bits of their parts tell, in one
+    expression, and never tell of more than the 60 unshared ones."""
+    words = [f"w{i}" for i in range(200)]
+    one, two = list(words), list(words)
+    for i in range(3):
+        one[20 + 50 * i] = f"one{i}"
+        two[40 + 50 * i] = f"two{i}"
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(words))], "_id bigint, _text string")
+    nodes = J._prefixes(docs, 5, 80, np.zeros(1 << 12, np.uint8), 12)
+    x, y = nodes.alias("x"), nodes.alias("y")
+    got = x.join(y, F.col("x._id") < F.col("y._id")).select(
+        F.col("x._id").alias("a"), F.col("y._id").alias("b"), J._oddly_unshared(F.col("x.odd"), F.col("y.odd")).alias("d"))
+    d = {(r.a, r.b): r.d for r in got.collect()}
+    assert 42 < d[1, 2] <= 60 and d[1, 3] <= 30 and d[2, 3] <= 30
