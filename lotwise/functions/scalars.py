@@ -35,10 +35,8 @@ def clean_number(text) -> Column:
     A value past a long becomes the largest long, which no limit accepts
     (NULL would pass every limit).
     """
-    def number(digits):
-        return F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(LONG_MAX)))
-
-    return let(F.regexp_replace(_c(text), "[^0-9]", ""), number)
+    digits = F.regexp_replace(_c(text), "[^0-9]+", "")
+    return F.coalesce(digits.try_cast("bigint"), F.when(digits != "", F.lit(LONG_MAX)))
 
 
 def py_strip(x, chars: str | None = None) -> Column:
