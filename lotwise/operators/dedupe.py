@@ -25,33 +25,35 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def first_per_key(df: DataFrame, key: Column | str, order: Sequence[str | Column], keep_all: Column | None = None) -> DataFrame:
-    """Keep, per key, the row that comes first in ``order`` (all columns kept).  Rows
-    where ``keep_all`` is true all stay; they go through the same shuffle, each under a
-    key of its own, so the input is computed once."""
-    k = F.col(key) if isinstance(key, str) else key
-    if keep_all is None:
-        keyed = df.select("*", k.alias("_k"), F.lit(0).cast("bigint").alias("_solo"))
-    else:
-        keyed = df.select("*", F.when(~keep_all, k).alias("_k"),
-                          F.when(keep_all, F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("_solo"))
-    keyed = keyed.withColumn("_h", F.xxhash64("_k", "_solo"))
-    first = Window.partitionBy("_h", "_k", "_solo").orderBy(*_cols(order))
-    return keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first row per ``keys``, which begin with a hash of the others.  They should be
+    columns that the rows have anyway, so that no text goes through the shuffle twice."""
+    first = Window.partitionBy(*keys).orderBy(*_cols(order))
+    return df.withColumn("_n", F.row_number().over(first)).where("_n = 1")
 
 
 def dedupe_keep_blank(df: DataFrame, order: Sequence[str | Column], url: str = "url",
                       scope: Sequence[str] = (), keep_all: Column | None = None) -> DataFrame:
     """First row per URL (within ``scope`` columns, e.g. per source); every
     row with a blank URL is kept, and so is every row where ``keep_all`` is
-    true (a source that does not de-duplicate)."""
+    true (a source that does not de-duplicate).  They go through the same shuffle, each under
+    a number of its own, so the input is computed once."""
     solo = is_empty(url) if keep_all is None else (is_empty(url) | F.coalesce(keep_all, F.lit(False)))
-    return first_per_key(df, F.struct(*[F.col(c) for c in scope], F.col(url).alias("_u")), order, solo)
+    keyed = df.withColumn("_solo", F.when(solo, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("bigint")))
+    if keep_all is None:
+        names = [*scope, url]
+    else:  # the URLs of rows that all stay need not be sent, unless they are asked for
+        keyed = keyed.withColumn("_k", F.when(~solo, F.struct(*[F.col(c) for c in scope], F.col(url).alias("_u"))))
+        names = ["_k"]
+    return _first(keyed.withColumn("_h", F.xxhash64(*names, "_solo")), ["_h", "_solo", *names], order).select(*df.columns)
 
 
 def dedupe_collapse(df: DataFrame, order: Sequence[str | Column], url: str = "url") -> DataFrame:
-    """First row per URL; all blank URLs (NULL or '') count as one URL."""
-    return first_per_key(df, F.nullif(F.col(url), F.lit("")), order)
+    """First row per URL; all blank URLs (NULL or '') count as one URL.  A blank URL goes
+    through the shuffle as NULL, with a mark if it was ''.  (``order`` names other columns.)"""
+    keyed = df.withColumn("_empty", F.col(url) == "").withColumn(url, F.nullif(F.col(url), F.lit("")))
+    first = _first(keyed.withColumn("_h", F.xxhash64(url)), ["_h", url], order)
+    return first.withColumn(url, F.when(F.col("_empty"), F.lit("")).otherwise(F.col(url))).select(*df.columns)
 
 
 def dedupe_counts(df: DataFrame, url: str = "url", by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.plans.sizing import materialised
+from lotwise.plans.sizing import staged
 from lotwise.schema import LISTING
 
 
@@ -21,7 +21,7 @@ def sort_price_miles(df: DataFrame, tie: Sequence[str | Column] = ()) -> DataFra
 def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
     """Number the rows of a sorted table from 1 in its order: the place within
     the sort's partition plus the sizes of the partitions before it."""
-    rows = materialised(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    rows, _ = staged(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "positions")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -493,3 +493,25 @@ def test_stats_approx_option(spark):
     approx = stats.summary(listing_df(spark, rows), approx=True).first()
     assert (exact.price_min, exact.price_median, exact.price_avg) == (1, 6, 6)
     assert approx.price_min == 1 and approx.price_median in (5, 7) and approx.price_avg == 6
+
+
+def test_dedupe_sends_no_url_twice(spark):
+    """Both de-dupes take their first rows by columns that the rows have, and a hash."""
+    rows = [(1, "a", "u"), (2, "a", "u"), (3, "a", ""), (4, "b", None), (5, "b", "u"), (6, "a", "")]
+    df = spark.createDataFrame(rows, "n int, source string, url string")
+    by_source = dedupe.dedupe_keep_blank(df, ["n"], scope=["source"])
+    assert sorted(by_source.collect()) == [rows[i] for i in (0, 2, 3, 4, 5)]
+    every_b = dedupe.dedupe_keep_blank(df, ["n"], keep_all=F.col("source") == "b")
+    assert sorted(every_b.collect()) == [rows[i] for i in (0, 2, 3, 4, 5)]
+    assert sorted(dedupe.dedupe_collapse(df, ["n"]).collect()) == [rows[0], rows[2]]
+    assert [r.url for r in dedupe.dedupe_collapse(df.where("n > 3"), ["n"]).orderBy("n").collect()] == [None, "u"]
+    for out in (by_source, dedupe.dedupe_collapse(df, ["n"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "struct(" not in plan and " AS _k" not in plan
+
+
+def test_positions_are_kept_in_columns(spark):
+    """The sorted rows are staged as Parquet, not as a checkpoint of whole rows."""
+    df = shape.with_position(spark.createDataFrame([(3,), (1,), (2,)], "n int").orderBy("n"))
+    assert [tuple(r) for r in df.orderBy("n").collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
