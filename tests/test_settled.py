@@ -94,3 +94,43 @@ def test_digits_of_a_text(spark):
     from lotwise.functions import scalars as fn
     got = [r[0] for r in df.orderBy("i").select(fn.clean_number(F.col("t"))).collect()]
     assert got == [123450, None, None, None, fn.LONG_MAX, fn.LONG_MAX, 12, 2]
+
+
+@pytest.mark.parametrize("source,html", [
+    ("cars.com", P.A_VAN), ("cars.com", P.A_TWO), ("cargurus", P.B_CARDS), ("craigslist", P.C_ROWS),
+    ("cars.com", '<div class="vehicle-card"><p class="mileage">1<div class="vehicle-card"><h2>a <b>b</b> </i>c<br>d</h2></div>'
+                 '<h2><title>e</title>f <!-- x -->g</h2></div></div><a href="/vehicledetail/1">h</a>'),
+    ("craigslist", '<ul><li class="result-row"><span class="price">$1<li class="result-row"><span class="nearby"> (n)'
+                   '<script>s</script>m</span></ul>'),
+    ("cars.com", '<div class="vehicle-card"><template><h2>t</h2></template><h2>u</h2><style class="mileage">7</style></div>'),
+    ("cars.com", '<div class="vehicle-card"><h2>a &amp; b</h2></div>'), ("cargurus", '<div data-listingid="1"><a href="/x">y')])
+def test_cards_are_those_of_the_tree(source, html):
+    site = SITES[source]
+    assert X.page_cards(html, site, None) == X.card_rows(H.parse(html), site, None)
+
+
+def test_plain_cards_need_no_tree(monkeypatch):
+    def no_tree(_):
+        raise AssertionError("a tree was built")
+
+    monkeypatch.setattr(X, "parse", no_tree)
+    html = '<ul><li class="result-row"><a class="hdrlnk" href="/b?c">t <b>u</b></a><span class="price">$1,2</span></li></ul>'
+    assert X.held("craigslist", html, None, SITES)["rows"] == [
+        X._row("tu", 12, None, None, None, "https://philadelphia.craigslist.org/b")]
+
+
+def test_a_reader_keeps_few_tags():
+    reader = H.CardReader(H.RuleTable({"card": [H.tag("li")]}), H.RuleTable({"link": [H.tag("a")]}))
+    html = "".join(f'<li><a href="/{i}">t</a></li>' for i in range(H.KEPT_TAGS + 10)) + f'<li class="{"x" * 500}">'
+    assert len(reader.read(html)) == H.KEPT_TAGS + 11 and len(reader.known) <= H.KEPT_TAGS
+    assert all(len(k) <= H.KEPT_CHARS for k in reader.known)
+
+
+def test_pages_say_the_same_in_python(spark):
+    texts = ["", "Are You a Human?", "CAPTCHA İ", "attention reKuired", "checKing your browser", "x", None,
+             "We Found Partial Matches", "partial matches", "partial matches OUTSIDE your search area", "Σ access denied"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, html string").orderBy("i")
+    assert [tuple(r) for r in df.select(X.bot_check("html"), X.partial_banner("html")).collect()] == [X.says(t) for t in texts]
+    rows = [("cargurus", "", i, 1, "u", 503 if i % 2 else 200, None, t) for i, t in enumerate(texts)]
+    heads = X.page_heads(X.extract(spark.createDataFrame(rows, PAGES))).orderBy("crawl_id").select("bot_check", "partial")
+    assert [tuple(r) for r in heads.collect()] == [X.says(t) for t in texts]
