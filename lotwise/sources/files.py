@@ -56,8 +56,9 @@ def _inside_after(line: Column, inside: bool) -> Column:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame | None:
-    """The lines of the files with their place: file, block, i (in order within a block),
-    opens (a record that begins with the line goes on after it)."""
+    """The lines of the files with their place: file (its path as Spark reports it, see
+    ``_file_name``), block, i (in order within a block), opens (a record that begins with the
+    line goes on after it)."""
     if not paths:
         return None
     try:
@@ -66,12 +67,16 @@ def _lines(spark: SparkSession, paths) -> DataFrame | None:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    path = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    file = F.regexp_replace(F.url_decode(path), "^file:///", "file:/")
-    return lines.select(F.col("value").alias("line"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                        F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("i"), _inside_after(F.col("value"), False).alias("opens"))
 
 
+def _file_name(path: Column) -> Column:
+    """The decoded form of a reported path; for one row a file, not one a line."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+
+
 def _stitched(lines: DataFrame) -> DataFrame:
     """Lines of files in which records span lines -> their records.
 
@@ -143,11 +148,15 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
     lines = _lines(spark, paths)
     if lines is None:
         return spark.createDataFrame([], BOUND)
-    if exclude:
-        left_out = _plain(_qualified(spark, exclude))
-        lines = lines.where((F.col("file") != left_out) & ~F.startswith("file", F.lit(left_out + "/")))
     shown = F.when(F.trim("line") != "", F.struct("block", "i", "line"))
-    files = staged(lines.groupBy("file").agg(F.min(shown).alias("first"), F.max("opens").alias("spans")), "csv-files")[0]
+    # The set of marks (two at most) lets Spark aggregate by hashing: without it, the least
+    # line, which is a text, makes it sort all lines by file.
+    spans = F.array_contains(F.collect_set("opens"), F.lit(True))
+    files = staged(lines.groupBy("file").agg(F.min(shown).alias("first"), spans.alias("spans")), "csv-files")[0]
+    files = files.withColumn("name", _file_name(F.col("file")))
+    if exclude:  # lines of other files than these meet no layout below
+        left_out = _plain(_qualified(spark, exclude))
+        files = files.where((F.col("name") != left_out) & ~F.startswith("name", F.lit(left_out + "/")))
     # A header that goes on over several lines is one of the stitched records.
     spanning = files.where("spans").select("file")
     whole = lines.select("file", "block", "i", "line")
@@ -156,16 +165,20 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
         stitched = staged(_stitched(lines.join(sent, "file", "left_semi")), "csv-records")[0]
         whole = whole.join(sent, "file", "left_anti").unionByName(stitched)
         long = stitched.where(F.trim("line") != "").groupBy("file").agg(F.min(F.struct("block", "i", "line")).alias("first"))
-        files = files.where("not spans").select("file", "first").unionByName(long)
+        files = files.where("not spans").select("file", "name", "first").unionByName(
+            long.join(files.select("file", "name"), "file"))
     names = header_names(F.col("first.line"))
-    widths = files.where("first is not null").select("file", "first", names.alias("names"))
+    widths = files.where("first is not null").select("file", "name", "first", names.alias("names"))
     width = widths.agg(F.max(F.size("names"))).first()[0]
     if not width:
         return spark.createDataFrame([], BOUND)
     at = F.struct(*[(F.size("names") - F.coalesce(F.array_position(F.reverse(F.col("names")), F.lit(c)), F.lit(0)).cast("int") + 1)
                     .alias(c) for c in LISTING_COLS])
+    part = F.regexp_extract("name", "/part-([0-9]{1,18})[^/]*$", 1).try_cast("bigint")
+    folder = F.when(part.isNotNull(), F.regexp_replace("name", "/[^/]*$", "")).otherwise(F.col("name"))
     binding, _ = broadcast_if_small(widths.select(
-        "file", F.struct("first.block", "first.i").alias("_head"), F.size("names").alias("_size"), at.alias("_at")), MAX_BROADCAST_FILES)
+        "file", "name", folder.alias("_folder"), F.coalesce(part, F.lit(-1)).alias("_part"),
+        F.struct("first.block", "first.i").alias("_head"), F.size("names").alias("_size"), at.alias("_at")), MAX_BROADCAST_FILES)
     rows = whole.where(F.trim("line") != "").join(binding, "file").where(F.struct("block", "i") != F.col("_head"))
     rows = rows.withColumn("_fields", _fields(F.col("line"), width))
 
@@ -173,11 +186,8 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
         place = F.col(f"_at.{c}")
         return F.when(place <= F.col("_size"), F.get("_fields", place - 1)).alias(c)
 
-    part = F.regexp_extract("file", "/part-([0-9]{1,18})[^/]*$", 1).try_cast("bigint")
-    folder = F.when(part.isNotNull(), F.regexp_replace("file", "/[^/]*$", "")).otherwise(F.col("file"))
-    pos = F.struct(folder.alias("folder"), F.coalesce(part, F.lit(-1)).alias("part"), F.col("file").alias("name"),
-                   F.col("block").alias("block"))
-    return rows.select(*[bound(c) for c in LISTING_COLS], "file", pos.alias("file_pos"), F.col("i").alias("row_no"))
+    pos = F.struct(F.col("_folder").alias("folder"), F.col("_part").alias("part"), "name", "block")
+    return rows.select(*[bound(c) for c in LISTING_COLS], F.col("name").alias("file"), pos.alias("file_pos"), F.col("i").alias("row_no"))
 
 
 def header_names(line: Column) -> Column:
