@@ -79,16 +79,19 @@ def merge_first_seen(
     """
     keep = list(keep or df.columns)
     fs_blank = is_empty(first_seen)
-    winner_key = F.struct(fs_blank.alias("b"), F.when(fs_blank, F.lit("")).otherwise(F.col(first_seen)).alias("fs"),
-                          *_cols(pos))
+    # What the key or the group says anyway is not sent again: the URL, and among equal
+    # stamps a stamp that is not blank.
+    ties = [F.when(fs_blank, F.col(c)).alias(c) if c == first_seen else F.col(c) if isinstance(c, str) else c for c in pos]
+    winner_key = F.struct(fs_blank.alias("b"), F.when(fs_blank, F.lit("")).otherwise(F.col(first_seen)).alias("fs"), *ties)
+    sent = [c for c in keep if c != url] or [first_seen]
     return (
         df.filter(~is_empty(url))
         .groupBy(F.xxhash64(url).alias("_h"), F.col(url).alias("_k"))
         .agg(
-            F.min_by(F.struct(*[F.col(c) for c in keep]), winner_key).alias("_r"),
+            F.min_by(F.struct(*[F.col(c) for c in sent]), winner_key).alias("_r"),
             F.min(F.struct(*_cols(pos))).alias("first_pos"),
         )
-        .select("_r.*", "first_pos")
+        .select(*[F.col("_k").alias(url) if c == url else F.col(f"_r.{c}") for c in keep], "first_pos")
     )
 
 
