@@ -23,7 +23,7 @@ from lotwise.schema import COMBINED_RANK, FILE_RANK, FILE_STEM, LISTING, LISTING
 from lotwise.session import scratch_path
 from lotwise.sinks import writers as W
 from lotwise.sources import files as FS
-from lotwise.sources.derived import ORDER, derived_listings, derived_text, read_table
+from lotwise.sources.derived import ORDER, derived_lines, derived_listings, derived_text, read_table
 from lotwise.sources.pages import frontier
 from lotwise.sources.render import render_pages
 
@@ -480,7 +480,7 @@ def q_sch_default(spark, d):
 
 
 def rendered_pages(spark, d) -> DataFrame:
-    return render_pages(derived_text(spark, d))
+    return render_pages(derived_lines(spark, d))
 
 
 def extracted(spark, d) -> DataFrame:
@@ -797,9 +797,9 @@ SELECT e.source, e.category, e.crawl_id, e.page_no,
 FROM expected e LEFT JOIN fst f USING (source, category, crawl_id)
 WHERE f.stop_page IS NULL OR e.page_no < f.stop_page GROUP BY ALL""")
 def q_pg_versions(spark, d):
-    text = derived_text(spark, d)
-    pages = render_pages(text).withColumn("fetch_no", F.lit(1)).unionByName(
-        render_pages(text, second_fetch=True).withColumn("fetch_no", F.lit(2)))
+    lines = derived_lines(spark, d)
+    pages = render_pages(lines).withColumn("fetch_no", F.lit(1)).unionByName(
+        render_pages(lines, second_fetch=True).withColumn("fetch_no", F.lit(2)))
     rows, _, _ = J.source_rows(pages)
     return rows.groupBy("source", "category", "crawl_id", "page_no", "fetch_no").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Of a key that an object repeats the last value counts, as in other JSON readers.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Java compiles no longer method than this; longer ones (the page texts) are interpreted, or cut up by Spark.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -8,7 +8,7 @@ two engines can be compared.  ``seq`` is not unique, so row order is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalars import clean_number, url_strip, utc_stamp
@@ -17,6 +17,9 @@ from lotwise.schema import SOURCE_A, SOURCE_B, SOURCE_C
 # Reading order of derived rows (total on distinct outputs).
 ORDER = ["seq", "l_partkey", "l_suppkey", "first_seen", "l_extendedprice", "l_quantity"]
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "p_name",
+                "p_brand"]
+
 URL_BASE = "https://www.example.com/vehicledetail/"
 
 
@@ -24,20 +27,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def derived_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing rows as text, the way a page shows them (before cleaning)."""
+def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that listing rows are made of, with their source."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
     )
     pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     # No hint: the planner broadcasts `part` only when its measured size is
     # under the threshold, and shuffles both sides on the part key otherwise.
-    j = li.join(pt, li.l_partkey == pt.p_partkey)
     ln = F.col("l_linenumber")
-    return j.select(
-        (F.col("l_orderkey") * 10 + ln).cast("bigint").alias("seq"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        F.when(ln % 3 == 0, F.lit(SOURCE_A)).when(ln % 3 == 1, F.lit(SOURCE_B)).otherwise(F.lit(SOURCE_C)).alias("source"),
+    source = F.when(ln % 3 == 0, F.lit(SOURCE_A)).when(ln % 3 == 1, F.lit(SOURCE_B)).otherwise(F.lit(SOURCE_C))
+    return li.join(pt, li.l_partkey == pt.p_partkey).select(*li.columns, "p_name", "p_brand", source.alias("source"))
+
+
+def line_seq() -> Column:
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+
+
+def text_of(lines: DataFrame) -> DataFrame:
+    """Lines as listing rows in text, the way a page shows them; further columns stay."""
+    ln = F.col("l_linenumber")
+    more = [c for c in lines.columns if c not in (*LINE_COLUMNS, "source")]
+    return lines.select(
+        line_seq().alias("seq"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "source",
         F.concat(F.year("l_shipdate").cast("string"), F.lit(" "), F.col("p_name")).alias("title"),
         F.concat(F.lit("$"), F.format_number(F.floor("l_extendedprice"), 0)).alias("price_text"),
         F.concat(F.floor(F.col("l_quantity") * 4000).cast("string"), F.lit(" mi.")).alias("mileage_text"),
@@ -46,10 +59,15 @@ def derived_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Loc "), F.col("l_suppkey").cast("string"))).alias("location"),
         F.concat(F.lit(URL_BASE), F.col("l_partkey").cast("string"), F.lit("?utm_source=s"), ln.cast("string"),
                  F.lit("#top")).alias("raw_url"),
-        utc_stamp("l_shipdate").alias("first_seen"),
+        utc_stamp("l_shipdate").alias("first_seen"), *more,
     )
 
 
+def derived_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing rows as text, the way a page shows them (before cleaning)."""
+    return text_of(derived_lines(spark, sf_dir))
+
+
 def clean(text: DataFrame) -> DataFrame:
     """Text listing rows -> typed ``LISTING`` columns (plus order columns)."""
     return text.select(

@@ -29,8 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.scalars import utc_stamp
 from lotwise.schema import SOURCE_A, SOURCE_B, SOURCE_C
-from lotwise.sources.derived import ORDER, URL_BASE
+from lotwise.sources.derived import ORDER, URL_BASE, line_seq, text_of
 
 PAGE_ROWS = 150
 
@@ -174,9 +175,19 @@ def card_c() -> Column:
     return F.when(_k() % 2 == 0, v0).otherwise(v1)
 
 
+def placed(lines: DataFrame) -> DataFrame:
+    """Lines with their place (from 0) among those of their source and order.  Numbered by a
+    streaming window; nothing of an order is collected here.  Lines are dealt out as they are in the
+    tables: their texts, several times as long, are made where they arrive."""
+    order = [{"seq": line_seq(), "first_seen": utc_stamp("l_shipdate")}.get(c, F.col(c)) for c in ORDER]
+    number = F.row_number().over(Window.partitionBy("source", "l_orderkey").orderBy(*order))
+    # Told how many, as few bytes of lines become much work: small neighbours are not to be merged.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(parts, "source", "l_orderkey").withColumn("place", number - 1)
+
+
 def page_keys() -> list[Column]:
-    # Rows are numbered by a streaming window; nothing of an order is collected here.
-    number = F.row_number().over(Window.partitionBy("source", "l_orderkey").orderBy(*ORDER)) - 1
+    number = F.col("place")
     crawl = (_o().cast("bigint") / 1000).cast("bigint") * 100000 + F.floor(number / PAGE_ROWS)
     return [
         crawl.alias("crawl_id"),
@@ -192,12 +203,13 @@ def refetched(o: Column) -> Column:
     return (o % 202 == 7) & (o % 109 != 17)
 
 
-def render_pages(text: DataFrame, second_fetch: bool = False) -> DataFrame:
-    """Derived text listings -> ``PAGES`` (source, category, crawl_id,
+def render_pages(lines: DataFrame, second_fetch: bool = False) -> DataFrame:
+    """Derived lines -> ``PAGES`` (source, category, crawl_id,
     page_no, url, status, fetched_at, html).  With ``second_fetch`` only the pages that
     were fetched again, as they came the second time."""
     if second_fetch:
-        text = text.where(refetched(_o()))
+        lines = lines.where(refetched(_o()))
+    text = text_of(placed(lines))
     structured = _o() % 2 == 0
     piece = (F.when(F.col("source") == SOURCE_A, card_a())
              .when(F.col("source") == SOURCE_B, F.when(structured, item_b()).otherwise(card_b()))
