@@ -1,6 +1,8 @@
 """Pages settled where they are read: the same rows as variants give, without them."""
 
 import json
+import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from lotwise.operators import extract as X
 from lotwise.operators import htmldom as H
 from lotwise.operators.sites import SITES
 from lotwise.schema import PAGES
+from lotwise.sources.render import render_pages
 from tests import pages_fixtures as P
 
 B_OBJECTS = [
@@ -119,6 +122,44 @@ def test_plain_cards_need_no_tree(monkeypatch):
         X._row("tu", 12, None, None, None, "https://philadelphia.craigslist.org/b")]
 
 
+def random_page(rnd) -> str:
+    parts = ['<div class="vehicle-card">', '<div class="vehicle-card x">', "</div>", "</div>", "<h2>", "</h2>", "<b>", "</b>", "<p>", "</p>",
+             '<a class="vehicle-card-link" href="/vehicledetail/{}">', '<a href="/vehicledetail/{}">', '<a href="/other/{}">', "</a>",
+             '<span class="mileage">', '<span data-test="vehicleMileage">', "</span>", "<!-- c -->", "<br>", '<img class="dealer-name">',
+             "<title>t</title>", "<script>s</script>", "<ul>", "<li>", "</ul>", '<div class="dealer-name">', "t {}", " ", "u", "$1,{}"]
+    return "<html><body>" + "".join(rnd.choice(parts).format(rnd.randrange(99)) for _ in range(rnd.randrange(60))) + "</body></html>"
+
+
+def test_random_pages_have_the_cards_of_the_tree():
+    rnd, site = random.Random(3), SITES["cars.com"]
+    pages = [random_page(rnd) for _ in range(4000)]
+    read = [X._tables(site.rules)[2].read(h) for h in pages]
+    assert sum(r is not None for r in read) > 3000 and sum(bool(r) for r in read) > 1000
+    assert [X.page_cards(h, site, None) for h in pages] == [X.card_rows(H.parse(h), site, None) for h in pages]
+
+
+def test_alike_cards_are_worked_out_once(monkeypatch):
+    site, walked = SITES["cars.com"], []
+    reader = H.CardReader(*X._tables(site.rules)[:2])
+    walk, kind = reader._walk, reader._kind
+    monkeypatch.setattr(reader, "_walk", lambda ids, around: walked.append(len(ids)) or walk(ids, around))
+    monkeypatch.setattr(reader, "_kind", lambda head: walked.append(1) or kind(head))
+    card = '<div class="vehicle-card"><h2><b>{0}</b> x</h2><a href="/vehicledetail/{0}">d</a><div class="mileage">{0} mi.</div></div>'
+    got = reader.read("<html><body>" + "".join(card.format(i) for i in range(3000)) + "</body></html>")
+    assert [c["link"].href for c in got] == [f"/vehicledetail/{i}" for i in range(3000)]
+    assert [c["title"].text() for c in got] == [f"{i}x" for i in range(3000)] and len(walked) < 20
+
+
+def test_pages_lines_are_dealt_out_without_their_texts(spark):
+    line = (7, 3, 5, 1, 2.0, 10.0, datetime(2001, 2, 3), "elk", "Brand#1", "cars.com")
+    lines = spark.createDataFrame([line], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                          "l_extendedprice double, l_shipdate timestamp, p_name string, p_brand string, source string")
+    plan = render_pages(lines)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("RepartitionByExpression")
+    assert "utm_source" in above and below and "utm_source" not in below and "date_format" not in below
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_a_reader_keeps_few_tags():
     reader = H.CardReader(H.RuleTable({"card": [H.tag("li")]}), H.RuleTable({"link": [H.tag("a")]}))
     html = "".join(f'<li><a href="/{i}">t</a></li>' for i in range(H.KEPT_TAGS + 10)) + f'<li class="{"x" * 500}">'
