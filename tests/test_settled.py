@@ -175,3 +175,45 @@ def test_pages_say_the_same_in_python(spark):
     rows = [("cargurus", "", i, 1, "u", 503 if i % 2 else 200, None, t) for i, t in enumerate(texts)]
     heads = X.page_heads(X.extract(spark.createDataFrame(rows, PAGES))).orderBy("crawl_id").select("bot_check", "partial")
     assert [tuple(r) for r in heads.collect()] == [X.says(t) for t in texts]
+
+
+def test_tags_are_known_by_what_rules_ask_of_them(monkeypatch):
+    reader, asked = H.CardReader(*X._tables(SITES["cargurus"].rules)[:2]), []
+    kind = reader._kind
+    monkeypatch.setattr(reader, "_kind", lambda head: asked.append(head) or kind(head))
+    card = '<div data-listingid="{0}"><a id="n{0}" href="/x/{0}">t {0}</a><em itemprop="price">{0}</em><em itemprop="x{0}">n</em></div>'
+    got = reader.read("".join(card.format(i) for i in range(500)))
+    assert [(c["link"].href, c["link"].text(), c["price"].text()) for c in got] == [(f"/x/{i}", f"t {i}", str(i)) for i in range(500)]
+    assert len(asked) < 10 and len(reader.known) < 10  # a tag for each listing is not worked out, nor kept, for each
+
+
+def test_a_link_is_the_tags_own_attribute():
+    reader = H.CardReader(*X._tables(SITES["cargurus"].rules)[:2])
+    html = '<div data-listingid="1"><a title="x href=" rel="b" href="/c">t</a></div><div data-listingid="2"><a rel=" href=">u</a></div>'
+    assert [c["link"].href if "link" in c else None for c in reader.read(html)] == ["/c", None]
+    assert X.page_cards(html, SITES["cargurus"], None) == X.card_rows(H.parse(html), SITES["cargurus"], None)
+
+
+def scripts_by_the_pattern(html):
+    return [(X.PY_SCRIPT_START_RE.match(e)[1], e[X.PY_SCRIPT_START_RE.match(e).end():-len("</script")])
+            for e in X.PY_SCRIPT_RE.findall(html) if e]
+
+
+def test_near_scripts_are_those_of_the_pattern():
+    rnd = random.Random(5)
+    parts = ["<script>", "<SCRIPT type='a'>", '<script id="x>y">', "<scripts>", "<script\n>", "<script", "</script>", "</Script >", "</scripty>",
+             "</script", "<style>", "</style>", "<!--", "-->", "<p>", '<p title="<script>">', "<p <", "</p>", ">", "<", "'", '"', " a ", "{}"]
+    near = 0
+    for _ in range(20_000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 9)))
+        got = X._near_scripts(html)
+        near += got is not None and got != []
+        assert got is None or got == scripts_by_the_pattern(html), html
+    assert near > 500
+    page = "<html><script>var a = 1;</script><script>{}</script></html>"
+    assert X._near_scripts(page) == [("", "var a = 1;"), ("", "{}")]
+
+
+def test_numbers_of_plain_and_other_texts():
+    texts = ["$1,234", "007", "", None, "mi.", "12\u0663", "\u00a31,2", "9" * 30, "0", "1\n2\x7f"]
+    assert [X.clean_number(t) for t in texts] == [1234, 7, None, None, None, 12, 12, X.fn.LONG_MAX, 0, 12]
