@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lotwise.session import scratch_path, shared_dir
+from lotwise.session import few_folders, scratch_path, shared_dir
 
 # A side is broadcast up to this many bytes of row text.
 MAX_BROADCAST_BYTES = 64 << 20
@@ -27,7 +27,8 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[D
     path = scratch_path(spark, name)
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with few_folders(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns), seen.get["rows"]
 
 

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -87,3 +88,20 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared folder."""
     return f"{shared_dir(spark)}/lotwise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Folders that a task may write to side by side.
+MAX_FOLDERS = 16
+
+
+@contextmanager
+def few_folders(spark: SparkSession):
+    """Writes partitioned into at most ``MAX_FOLDERS`` folders keep a file open for each, instead of sorting (and
+    spilling) a task's rows by folder; with more of them Spark sorts the rest."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, MAX_FOLDERS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

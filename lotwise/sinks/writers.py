@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.operators.shape import project_listing
+from lotwise.session import few_folders
 
 #: An empty file inside a published snapshot; without it a folder is none.
 PUBLISHED = "_PUBLISHED"
@@ -42,7 +43,8 @@ def write_per_source(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     """One output per source: ``source=<name>/`` directories, so a reader
     filtering on ``source`` prunes whole directories."""
     w = project_listing(df).write.mode(mode).partitionBy("source")
-    (_csv(w).csv(path) if fmt == "csv" else w.parquet(path))
+    with few_folders(df.sparkSession):
+        (_csv(w).csv(path) if fmt == "csv" else w.parquet(path))
 
 
 def write_results_files(df: DataFrame, base: str, order: Sequence, names: dict) -> None:

@@ -5,12 +5,16 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lotwise.operators import extract as X
 from lotwise.operators import htmldom as H
 from lotwise.operators.sites import SITES
-from lotwise.schema import PAGES
+from lotwise.plans import sizing
+from lotwise.schema import LISTING, PAGES
+from lotwise.session import MAX_FOLDERS
+from lotwise.sinks.writers import write_per_source
 from lotwise.sources.render import render_pages
 from tests import pages_fixtures as P
 
@@ -217,3 +221,20 @@ def test_near_scripts_are_those_of_the_pattern():
 def test_numbers_of_plain_and_other_texts():
     texts = ["$1,234", "007", "", None, "mi.", "12\u0663", "\u00a31,2", "9" * 30, "0", "1\n2\x7f"]
     assert [X.clean_number(t) for t in texts] == [1234, 7, None, None, None, 12, 12, X.fn.LONG_MAX, 0, 12]
+
+
+def test_rows_are_not_sorted_by_folder(spark, scratch, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(name)
+    for kind in ("parquet", "csv"):
+        write = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(DataFrameWriter, kind, lambda self, *a, _w=write, **k: seen.append(spark.conf.get(name)) or _w(self, *a, **k))
+    rows = spark.createDataFrame([(s, f"t{i}", i, None, "d", None, f"u{i}", "x") for i, s in enumerate("abcab")], LISTING)
+    table, n = sizing.staged(rows, "folders", "source")
+    write_per_source(rows, f"{scratch}/csv", "csv")
+    write_per_source(rows, f"{scratch}/parquet")
+    assert n == 5 and sorted(table.collect()) == sorted(rows.collect())
+    for fmt in ("csv", "parquet"):
+        got = spark.read.option("header", True).format(fmt).load(f"{scratch}/{fmt}")
+        assert sorted(map(tuple, got.select("source", "title").collect())) == [(r.source, r.title) for r in sorted(rows.collect())]
+    assert [int(s) for s in seen] == [MAX_FOLDERS] * 3 and spark.conf.get(name) == before
