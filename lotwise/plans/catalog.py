@@ -23,7 +23,7 @@ from lotwise.schema import COMBINED_RANK, FILE_RANK, FILE_STEM, LISTING, LISTING
 from lotwise.session import scratch_path
 from lotwise.sinks import writers as W
 from lotwise.sources import files as FS
-from lotwise.sources.derived import ORDER, derived_lines, derived_listings, derived_text, read_table
+from lotwise.sources.derived import ORDER, derived_lines, derived_listings, derived_text, line_order, listings_of, read_table
 from lotwise.sources.pages import frontier
 from lotwise.sources.render import render_pages
 
@@ -1032,8 +1032,8 @@ def q_job_combined(spark, d):
 @query("job_merge", _MERGE_SQL + f"SELECT {S.LISTING_CSV} FROM m WHERE win = 1")
 def q_job_merge(spark, d):
     base = scratch_path(spark, "job-merge")
-    W.write_results_files(derived_listings(spark, d), f"{base}/results", ORDER,
-                          {src: f"{stem}_results.csv" for src, stem in FILE_STEM.items()})
+    W.write_results_files(derived_lines(spark, d), f"{base}/results", line_order(),
+                          {src: f"{stem}_results.csv" for src, stem in FILE_STEM.items()}, finish=listings_of, compression="lz4")
     output = f"{base}/combined_listings.csv"
     J.job_merge(spark, f"{base}/results/file=*_results.csv", output)
     return _read_csv(spark, output)

@@ -18,8 +18,9 @@ from lotwise.operators import dedupe, extract as X, filters, pages as PG, shape,
 from lotwise.plans.sizing import broadcast_if_small, materialised, staged
 from lotwise.operators.sites import SITES, Site
 from lotwise.schema import COMBINED_LIMITS, DEFAULT_CRITERIA, LISTING, LISTING_COLS
+from lotwise.session import freed_shuffles, small_splits
 from lotwise.sinks import writers as W
-from lotwise.sources.files import FILE_ORDER, as_listings, read_listing_csv
+from lotwise.sources.files import NUMBER_ORDER, as_listings, named, numbered_listing_csv
 
 CRAWL = ["source", "category", "crawl_id"]
 
@@ -187,14 +188,22 @@ def job_combined(per_source: DataFrame | dict[str, DataFrame | Callable[[], Data
 
 def job_merge(spark: SparkSession, input_glob: str, output: str | None = None) -> DataFrame | None:
     """Per-source CSV files -> one row per URL, earliest ``first_seen``,
-    in order of first encounter.  No files or no rows: nothing is written, None back."""
-    files = read_listing_csv(spark, input_glob, exclude=output)
-    merged = materialised(dedupe.merge_first_seen(files, FILE_ORDER, keep=LISTING_COLS))
-    if merged.isEmpty():
-        return None
-    if output:
-        W.write_merged(merged, output)
-    return merged
+    in order of first encounter.  No files or no rows: nothing is written, None back.
+
+    Rows are told apart by numbers; the names of their files come back only in the result's ``first_pos``.
+    The merged rows are kept as Parquet, and each step's shuffle files go when it ends.  The files are
+    read more than once, always in the same pieces."""
+    with freed_shuffles(spark), small_splits(spark):
+        read = numbered_listing_csv(spark, input_glob, exclude=output)
+        if read is None:
+            return None
+        rows, files = read
+        merged, n = staged(dedupe.merge_first_seen(rows, NUMBER_ORDER, keep=LISTING_COLS), "merged")
+        if not n:
+            return None
+        if output:
+            W.write_merged(merged, output)
+    return named(merged, "first_pos", files)
 
 
 __all__ = ["job_source", "job_combined", "job_merge", "SourceRun", "CombinedRun"]

@@ -95,13 +95,33 @@ MAX_FOLDERS = 16
 
 
 @contextmanager
-def few_folders(spark: SparkSession):
-    """Writes partitioned into at most ``MAX_FOLDERS`` folders keep a file open for each, instead of sorting (and
-    spilling) a task's rows by folder; with more of them Spark sorts the rest."""
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, MAX_FOLDERS)
+def _held(spark: SparkSession, name: str, value):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def few_folders(spark: SparkSession):
+    """Writes partitioned into at most ``MAX_FOLDERS`` folders keep a file open for each, instead of sorting (and
+    spilling) a task's rows by folder; with more of them Spark sorts the rest."""
+    return _held(spark, "spark.sql.maxConcurrentOutputFileWriters", MAX_FOLDERS)
+
+
+def freed_shuffles(spark: SparkSession):
+    """The shuffle files of a write are deleted when it ends, not when the driver happens to collect its garbage: the
+    next step finds the disk free."""
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+#: Bytes of text that a task reads where it sorts what it has read.
+MAX_SORTED_SPLIT = 32 << 20
+
+
+def small_splits(spark: SparkSession):
+    """Files are read in pieces of at most ``MAX_SORTED_SPLIT`` bytes, whose rows a task sorts without spilling."""
+    name = "spark.sql.files.maxPartitionBytes"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    return _held(spark, name, str(min(now, MAX_SORTED_SPLIT)))

@@ -7,13 +7,17 @@ both written as empty fields, quotes doubled inside quoted fields.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotwise.operators.shape import project_listing
-from lotwise.session import few_folders
+from lotwise.schema import LISTING_COLS
+from lotwise.session import few_folders, freed_shuffles
 
+#: Rows of a file that one task must read whole.
+MAX_WHOLE_FILE = 500_000
 #: An empty file inside a published snapshot; without it a folder is none.
 PUBLISHED = "_PUBLISHED"
 
@@ -47,25 +51,35 @@ def write_per_source(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
         (_csv(w).csv(path) if fmt == "csv" else w.parquet(path))
 
 
-def write_results_files(df: DataFrame, base: str, order: Sequence, names: dict) -> None:
-    """Every source's result CSV in one write: rows range-sorted by (source,
-    reading order), one folder per source named ``file=<name>`` from
-    ``names`` (source -> file name), so folder order is file-name order and
-    part files follow reading order.  Needs ``spark.checkpoint.dir``."""
-    from pyspark.sql import functions as F
+def write_results_files(df: DataFrame, base: str, order: Sequence[str | Column], names: dict,
+                        finish: Callable[[DataFrame], DataFrame] | None = None, compression: str | None = None) -> None:
+    """Every source's result CSV: rows range-sorted in reading order, one folder per
+    source named ``file=<name>`` from ``names`` (source -> file name), so folder order is
+    file-name order and part files follow reading order.
+
+    Sources are written one after the other, so the disk holds the shuffle of one of them, which goes when it is
+    written.  Rows of sources without a name come with the last one, in a folder of their own.
+    The range sort samples its input in a job of its own, which computes it again from the last shuffle: that
+    takes time but, unlike a copy of all rows, no disk.
 
+    ``finish`` makes listings of rows in their order, row by row, after they were sorted: until
+    then only its inputs, ``source`` and what ``order`` needs are moved.  With ``compression`` (a codec of Spark's
+    CSV writer) a part file cannot be split, so it holds at most ``MAX_WHOLE_FILE`` rows."""
     fname = None
     for src, name in names.items():
         c = F.when(F.col("source") == src, F.lit(name))
         fname = c if fname is None else fname.when(F.col("source") == src, F.lit(name))
-    from lotwise.schema import LISTING_COLS
-
-    extra = [o for o in order if o not in LISTING_COLS]
-    # The range sort samples its input in a job of its own: checkpoint first so
-    # the (possibly costly) input is computed once, not once per pass.
-    keyed = project_listing(df, extra=extra).withColumn("file", fname).checkpoint(eager=True)
-    ordered = keyed.repartitionByRange("file", *order).sortWithinPartitions("file", *order)
-    _csv(ordered.drop(*extra).write.mode("overwrite").partitionBy("file")).csv(base)
+    if finish is None:
+        df, finish = project_listing(df, extra=[o for o in order if o not in LISTING_COLS]), lambda t: t
+    *others, last = names
+    for i, src in enumerate(names):
+        own = ~F.coalesce(F.col("source").isin(others), F.lit(False)) if src == last else F.col("source") == src
+        ordered = df.where(own).repartitionByRange(*order).sortWithinPartitions(*order)
+        w = _csv(project_listing(finish(ordered)).withColumn("file", fname).write.mode("append" if i else "overwrite"))
+        if compression:
+            w = w.option("compression", compression).option("maxRecordsPerFile", MAX_WHOLE_FILE)
+        with few_folders(df.sparkSession), freed_shuffles(df.sparkSession):
+            w.partitionBy("file").csv(base)
 
 
 def snapshot_path(base: str, run_ts: str) -> str:

@@ -78,6 +78,17 @@ def clean(text: DataFrame) -> DataFrame:
     )
 
 
+def _seen(first_seen: Column) -> Column:
+    at = (F.col("l_partkey") + F.col("l_suppkey")) % 29
+    return F.when(at == 6, F.lit(None)).when(at == 7, F.lit("")).otherwise(first_seen)
+
+
+def line_order() -> list[Column]:
+    """``ORDER`` of the listings that are made of ``derived_lines``, by the lines' own columns."""
+    made = {"seq": line_seq(), "first_seen": _seen(utc_stamp("l_shipdate"))}
+    return [made.get(c, F.col(c)) for c in ORDER]
+
+
 def with_gaps(t: DataFrame) -> DataFrame:
     """Unknown and blank values, by part and supplier key, in every listing
     column; a quarter of the URLs is shared by all sources."""
@@ -88,13 +99,18 @@ def with_gaps(t: DataFrame) -> DataFrame:
         "title": F.when(s % 19 == 2, null).when(s % 19 == 3, F.lit("")).when(s % 19 == 4, F.substring("title", 6, 1 << 20))
         .otherwise(F.col("title")),
         "dealer": F.when(s % 17 == 5, null).when(s % 17 == 6, F.lit("  ")).otherwise(F.col("dealer")),
-        "first_seen": F.when((k + s) % 29 == 6, null).when((k + s) % 29 == 7, F.lit("")).otherwise(F.col("first_seen")),
+        "first_seen": _seen(F.col("first_seen")),
         "price": F.when(s % 13 != 1, F.col("price")),
         "mileage": F.when(s % 11 != 7, F.col("mileage")),
         "url": F.when(k % 23 == 4, null).when(k % 23 == 5, F.lit("")).otherwise(F.concat("url", own)),
     })
 
 
+def listings_of(lines: DataFrame) -> DataFrame:
+    """Lines as cleaned listings, row by row: LISTING columns plus ``ORDER`` columns."""
+    return with_gaps(clean(text_of(lines)))
+
+
 def derived_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned derived listings: LISTING columns plus ``ORDER`` columns."""
-    return with_gaps(clean(derived_text(spark, sf_dir)))
+    return listings_of(derived_lines(spark, sf_dir))

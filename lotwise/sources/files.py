@@ -16,6 +16,8 @@ from lotwise.schema import LISTING, LISTING_COLS
 
 # Reading order of bound rows: files by folder, part number and name, then rows.
 FILE_ORDER = ["file_pos", "row_no"]
+# The same order in numbers (``numbered_listing_csv``).
+NUMBER_ORDER = ["file_no", "block", "row_no"]
 #: Files whose layout may be broadcast.
 MAX_BROADCAST_FILES = 1_000_000
 BOUND = (", ".join(f"{c} string" for c in LISTING_COLS)
@@ -145,9 +147,39 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
     name, and blocks within a file) and ``row_no`` (rows within a block): the
     reading order is ``FILE_ORDER``.
     """
+    read = _bound_rows(spark, paths, exclude)
+    if read is None:
+        return spark.createDataFrame([], BOUND)
+    return read[0].select(*LISTING_COLS, F.col("name").alias("file"), _file_pos(), "row_no")
+
+
+def numbered_listing_csv(spark: SparkSession, paths: str | Sequence[str],
+                         exclude: str | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """``read_listing_csv`` with a row's place in numbers only, ``NUMBER_ORDER``: names of files, which are long, need not
+    be moved with every row.  Beside the rows comes the table of files, ``file_no`` with the names that ``named``
+    asks for.  Without any file or header: None."""
+    read = _bound_rows(spark, paths, exclude, numbered=True)
+    return read and (read[0].select(*LISTING_COLS, *NUMBER_ORDER), read[1].select("file_no", "_folder", "_part", "name"))
+
+
+def named(rows: DataFrame, place: str, files: DataFrame) -> DataFrame:
+    """``rows`` with their column ``place``, a struct of ``NUMBER_ORDER``, as one of ``FILE_ORDER``."""
+    told = rows.join(files, F.col(f"{place}.file_no") == F.col("file_no"))
+    pos = told.withColumns({"block": F.col(f"{place}.block"), "row_no": F.col(f"{place}.row_no")})
+    return pos.withColumn(place, F.struct(_file_pos(), "row_no")).select(*rows.columns)
+
+
+def _file_pos() -> Column:
+    return F.struct(F.col("_folder").alias("folder"), F.col("_part").alias("part"), "name", "block").alias("file_pos")
+
+
+def _bound_rows(spark: SparkSession, paths: str | Sequence[str], exclude: str | None,
+                numbered: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """The rows of ``read_listing_csv`` with all that says where they stand, and the table of
+    files (with ``file_no``, their number in reading order, if asked for)."""
     lines = _lines(spark, paths)
     if lines is None:
-        return spark.createDataFrame([], BOUND)
+        return None
     shown = F.when(F.trim("line") != "", F.struct("block", "i", "line"))
     # The set of marks (two at most) lets Spark aggregate by hashing: without it, the least
     # line, which is a text, makes it sort all lines by file.
@@ -171,14 +203,17 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
     widths = files.where("first is not null").select("file", "name", "first", names.alias("names"))
     width = widths.agg(F.max(F.size("names"))).first()[0]
     if not width:
-        return spark.createDataFrame([], BOUND)
+        return None
     at = F.struct(*[(F.size("names") - F.coalesce(F.array_position(F.reverse(F.col("names")), F.lit(c)), F.lit(0)).cast("int") + 1)
                     .alias(c) for c in LISTING_COLS])
     part = F.regexp_extract("name", "/part-([0-9]{1,18})[^/]*$", 1).try_cast("bigint")
     folder = F.when(part.isNotNull(), F.regexp_replace("name", "/[^/]*$", "")).otherwise(F.col("name"))
-    binding, _ = broadcast_if_small(widths.select(
+    layouts = widths.select(
         "file", "name", folder.alias("_folder"), F.coalesce(part, F.lit(-1)).alias("_part"),
-        F.struct("first.block", "first.i").alias("_head"), F.size("names").alias("_size"), at.alias("_at")), MAX_BROADCAST_FILES)
+        F.struct("first.block", "first.i").alias("_head"), F.size("names").alias("_size"), at.alias("_at"))
+    if numbered:  # numbers that grow in the order of a sort; the table is computed once below
+        layouts = layouts.orderBy("_folder", "_part", "name").withColumn("file_no", F.monotonically_increasing_id())
+    binding, _ = broadcast_if_small(layouts, MAX_BROADCAST_FILES)
     rows = whole.where(F.trim("line") != "").join(binding, "file").where(F.struct("block", "i") != F.col("_head"))
     rows = rows.withColumn("_fields", _fields(F.col("line"), width))
 
@@ -186,8 +221,8 @@ def read_listing_csv(spark: SparkSession, paths: str | Sequence[str], exclude: s
         place = F.col(f"_at.{c}")
         return F.when(place <= F.col("_size"), F.get("_fields", place - 1)).alias(c)
 
-    pos = F.struct(F.col("_folder").alias("folder"), F.col("_part").alias("part"), "name", "block")
-    return rows.select(*[bound(c) for c in LISTING_COLS], F.col("name").alias("file"), pos.alias("file_pos"), F.col("i").alias("row_no"))
+    where = [*(["file_no"] if numbered else []), "_folder", "_part", "name", "block", F.col("i").alias("row_no")]
+    return rows.select(*[bound(c) for c in LISTING_COLS], *where), binding
 
 
 def header_names(line: Column) -> Column:
